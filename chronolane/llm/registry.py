@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolane.llm import simhash
+from chronolane.llm import quality, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": quality.op1_quality_classifier,
+        "op2_substring_dedup": substring.op2_substring_dedup,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     }
 
