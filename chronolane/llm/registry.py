@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolane.llm import packing, quality, rules, simhash, substring
+from chronolane.llm import packing, pii, quality, rules, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op8_quality_rules": rules.op8_quality_rules,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_contextual_pii": pii.op10_contextual_pii,
     }
 
 
