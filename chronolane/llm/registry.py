@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolane.llm import packing, pii, quality, rules, simhash, substring
+from chronolane.llm import fingerprint, packing, pii, quality, rules, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_substring_dedup": substring.op2_substring_dedup,
+        "op3_document_fingerprints": fingerprint.op3_document_fingerprints,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op8_quality_rules": rules.op8_quality_rules,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
