@@ -5,7 +5,7 @@ one of BINS bins, the rest compete there for the minimum. An empty bin takes the
 minimum of the first full bin on a list of its own, the same for all texts:
 PROBES bins by fixed steps, then all bins by a hash of both numbers. Of each
 bin's minimum, shifted by a number of places that depends on the bin, the BITS
-lowest bits are packed, sixteen bins to a long.
+lowest bits are packed, eight bins to a long.
 
 The likeness of two fingerprints is the share m of equal bins, corrected for
 bins that agree by chance: (m - c) / (1 - c) with c = 2 ** -BITS, from 0 to 1.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from chronolane.llm.common import partitions, table, words
 
-SHINGLE, BINS, BITS, PROBES = 5, 256, 4, 6
+SHINGLE, BINS, BITS, PROBES = 5, 256, 8, 6
 _HIGH = 48  # bits of a hash that compete within a bin
 _NO_ID = -(2**63)
 
@@ -83,7 +83,7 @@ def likeness(a: Column, b: Column) -> Column:
 
     def apart(x: Column, y: Column) -> Column:
         z = x.bitwiseXOR(y)
-        for k in (1, 2):
+        for k in (1, 2, 4):
             z = z.bitwiseOR(F.shiftrightunsigned(z, k))
         return F.bit_count(z.bitwiseAND(ones))
 
