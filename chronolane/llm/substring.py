@@ -17,7 +17,7 @@ group are settled there.
 Documents are dealt to groups by a hash of their id, about GROUP_BYTES of text
 each, so copies and common passages never meet in one task: of a passage a task
 sees one row per group. Anchors only pick candidates and use 64 bits; windows are
-told apart by 128 bits.
+told apart by 96 bits.
 
 Defined results: a null text has no words; a null doc_id counts as smaller than
 any other; rows that share a doc_id are not earlier than each other, except by a
@@ -43,6 +43,8 @@ GROUP_BYTES = 8_000_000
 COVERS = {1: (0,), 3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 31: (1, 5, 11, 24, 25, 27)}
 _NO_ID = -(2**63)
 _PIECE = 1 << 20
+#: Bits for the rank of a text among those of one doc_id.
+_RANK_BITS = 20
 
 
 def cover_for(length: int) -> tuple[int, np.ndarray]:
@@ -129,6 +131,12 @@ class Group:
         self.length = length
         self.ids = np.array([_NO_ID if i is None else i for i in ids], np.int64)
         self.raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        # rows that share an id are told apart by their rank among its texts
+        self.rank = np.zeros(len(ids), np.int64)
+        order = sorted(range(len(ids)), key=lambda i: (self.ids[i], self.raw[i]))
+        for a, b in zip(order, order[1:], strict=False):
+            if self.ids[a] == self.ids[b]:
+                self.rank[b] = self.rank[a] + (self.raw[a] != self.raw[b])
         hasher = Hasher()
         each = [hasher.words(r) for r in self.raw]
         self.sizes = np.array([len(w) for w in each], np.int64)
@@ -156,7 +164,13 @@ class Group:
             np.add.at(edge, near + 1, -1)
             valid &= np.cumsum(edge)[: len(valid)] > 0
         at = np.flatnonzero(valid)
-        return at, _run(self.words, at, self.length, 0xE7037ED1A0B428DB), _run(self.words, at, self.length, 0x8EBC6AF09C88C6E3)
+        second = _run(self.words, at, self.length, 0x8EBC6AF09C88C6E3) >> np.uint64(32)
+        return at, _run(self.words, at, self.length, 0xE7037ED1A0B428DB), second.astype(np.uint32)
+
+    def where(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of places: the ids, and the starts in the documents with the documents' ranks in the lowest bits."""
+        doc = np.searchsorted(self.begin, at, side="right") - 1
+        return self.ids[doc], ((at - self.begin[doc]) << _RANK_BITS) | self.rank[doc]
 
     def firsts(self, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of windows: the order by hashes, doc_id and start; where a new hash begins; which share the first one's doc_id and start."""
@@ -200,7 +214,7 @@ def _apart(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _later(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (h1, h2, id, start, g) sorted by all: the rows that are not at the first (id, start) of their hashes."""
+    """Of (h1, h2, id, at, g) sorted by all: the rows that are not at the first (id, start) of their hashes, as (g, id, at)."""
     head = None
     for batch in rows:
         c = [x.to_numpy() for x in batch.columns]
@@ -211,21 +225,23 @@ def _later(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])
         if head is not None and (c[0][0], c[1][0]) == head[:2]:
             new[0] = False
+        start = c[3] >> _RANK_BITS
         at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
         first_id = np.where(at < 0, head[2] if head else 0, c[2][at])
-        first_start = np.where(at < 0, head[3] if head else 0, c[3][at])
-        late = (c[2] != first_id) | (c[3] != first_start)
-        yield pa.RecordBatch.from_arrays([pa.array(x[late]) for x in (c[4], c[0], c[1])], ["g", "h1", "h2"])
+        first_start = np.where(at < 0, head[3] if head else 0, start[at])
+        late = (c[2] != first_id) | (start != first_start)
+        yield pa.RecordBatch.from_arrays([pa.array(x[late]) for x in (c[4], c[2], c[3])], ["g", "id", "at"])
         head = (c[0][-1], c[1][-1], first_id[-1], first_start[-1])
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
     count = _group_count(docs)
-    return docs.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).repartition("g")
+    key = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
+    return docs.withColumn("g", F.pmod(key, F.lit(count)).cast("int")).repartition("g")
 
 
 def _late_windows(dealt: DataFrame, length: int) -> DataFrame:
-    """g, h1, h2: windows of a group that start earlier in another group."""
+    """g, id, at: the first places in a group of windows that start earlier in another group."""
 
     def anchors(t: pa.Table) -> pa.Table:
         group = Group(t.column("id").to_pylist(), t.column("text").to_pylist(), length)
@@ -233,39 +249,37 @@ def _late_windows(dealt: DataFrame, length: int) -> DataFrame:
         return pa.table({"hash": _signed(hashes), "g": pa.array(np.full(len(hashes), t.column("g")[0].as_py(), np.int32))})
 
     def extend(t: pa.Table, known: pa.Table) -> pa.Table:
-        empty = np.zeros(0, np.uint64)
         if not t.num_rows or not known.num_rows:
-            at, h1, h2, key, start, g = empty, empty, empty, empty.view(np.int64), empty.view(np.int64), 0
-        else:
-            group = Group(t.column("id").to_pylist(), t.column("text").to_pylist(), length)
-            at, hashes = group.anchors()
-            shared = np.unique(known.column("hash").to_numpy()).view(np.uint64)
-            at, h1, h2 = group.windows(near=at[np.isin(hashes, shared)])
-            order, new, _ = group.firsts(at, h1, h2)
-            pick = order[new]
-            at, h1, h2, g = at[pick], h1[pick], h2[pick], t.column("g")[0].as_py()
-            doc = np.searchsorted(group.begin, at, side="right") - 1
-            key, start = group.ids[doc], at - group.begin[doc]
-        return pa.table({"h1": _signed(h1), "h2": _signed(h2), "id": pa.array(key), "start": pa.array(start, pa.int64()), "g": pa.array(np.full(len(h1), g, np.int32))})
-
+            return schema.empty_table()
+        group = Group(t.column("id").to_pylist(), t.column("text").to_pylist(), length)
+        at, hashes = group.anchors()
+        shared = np.unique(known.column("hash").to_numpy()).view(np.uint64)
+        at, h1, h2 = group.windows(near=at[np.isin(hashes, shared)])
+        order, new, _ = group.firsts(at, h1, h2)
+        pick = np.sort(order[new])  # in the order of places: neighbours differ little
+        at, h1, h2 = at[pick], h1[pick], h2[pick]
+        key, where = group.where(at)
+        columns = [_signed(h1), pa.array(h2.view(np.int32)), pa.array(key), pa.array(where), pa.array(np.full(len(h1), t.column("g")[0].as_py(), np.int32))]
+        return pa.table(columns, schema=schema)
+
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("id", pa.int64()), ("at", pa.int64()), ("g", pa.int32())])
     known = dealt.groupBy("g").applyInArrow(anchors, "hash long, g int").repartition("hash").sortWithinPartitions("hash").mapInArrow(_apart, "g int, hash long")
-    found = dealt.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(extend, "h1 long, h2 long, id long, start long, g int")
-    return found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id", "start").mapInArrow(_later, "g int, h1 long, h2 long")
+    found = dealt.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(extend, "h1 long, h2 int, id long, at long, g int")
+    return found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id", "at").mapInArrow(_later, "g int, id long, at long")
 
 
-def _settled(group: Group, h1_late: np.ndarray, h2_late: np.ndarray) -> list[np.ndarray]:
+def _settled(group: Group, late_id: np.ndarray, late_at: np.ndarray) -> list[np.ndarray]:
     """Of each document, which words go: as arrays of booleans."""
     at, h1, h2 = group.windows()
     order, new, at_first = group.firsts(at, h1, h2)
     gone = ~at_first
-    if len(h1_late):
-        pair = np.dtype([("a", "<i8"), ("b", "<i8")])
-        late = np.empty(len(h1_late), pair)
-        late["a"], late["b"] = h1_late, h2_late
-        heads = order[new]
-        own = np.empty(len(heads), pair)
-        own["a"], own["b"] = h1[heads].view(np.int64), h2[heads].view(np.int64)
-        near = np.flatnonzero(np.isin(own["a"], late["a"]))  # a quick sieve before whole pairs are compared
+    if len(late_id):
+        heads = at[order[new]]
+        place = np.dtype([("id", "<i8"), ("at", "<i8")])
+        late, own = np.empty(len(late_id), place), np.empty(len(heads), place)
+        late["id"], late["at"] = late_id, late_at
+        own["id"], own["at"] = group.where(heads)
+        near = np.flatnonzero(np.isin(own["id"], late["id"]))  # a quick sieve before whole places are compared
         elsewhere = np.zeros(len(heads), bool)
         elsewhere[near] = np.isin(own[near], late)
         gone |= elsewhere[np.cumsum(new) - 1]
@@ -286,7 +300,7 @@ def repeats(docs: DataFrame, row: Column, length: int = LENGTH) -> DataFrame:
     def settle(t: pa.Table, late: pa.Table) -> pa.Table:
         group = Group(t.column("id").to_pylist(), t.column("text").to_pylist(), length)
         none = np.zeros(0, np.int64)
-        gone = _settled(group, *((late.column(c).to_numpy() for c in ("h1", "h2")) if late.num_rows else (none, none)))
+        gone = _settled(group, *((late.column(c).to_numpy() for c in ("id", "at")) if late.num_rows else (none, none)))
         digests, left = [], []
         for raw, out in zip(group.raw, gone, strict=True):
             found = raw.split()
