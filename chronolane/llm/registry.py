@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolane.llm import fingerprint, packing, pii, quality, rules, simhash, substring, warc
+from chronolane.llm import chat, fingerprint, packing, pii, quality, rules, sentencepiece_scan, simhash, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_substring_dedup": substring.op2_substring_dedup,
         "op3_document_fingerprints": fingerprint.op3_document_fingerprints,
+        "op4_sentencepiece": sentencepiece_scan.op4_sentencepiece,
         "op5_warc": warc.op5_warc,
+        "op6_chat_formatting": chat.op6_chat_formatting,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op8_quality_rules": rules.op8_quality_rules,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
