@@ -16,7 +16,7 @@ group are settled there.
 
 Documents are dealt to groups by a hash of their id, about GROUP_BYTES of text
 each, so copies and common passages never meet in one task: of a passage a task
-sees one row per group. Anchors only pick candidates and use 64 bits; windows are
+sees one row per group. Anchors only pick candidates and use 48 bits; windows are
 told apart by 96 bits.
 
 Defined results: a null text has no words; a null doc_id counts as smaller than
@@ -148,7 +148,7 @@ class Group:
         places = [_anchor_places(int(n), self.length) + b for n, b in zip(self.sizes, self.begin[:-1], strict=True)]
         at = np.concatenate(places) if places else np.zeros(0, np.int64)
         period, _ = cover_for(self.length)
-        return at, _run(self.words, at, self.length - period + 1, 0xA0761D6478BD642F)
+        return at, _run(self.words, at, self.length - period + 1, 0xA0761D6478BD642F) >> np.uint64(16)
 
     def windows(self, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of windows (of those that hold an anchor at one of the places `near`, if given) and two hashes of each."""
