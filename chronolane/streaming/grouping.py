@@ -42,11 +42,11 @@ def ready_groups(rows: pd.DataFrame, anchor: int, period_ns: int, lag: int, came
     return (pd.concat(out) if out else empty), rows, late, done
 
 
-def grouped(observations: DataFrame, anchor: int, period_ns: int, cameras: int, lag: int = 3, idle_ms: int = 30_000) -> DataFrame:
+def grouped(observations: DataFrame, anchor: int, period_ns: int, cameras: int, lag: int = 3, idle_ms: int = 30_000, lateness: str = "1 minute") -> DataFrame:
     """Groups of a stream of rig, camera_id, stamp_ns, track_id, u, v: one state for each rig.
 
-    A rig that stays silent for `idle_ms` is flushed as if it had ended, so a dead
-    camera holds nothing back for ever. `late` counts the rig's late rows so far.
+    A rig that the watermark has left behind by `idle_ms` is flushed as if it had
+    ended, so nothing waits for ever. `late` counts the rig's late rows so far.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -63,11 +63,13 @@ def grouped(observations: DataFrame, anchor: int, period_ns: int, cameras: int,
             state.remove()
         else:
             state.update((rest.to_json(orient="split", index=False, double_precision=15) if len(rest) else "", int(late), int(done)))
-            state.setTimeoutDuration(idle_ms)
+            newest = int(rows["stamp_ns"].max()) // 1_000_000 if len(rows) else 0
+            state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
         if len(out):
             yield out.assign(rig=key[0], late=late)[["rig", "anchor_ns", *_COLUMNS, "late"]]
 
-    return observations.groupBy("rig").applyInPandasWithState(run, GROUPS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = observations.withColumn("ts", F.timestamp_micros(F.expr("stamp_ns div 1000"))).withWatermark("ts", lateness)
+    return timed.groupBy("rig").applyInPandasWithState(run, GROUPS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replay(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
