@@ -12,7 +12,7 @@ instances, each weighted by its occurrences, shrunk by PRIOR unknown ones; an
 unseen instance's score is the best score of its patterns. After ROUNDS rounds,
 patterns with LEAST_SEEDS different seeds of one kind and a score of LEAST_SCORE
 discover: their unseen instances whose digit count lies in the range of those
-seeds become spans of that kind. Scores are joins and sums over (pattern,
+seeds, or one beside it, become spans of that kind. Scores are joins and sums over (pattern,
 instance) counts, so a common pattern is one pre-aggregated row per task.
 
 The patterns are written so that they take linear time and constant stack on any
@@ -174,7 +174,7 @@ def discovered(held: DataFrame, keys: list[str]) -> DataFrame:
     """keys and `_more`: the spans that confident patterns discover, an array of struct(k, start, end), for rows that have any."""
     flat = held.select(*keys, F.explode("_instances").alias("x")).select(*keys, "x.*")
     edges = flat.groupBy("pattern", "instance", "k", "digits").agg(F.count("*").alias("n"))
-    new = flat.where("k IS NULL").drop("k").join(confident(edges), "pattern").where("digits BETWEEN low AND high")
+    new = flat.where("k IS NULL").drop("k").join(confident(edges), "pattern").where("digits BETWEEN low - 1 AND high + 1")
     return new.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("k", "start", "end"))).alias("_more"))
 
 

@@ -1,0 +1,482 @@
+"""Each text operator against a plain version, and on rows that are null, empty, tied, repeated, or carry other columns."""
+
+import base64
+import collections
+import gzip
+import hashlib
+import heapq
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from chronolane.llm import chat, common, fingerprint, packing, pii, quality, registry, rules, sentencepiece_scan, simhash, substring, warc
+
+DATA = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, _text string, id int, g string, h1 int"
+
+ODD = [
+    (1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "one"), (5, "one"), (None, "one two three four five six"), (None, None),
+    (6, "a b c d e f g h " * 12), (7, "x" * 5000), (8, "wörd é " * 400), (9, "Mail a@b.cd or +1 (988) 555-2485 now\nMail a@b.cd or +1 (988) 555-2485 now\n\n"),
+    (10, "### $$$ %%% " * 30),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, "en", None, None if t is None else len(t), "x", 1, "y", 2) for i, t in ODD], DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return common.table(spark, DATA, "documents")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+def found(text):
+    return WORD.findall(text or "")
+
+
+# ---- 1 ----
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r for r in quality.op1_quality_classifier(spark, sf).collect()}
+    labels = common.table(spark, sf, "labels").collect()
+    tried = [(rows[r["doc_id"]]["score"], r["quality"]) for r in labels if rows[r["doc_id"]]["held_out"]]
+    assert len(rows) == 1000 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows.values())
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items())
+    pairs = [a > b for a, y in tried if y for b, z in tried if not z]
+    assert np.mean(pairs) > 0.97
+    assert np.mean([(s >= 0.3) == (y == 1) for s, y in tried]) > 0.95
+
+
+def test_quality_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 0), (2, 0), (8, 1), (7, 1), (7, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    out = quality.with_scores(odd, labels, "other").collect()
+    assert len(out) == len(ODD) and all(0 <= r["other"] <= 1 for r in out)
+    assert quality.keep_good(odd, labels).columns == odd.columns
+    none = quality.with_scores(odd, labels.where("false")).collect()
+    assert {r["score"] for r in none} == {0.5}
+    assert quality.with_scores(odd.where("false"), labels).count() == 0
+
+
+# ---- 2 ----
+
+
+def plain_repeats(rows, length=20):
+    key = lambda i: -(2**63) if i is None else i
+    first = {}
+    for i, t in sorted(rows, key=lambda r: key(r[0])):
+        w = found(t)
+        for k in range(len(w) - length + 1):
+            s = tuple(w[k : k + length])
+            first[s] = min(first.get(s, (2**63, 0)), (key(i), k))
+    out = []
+    for i, t in rows:
+        w = found(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - length + 1):
+            if first[tuple(w[k : k + length])] < (key(i), k):
+                gone[k : k + length] = [True] * length
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_substring_brute_force(spark, texts):
+    got = [tuple(r) for r in substring.op2_substring_dedup(spark, DATA).collect()]
+    assert sorted(got, key=str) == plain_repeats(list(texts.items()))
+    assert sum(r[2] for r in got) > 0
+
+
+@pytest.mark.parametrize("length", [3, 8, 20])
+def test_substring_ties_and_nulls(spark, odd, length):
+    from pyspark.sql import functions as F
+
+    rows = [*ODD, (11, "p q r s t u v w x y " * 5), (11, "z z z p q r s t u v w x y " * 5), (None, "p q r s t u v w x y " * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.repeats(df, F.lit(0), length).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == plain_repeats(rows, length)
+    kept = substring.without_repeats(odd)
+    assert kept.columns == odd.columns and kept.count() == len(ODD)
+    assert substring.repeats(df.where("false"), F.lit(0)).count() == 0
+
+
+def test_covers():
+    for v, d in substring.COVERS.items():
+        assert {(a - b) % v for a in d for b in d} == set(range(v))
+
+
+# ---- 3 ----
+
+
+def test_fingerprints(spark, texts):
+    got = {r["doc_id"]: r for r in fingerprint.op3_document_fingerprints(spark, DATA).collect()}
+    order = sorted(texts, reverse=True)
+    shingles = lambda t: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w := found(t)) >= 5 else {tuple(w)}
+    errors, same = [], {}
+    for k, i in enumerate(order):
+        t, n = texts[i], texts[order[(k + 1) % len(order)]]
+        h = len(t) // 2
+        e = t[: len(t) - h] + n[:h]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert same.setdefault(t, r["fingerprint"]) == r["fingerprint"]
+        for other, near in ((e, r["near_edited"]), (n, r["near_next"])):
+            a, b = shingles(t), shingles(other)
+            errors.append(near - len(a & b) / len(a | b))
+    assert np.abs(errors).mean() < 0.03 and abs(np.mean(errors)) < 0.01
+    assert len(set(same.values())) == len(same)
+
+
+def test_fingerprint_odd_rows(spark, odd):
+    out = fingerprint.with_next(fingerprint.with_fingerprint(odd, "text", "fp"), {"next_text": "text"}).collect()
+    assert len(out) == len(ODD) and all(len(r["fp"]) * 64 == fingerprint.BINS * fingerprint.BITS for r in out)
+    last = [r for r in out if r["doc_id"] == 10]
+    assert last[0]["next_text"] == ODD[11][1]
+    assert fingerprint.with_fingerprint(odd.where("false"), "text", "fp").count() == 0
+
+
+# ---- 4 ----
+
+
+@pytest.mark.parametrize("chunk", [19, 64, 16_384])
+def test_sentencepiece(spark, texts, chunk):
+    import sentencepiece
+
+    model = sentencepiece_scan.default_model()
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    rows = [*list(texts.items())[:20], (900, None), (901, ""), (902, "日本語のテキスト" * 9), (903, "a  b   c" * 20), (904, " " * 90), (905, "😀é①" * 30), (906, "x" * 200), (907, "▁ ▁▁x" * 9), (None, "hello world " * 20)]
+    out = sentencepiece_scan.encode(spark.createDataFrame(rows, "doc_id long, text string"), model, chunk).collect()
+    ids = collections.defaultdict(list)
+    for r in sorted(out, key=lambda r: (str(r["doc_id"]), r["chunk"])):
+        assert r["round_trip"] and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        ids[r["doc_id"]] += r["ids"]
+    assert {i: ids[i] for i, _ in rows} == {i: sp.encode(t or "") for i, t in rows}
+
+
+def test_sentencepiece_empty(spark, odd):
+    assert sentencepiece_scan.encode(odd.where("false"), sentencepiece_scan.default_model()).count() == 0
+    assert sentencepiece_scan.encode(odd, sentencepiece_scan.default_model()).count() == len(ODD)
+
+
+# ---- 5 ----
+
+
+def plain_pages(rows, least=0):
+    first = {}
+    for i, h in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        first.setdefault((h or "").encode(), i)
+    out = []
+    for i, h in rows:
+        b = (h or "").encode()
+        again = len(b) >= least and first[b] != i
+        out.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", first[b] if again else None))
+    return sorted(out, key=str)
+
+
+def test_warc_query(spark):
+    rows = [(r["page_id"], r["html"]) for r in common.table(spark, DATA, "pages").collect()]
+    assert sorted(map(tuple, warc.op5_warc(spark, DATA).collect()), key=str) == plain_pages(rows)
+
+
+@pytest.mark.parametrize("compression", [None, "gzip"])
+@pytest.mark.parametrize("least", [0, 2])
+def test_warc_round_trip(spark, tmp_path, compression, least):
+    rows = [(0, "a"), (1, "a"), (2, None), (3, ""), (4, "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"), (5, "é\r\n\r\n"), (6, "bb"), (7, "bb")]
+    df = spark.createDataFrame([(i, f"http://x/{i}\n" if i else None, h, 1) for i, h in rows], "page_id long, url string, html string, first int")
+    warc.write_archives(df, str(tmp_path / "w"), least, compression)
+    out = warc.read_archives(spark, str(tmp_path / "w"))
+    assert out.where("gap IS NOT NULL").count() == 0
+    got = out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == plain_pages(rows, least)
+    held = {r["page_id"]: r["payload"] for r in out.where("record_type = 'response'").collect()}
+    assert held[4] == rows[4][1].encode() and held[5] == rows[5][1].encode()
+
+
+def test_warc_salvage():
+    made = []
+    for i in range(4):
+        payload = f"payload {i} WARC/1.1 x".encode()
+        block = warc._HTTP % len(payload) + payload
+        made.append(warc.record_head("response", i, None, None, payload, block).encode() + block + warc.END)
+    flipped = bytearray(made[1])
+    flipped[-10] ^= 1
+    short = made[1][:-8] + made[1][-7:]
+    for bad in (bytes(flipped), short, b"noise\r\n" * 5):
+        out = list(warc.salvage(made[0] + bad + made[2] + made[3][:50]))
+        assert [x["fields"]["warc-record-id"] for what, _, _, x in out if what == "record"] == ["<urn:page:0>", "<urn:page:2>"]
+        gaps = [(a, b) for what, a, b, _ in out if what == "gap"]
+        assert gaps[0] == (len(made[0]), len(made[0]) + len(bad)) and len(gaps) == 2
+    zipped = [gzip.compress(m) for m in made]
+    broken = bytearray(zipped[1])
+    broken[30] ^= 255
+    out = list(warc.salvage(zipped[0] + bytes(broken) + zipped[2] + b"xx" + zipped[3]))
+    assert [what for what, *_ in out] == ["record", "gap", "record", "gap", "record"]
+
+
+# ---- 6 ----
+
+
+def least_cost(roles):
+    steps = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
+    heap, done = [(0, 0, 0)], set()
+    while heap:
+        cost, i, state = heapq.heappop(heap)
+        if (i, state) in done:
+            continue
+        done.add((i, state))
+        if i == len(roles) and state == 3:
+            return cost
+        for t in steps[state]:
+            heapq.heappush(heap, (cost + chat.INSERT, i, t))
+        if i < len(roles):
+            label = lambda t: 0 if roles[i] == t else chat.RELABEL if roles[i] else chat.UNKNOWN  # noqa: E731, B023
+            for t in steps[state]:
+                heapq.heappush(heap, (cost + label(t), i + 1, t))
+            if state:
+                heapq.heappush(heap, (cost + label(state) + chat.MERGE, i + 1, state))
+    return None
+
+
+@pytest.mark.parametrize("stretch", [2, 4096])
+def test_chat_repair(spark, stretch):
+    rng = np.random.default_rng(5)
+    names = [None, "system", "user", "assistant"]
+    convs = {c: rng.choice([0, 1, 2, 2, 3, 3], rng.integers(1, 12)).tolist() for c in range(120)}
+    rows = [(c, k, names[r] if r or k % 2 else "tool", f"t{k}" if k % 5 else None, 0) for c, rs in convs.items() for k, r in enumerate(rs)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int")
+    by = collections.defaultdict(list)
+    for r in chat.repair(df, stretch).collect():
+        by[r["conv_id"]].append(r)
+    for c, rs in convs.items():
+        out = sorted(by[c], key=lambda r: r["turn"])
+        label = [0 if r["role"] == r["new_role"] else chat.RELABEL if r["role"] in chat.ROLES else chat.UNKNOWN for r in out]
+        assert sum(label) + sum(chat.MERGE * (r["action"] == "merge") + chat.INSERT * r["n_inserted"] for r in out) == least_cost(rs)
+        text = "".join(r["fragment"] for r in out)
+        roles = re.findall(r"<\|(system|user|assistant)\|>\n", text)
+        assert re.fullmatch(r"(system )?(user assistant )+", " ".join(roles) + " ") and text.count(chat.CLOSE) == len(roles)
+
+
+def test_chat_odd_rows(spark):
+    rows = [(None, 0, "user", "a"), (1, None, "user", None), (1, 0, "user", "x"), (1, 0, "user", "x"), (2, -5, None, "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert chat.repair(df).count() == 5 and chat.repair(df.where("false")).count() == 0
+
+
+# ---- 7 ----
+
+
+def components_of(values, near):
+    up = {k: k for k in values}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    keys = sorted(values)
+    for n, a in enumerate(keys):
+        for b in keys[:n]:
+            if near(values[a], values[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {k: root(k) for k in keys}
+
+
+def test_simhash(spark, texts):
+    import xxhash
+
+    def one(text):
+        w = text.encode().lower().split()
+        s = [b" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    values = {i: one(t) for i, t in texts.items()}
+    want = components_of(values, lambda a, b: (a ^ b).bit_count() <= 2)
+    got = simhash.op7_simhash_near_dedup(spark, DATA).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{values[i]:016x}", want[i]) for i in values}
+
+
+@pytest.mark.parametrize("size", [8, 4096])
+def test_simhash_links_lose_nothing(spark, size):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 30)
+    values = sorted({int(b) ^ (1 << int(x)) ^ (1 << int(y)) for b in base for x, y in rng.integers(0, 62, (6, 2))})
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    got = simhash.components(simhash.links(df, 2, size)).collect()
+    want = components_of({v: v for v in values}, lambda a, b: (a ^ b).bit_count() <= 2)
+    assert {r["node"]: r["root"] for r in got} == {k: r for k, r in want.items() if k != r}
+
+
+def test_near_copies(spark, odd):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in rng.integers(0, 5000, 12_000)]
+    rows = []
+    for k in range(40):
+        text = words[300 * k : 300 * k + 300]
+        rows.append((2 * k, " ".join(text)))
+        for at in rng.integers(0, 300, 4):
+            text[at] = "changed"
+        rows.append((2 * k + 1, " ".join(text)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in got} and len(got) == 80
+    kept = simhash.keep_first(odd)
+    assert kept.columns == odd.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 4, None, None, 6, 7, 8, 9, 10]))
+    assert simhash.near_duplicates(odd.where("false")).count() == 0
+    assert simhash.near_duplicates(odd).count() == len(ODD)
+
+
+# ---- 8 ----
+
+
+def plain_counts(text):
+    t = text or ""
+    w = found(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    seen = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    covered = {p for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)}
+    failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_rules(spark, odd, texts):
+    fine = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    got = {r["doc_id"]: r for r in rules.op8_quality_rules(spark, DATA).collect()}
+    assert {i: tuple(got[i][c] for c in fine) for i in got} == {i: plain_counts(t) for i, t in texts.items()}
+    assert not any(r["kept"] and r["base_failed"] for r in got.values())
+    out = rules.judged(odd, ["doc_id", "g"]).collect()
+    assert sorted((str(r["doc_id"]), *(r[c] for c in fine)) for r in out) == sorted((str(i), *plain_counts(t)) for i, t in ODD)
+    assert rules.judged(odd.where("false"), ["doc_id"]).count() == 0
+
+
+def test_rules_spare_good_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    label = {r["doc_id"]: r["quality"] for r in common.table(spark, sf, "labels").collect()}
+    got = [(label.get(r["doc_id"]), r["kept"]) for r in rules.op8_quality_rules(spark, sf).collect() if not r["base_failed"]]
+    assert all(kept for y, kept in got if y == 1)
+    assert np.mean([not kept for y, kept in got if y == 0]) > 0.9
+
+
+# ---- 9 ----
+
+
+def test_packing(spark, texts):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(packing.default_vocabulary())
+    out = packing.op9_best_fit_packing(spark, DATA).collect()
+    by_sequence, by_doc = collections.defaultdict(list), collections.defaultdict(list)
+    for r in out:
+        by_sequence[r["sequence_id"]].append(r)
+        by_doc[r["doc_id"]].append(r)
+    for rows in by_sequence.values():
+        place = 0
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == place
+            place += r["length"]
+        assert place <= 2048
+    for i, t in texts.items():
+        ids = [*coder.encode(t, add_special_tokens=False).ids, 0]
+        at = 0
+        for k, r in enumerate(sorted(by_doc[i], key=lambda r: r["piece"])):
+            assert (r["piece"], r["start"]) == (k, at) and (r["length"] == 2048 or k == 0)
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    pieces = packing.pieces(common.table(spark, DATA, "documents"), packing.default_vocabulary())
+    assert len(by_sequence) - packing.lower_bound(pieces) <= 1
+
+
+def test_packing_exchange_and_odd_rows(spark, odd):
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(1, 101, 3000).tolist()
+    items = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long")
+    out = packing.pack(items, 100, 400).collect()
+    fill = collections.Counter()
+    for r in out:
+        fill[r["sequence_id"]] += r["length"]
+    assert len(out) == 3000 and max(fill.values()) <= 100
+    assert len(fill) <= packing.lower_bound(items, 100) * 1.03
+    alone = sum(packing.best_fit(np.array(sizes[k::8]), 100).max() + 1 for k in range(8))
+    assert len(fill) <= alone
+    rows = packing.packed_documents(odd, packing.default_vocabulary()).collect()
+    assert sum(r["piece"] == 0 for r in rows) == len(ODD) and min(r["length"] for r in rows) == 1
+    assert packing.packed_documents(odd.where("false"), packing.default_vocabulary()).count() == 0
+
+
+def test_lower_bound_is_one():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        sizes = rng.integers(1, 31, rng.integers(1, 60))
+        assert packing.least_bins(np.bincount(sizes, minlength=31)) <= packing.best_fit(sizes, 30).max() + 1
+    assert packing.least_bins(np.bincount([16] * 5, minlength=31)) == 5
+
+
+# ---- 10 ----
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 16 <= len(digits) <= 19 and luhn, "phone": 8 <= len(digits) <= 15}[kind]:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+TRICKY = [
+    "a@b.cc_d@e.f g", "a@b.c.d@e.f.g", "x%y@z.com..", "a@b@c.d", "1.2.3.4.5.6.7.8", "999.1.1.1 01.002.3.255", "4539 1488 0343 6467 4539148803436467", "4539-1488-0343-6467-1",
+    "+1 (988) 555-2485", "+123", "é 4539148803436467é ab@c.d é1.2.3.4", "a@b-.c-", "..@a.b", "4111111111111111  4111111111111111", "5 4111 1111 1111 1111", "a@b.c+1@d.e", "1.2.3.4@5.6",
+    "1" * 3000, "1 " * 3000, "a." * 3000 + "@" + "b." * 3000, "+" + "1" * 3000, "+1 1 1 1 1 1 1 1 1 (", "1.1.1.1 " * 300,
+]
+
+
+def test_pii(spark, texts):
+    rows = [*texts.items(), *((1000 + k, t) for k, t in enumerate(TRICKY)), *((2000 + k, t) for k, (_, t) in enumerate(ODD))]
+    got = pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        want = plain_spans(text[r["doc_id"]])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        n = collections.Counter(k for k, _, _ in want)
+        assert [r[f"n_{k}"] for k in PLAIN] == [n[k] for k in PLAIN]
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(joined.split(",")) <= set(r["spans"].split(","))
+
+
+def test_pii_discovers_by_context(spark, odd):
+    rows = [(k, f"some words please contact me at +1 (988) 555-{1000 + k} today") for k in range(20)]
+    rows += [(50, "other words please contact me at 988-555-1234 (home)"), (51, "we sold 98855512345678 of them"), (52, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.spans(df).collect()}
+    start = rows[20][1].index("988")
+    assert got[50] == f"phone:{start}:{start + 12}" and got[51] == "" and got[52] == ""
+    masked = {r["doc_id"]: r["text"] for r in pii.masked(df).collect()}
+    assert masked[50] == "other words please contact me at [PHONE] (home)" and masked[51] == rows[21][1] and masked[0] == "some words please contact me at [PHONE] today"
+    out = pii.masked(odd)
+    assert out.columns == odd.columns and out.count() == len(ODD)
+    assert pii.masked(odd.where("false")).count() == 0 and pii.spans(odd.where("false")).count() == 0
+
+
+# ---- all ----
+
+
+def test_registry():
+    numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries())
+    assert numbers == list(range(1, 11))
