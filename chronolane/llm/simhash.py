@@ -205,27 +205,32 @@ def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-#: For near copies: bits, the radius that five-word shingles with a similarity of 0.8 stay within (19 times in 20), and that of the first 64 bits.
-WIDE_BITS, WIDE_RADIUS, FIRST_RADIUS, WIDE_TILE = 256, 48, 20, 8192
+#: For near copies: the similarity asked for, bits, the radius of candidates, that of the first 64 bits, and the radius of links that are verified first.
+SIMILARITY_9THS = 4  # similarity 0.8: 9 * common >= 4 * (size + size)
+WIDE_BITS, WIDE_RADIUS, FIRST_RADIUS, TIGHT_RADIUS, WIDE_TILE = 256, 64, 20, 36, 8192
+#: Shingle hashes of a text that one row holds in the verification, about.
+BLOCK = 4096
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> list[int]:
-    """WIDE_BITS majority bits in 64-bit words: of each shingle's hash and of values mixed from it."""
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    words = WIDE_BITS // 64
     if not found:
-        return [0] * words
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     if len(found) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.cumsum(sizes + 1) - 1
-        first, last = (ends - sizes)[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)]
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(sizes + 1) - 1
+    first, last = (ends - sizes)[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], np.uint64))
+
+
+def wide_fingerprint(values: np.ndarray) -> list[int]:
+    """WIDE_BITS majority bits in 64-bit words: of each distinct shingle's hash and of values mixed from it."""
+    words = WIDE_BITS // 64
     total = np.zeros(WIDE_BITS, np.int64)
-    values = np.array(hashes, "<u8")
     for at in range(0, len(values), 1 << 14):
         part = values[at : at + (1 << 14)]
         wide = np.stack([part, *[_mixed(part, k) for k in range(1, words)]], axis=1)
@@ -240,67 +245,188 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_forest(a: np.ndarray, b: np.ndarray, radius: int = WIDE_RADIUS, first: int = FIRST_RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """As tile_forest, of rows of words; links as places in a followed by b. The first word sieves, all words decide."""
-    label = np.arange(len(a) + len(b))
-    for at in range(0, len(a), 256):
-        i, j = np.nonzero(np.bitwise_count(a[at : at + 256, None, 0] ^ b[None, :, 0]) <= first)
-        near = np.bitwise_count(a[i + at] ^ b[j]).sum(axis=1, dtype=np.int64) <= radius
-        if near.any():
-            _merge(label, i[near] + at, j[near] + len(a))
-    linked = np.flatnonzero(label != np.arange(len(label)))
-    return linked, label[linked]
+def _set_key(values: np.ndarray) -> tuple[bytes, int]:
+    """A digest of a set of hashes, and its first 64 bits as a signed number."""
+    sig = xxhash.xxh3_128_digest(values.astype("<u8").tobytes(), SEED)
+    return sig, int.from_bytes(sig[:8], "little", signed=True)
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, size: int = WIDE_TILE) -> DataFrame:
-    """doc_id and component_id of every row with an id: components of near copies, named by their smallest doc_id.
+def _cuts(n: int) -> int:
+    """Into how many ranges of hashes the verification cuts a set of n: a power of two."""
+    return 1 << max(0, (-(-n // BLOCK) - 1).bit_length())
 
-    Five-word shingles with a similarity of 0.8 differ in about 15 of 100 bits.
-    On 64 bits that is 10 with a spread of 3, too coarse to tell; on 256 it is 39
-    with a spread of 6, and unrelated texts differ in 128 with a spread of 8. Tiles
-    are cut by the population count of the first 64 bits and meet within
-    FIRST_RADIUS of it.
-    """
-    spark = docs.sparkSession
-    words = WIDE_BITS // 64
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "fp"])
+def wide_pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, same: bool, radius: int, tight: int, apart: tuple | None = None) -> tuple:
+    """i, j, tree: pairs of a row of a and one of b that may be near copies.
 
-    slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = materialise(slim.mapInArrow(run, "doc_id long, fp array<long>"), "wide")
-    distinct = materialise(made.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
+    The first word sieves, all words decide, and sets whose sizes alone rule the
+    similarity out go. tree marks a spanning forest (of pairs, the closest first)
+    over the pairs within `tight`; of all others those are given whose ends lie
+    in different trees. same: a and b are one tile. apart: groups of a and of b;
+    pairs of one group go.
+    """
+    off = 0 if same else len(a)
+    label = np.arange(off + len(b))
+    rng = np.random.default_rng(SEED)
+    trees, rest = [], []
+    for at in range(0, len(a), 256):
+        i, j = np.nonzero(np.bitwise_count(a[at : at + 256, None, 0] ^ b[None, :, 0]) <= FIRST_RADIUS)
+        i = i + at
+        if same:
+            i, j = i[i < j], j[i < j]
+        if apart:
+            other = apart[0][i] != apart[1][j]
+            i, j = i[other], j[other]
+        far = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64)
+        low, high = np.minimum(na[i], nb[j]), np.maximum(na[i], nb[j])
+        near = (far <= radius) & ((9 - SIMILARITY_9THS) * low >= SIMILARITY_9THS * high)
+        i, j, far = i[near], j[near] + off, far[near]
+        close = far <= tight
+        x, y, d = i[close], j[close], far[close]
+        while True:
+            p, q = label[x], label[y]
+            split = p != q
+            if not split.any():
+                break
+            x, y, d, p, q = x[split], y[split], d[split], p[split], q[split]
+            low, high = np.minimum(p, q), np.maximum(p, q)
+            order = np.lexsort((rng.random(len(high)), d, high))  # by chance among equals, so that no row draws all links
+            order = order[np.concatenate([[True], np.diff(high[order]) > 0])]
+            label[high[order]] = low[order]
+            trees.append((x[order], y[order]))
+            while not np.array_equal(up := label[label], label):
+                label[:] = up
+        split = label[i] != label[j]
+        rest.append((i[split], j[split]))
+
+    def joined(found: list) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]).astype(np.int64) for k in range(2))
+
+    (x, y), (i, j) = joined(trees), joined(rest)
+    split = label[i] != label[j]
+    i, j = np.concatenate([x, i[split]]), np.concatenate([y, j[split]])
+    return i, j - off, np.arange(len(i)) < len(x)
+
+
+_PAIR = "src long, src_key long, dst long, dst_key long, total long, cuts int, tree boolean, pop int, to int, a_slice int, b_slice int"
+_TILES = ["pop", "to", "a_slice", "b_slice"]
+
+
+def _tile_pairs(distinct: DataFrame, size: int) -> DataFrame:
+    """pop, to, a_slice, b_slice, a and b: every two tiles that can hold near copies. Tiles are of rows of id, key, n, g and the words."""
     pop = F.bit_count(F.get("fp", F.lit(0)))
     counts = distinct.groupBy(pop.alias("pop")).agg(F.ceil(F.count("*") / F.lit(size)).alias("slices"))
     at = distinct.withColumn("pop", pop).join(F.broadcast(counts), "pop")  # 65 rows at most
     at = at.withColumn("slice", F.pmod(F.xxhash64("fp"), "slices").cast("int"))
-    row = F.struct("id", *[F.get("fp", F.lit(k)).alias(f"w{k}") for k in range(words)])
+    row = F.struct("id", "key", "n", "g", *[F.get("fp", F.lit(k)).alias(f"w{k}") for k in range(WIDE_BITS // 64)])
     tiled = materialise(at.groupBy("pop", "slice").agg(F.collect_list(row).alias("rows")), "tiles")
     left = tiled.select(F.explode(F.sequence(F.col("pop"), F.least(F.col("pop") + FIRST_RADIUS, F.lit(64)))).alias("to"), "pop", F.col("slice").alias("a_slice"), F.col("rows").alias("a"))
     right = tiled.select(F.col("pop").alias("to"), F.col("slice").alias("b_slice"), F.col("rows").alias("b"))
-    pairs = left.join(right, "to").where("pop <> to OR a_slice <= b_slice")
-    pairs = pairs.repartition("pop", "to", "a_slice", "b_slice").select("a", "b")
+    return left.join(right, "to").where("pop <> to OR a_slice <= b_slice").select(*_TILES, "a", "b")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def side(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-            v = column[k].values
-            return v.field("id").to_numpy(), np.stack([v.field(f"w{i}").to_numpy() for i in range(words)], axis=1).view(np.uint64)
 
+def _candidates(pairs: DataFrame, radius: int, tight: int) -> DataFrame:
+    """Pairs of tiles to pairs of texts to verify."""
+
+    def side(column: pa.Array, k: int) -> dict[str, np.ndarray]:
+        v = column[k].values
+        out = {name: v.field(name).to_numpy() for name in ("id", "key", "n", "g")}
+        return out | {"w": np.stack([v.field(f"w{i}").to_numpy() for i in range(WIDE_BITS // 64)], axis=1).view(np.uint64)}
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys = [batch.column(k).to_pylist() for k in range(4)]
             for k in range(batch.num_rows):
-                (ia, a), (ib, b) = side(batch.column(0), k), side(batch.column(1), k)
-                i, j = wide_forest(a, b, radius)
-                both = np.concatenate([ia, ib])
-                src, dst = both[i], both[j]
-                differ = src != dst
-                if differ.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(src[differ]), pa.array(dst[differ])], ["src", "dst"])
+                at = [c[k] for c in keys]
+                a, b = side(batch.column(4), k), side(batch.column(5), k)
+                same = at[0] == at[1] and at[2] == at[3]
+                i, j, tree = wide_pairs(a["w"], b["w"], a["n"], b["n"], same, radius, tight, (a["g"], b["g"]))
+                if not len(i):
+                    continue
+                most = np.maximum(a["n"][i], b["n"][j])
+                cuts = np.array([_cuts(int(n)) for n in most], np.int32)
+                cols = [a["id"][i], a["key"][i], b["id"][j], b["key"][j], a["n"][i] + b["n"][j], cuts, tree]
+                cols += [np.full(len(i), x, np.int32) for x in at]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["src", "src_key", "dst", "dst_key", "total", "cuts", "tree", *_TILES])
+
+    return pairs.repartition(*_TILES).select(*_TILES, "a", "b").mapInArrow(compare, _PAIR)
+
+
+def _blocks(slim: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """id, key, cuts, block, hashes: the wanted texts' shingle hashes, cut into ranges.
+
+    A set is cut as its own size and as a near copy's largest size ask.
+    """
 
-    roots = components(pairs.mapInArrow(compare, "src long, dst long"))
-    named = distinct.join(roots, distinct["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return made.join(named, "fp").select("doc_id", "component_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = shingle_set(text.as_py(), shingle)
+                key, n = _set_key(values)[1], len(values)
+                rows = []
+                for cuts in {_cuts(n), _cuts(n * (9 - SIMILARITY_9THS) // SIMILARITY_9THS)}:
+                    edges = np.array([(k << 64) // cuts for k in range(1, cuts)], np.uint64)
+                    rows += [(cuts, k, part.view(np.int64)) for k, part in enumerate(np.split(values, np.searchsorted(values, edges)))]
+                cols = [pa.array([doc] * len(rows), pa.int64()), pa.array([key] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "key", "cuts", "block", "hashes"])
+
+    texts = slim.join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    made = texts.mapInArrow(run, "id long, key long, cuts int, block int, hashes array<long>")
+    return made.join(wanted, ["id", "key"], "left_semi").dropDuplicates(["id", "key", "cuts", "block"])
+
+
+def _verified(pairs: DataFrame, slim: DataFrame, shingle: int) -> DataFrame:
+    """The pairs with `near`: whether their sets of shingles have the similarity. Sets meet range by range."""
+    ends = [pairs.select(F.col(e).alias("id"), F.col(f"{e}_key").alias("key")) for e in ("src", "dst")]
+    blocks = _blocks(slim, ends[0].union(ends[1]).distinct(), shingle)
+    each = pairs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    for e in ("src", "dst"):
+        own = blocks.select(F.col("id").alias(e), F.col("key").alias(f"{e}_key"), "cuts", "block", F.col("hashes").alias(f"{e}_hashes"))
+        each = each.join(own, [e, f"{e}_key", "cuts", "block"])
+    common = F.sum(F.size(F.array_intersect("src_hashes", "dst_hashes")))
+    out = each.groupBy(*pairs.columns).agg(common.alias("common"))
+    return out.withColumn("near", F.col("common") * 9 >= F.col("total") * SIMILARITY_9THS)
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, size: int = WIDE_TILE, tight: int = TIGHT_RADIUS) -> DataFrame:
+    """doc_id and component_id of every row with an id: components of near copies, named by their smallest doc_id.
+
+    Near copies have sets of five-word shingles with a Jaccard similarity of at
+    least 0.8, counted over all shingles of both. Fingerprints only find the
+    candidates: a similarity of 0.8 differs in about 39 of 256 bits with a spread
+    of 6 (48 where a text has five shingles), unrelated texts in 128. Tiles are
+    cut by the population count of the first 64 bits and meet within FIRST_RADIUS.
+
+    Equal sets are one row. Of candidates within `tight` a spanning forest for
+    each two tiles is verified, not all of a large group's pairs; where a link of
+    a forest fails, those tiles are compared again for every pair that is not
+    connected by then.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
+            keys = [_set_key(s) for s in sets]
+            cols = [batch.column(0), pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int64())]
+            cols += [pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_fingerprint(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sig", "key", "n", "fp"])
+
+    slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made = materialise(slim.mapInArrow(run, "doc_id long, sig binary, key long, n long, fp array<long>"), "wide")
+    distinct = materialise(made.groupBy("sig", "key", "n", "fp").agg(F.min("doc_id").alias("id")), "distinct")
+
+    found = materialise(_candidates(_tile_pairs(distinct.withColumn("g", F.col("id")), size), radius, tight), "candidates")
+    tried = materialise(_verified(found, slim, shingle), "verified")
+    edges = tried.where("near").select("src", "dst")
+    again = tried.where("tree AND NOT near").select(*_TILES).distinct()
+    roots = components(edges)
+    if not again.isEmpty():
+        grouped = distinct.join(roots, distinct["id"] == roots["node"], "left").select("id", "key", "n", "fp", F.coalesce("root", "id").alias("g"))
+        pairs = _tile_pairs(grouped, size).join(again, _TILES, "left_semi")
+        found = materialise(_candidates(pairs, radius, -1), "candidates")
+        roots = components(edges.union(_verified(found, slim, shingle).where("near").select("src", "dst")))
+    named = distinct.join(roots, distinct["id"] == roots["node"], "left").select("sig", F.coalesce("root", "id").alias("component_id"))
+    return made.join(named, "sig").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -337,6 +337,29 @@ def test_near_copies(spark, odd):
     assert simhash.near_duplicates(odd).count() == len(ODD)
 
 
+def plain_shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("tight", [36, 64])
+def test_near_copies_are_verified(spark, tight, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    rows = []
+    for m in (17, 22, 23, 28, 35) * 8:  # similarities of 0.843, 0.802, 0.794, 0.754 and 0.702
+        text = [f"w{k}" for k in rng.integers(0, 10**6, 204)]
+        rows.append((len(rows), " ".join(text)))
+        rows.append((len(rows), " ".join([*text[:-m], *[f"v{k}" for k in rng.integers(0, 10**6, m)]])))
+    # repeats weigh nothing: one shingle makes the most of both, and few are shared
+    rows += [(len(rows) + k, "same " * 400 + " ".join(f"{c}{n}" for n in range(20))) for k, c in enumerate("ab")]
+    sets = {i: plain_shingles(t) for i, t in rows}
+    want = components_of(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    assert sum(i != c for i, c in want.items()) == 16
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), tight=tight).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 # ---- 8 ----
 
 
