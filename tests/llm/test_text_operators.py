@@ -438,6 +438,15 @@ def test_packing_exchange_and_odd_rows(spark, odd):
     assert packing.packed_documents(odd.where("false"), packing.default_vocabulary()).count() == 0
 
 
+def test_packing_encodes_as_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    coder, encode = Tokenizer.from_file(path), packing.encoder(path)
+    for text in ("", "one <|endoftext|> two", "<|endoftext|>", "a" + " " * 1_100_000 + "b", "\n" * 1_500_000, " " * 9_999 + "x", "a b\u3000\u3000 c"):
+        assert encode(text) == coder.encode(text, add_special_tokens=False).ids
+
+
 def test_lower_bound_is_one():
     rng = np.random.default_rng(1)
     for _ in range(50):
