@@ -6,8 +6,11 @@ logarithmic bin (relative error GAMMA - 1), so sketches merge by adding counts,
 in any order and with the same result. Groups of fewer than LEAST_ROWS documents
 take the merged sketch of their language, small languages that of everything.
 Quantiles of the sketch set a fence for each measure: the median plus REACH
-spreads, where the spread is the range from the median to the upper quartile but
-no less than a share of the median and a floor for the measure. Documents meet
+spreads, where the spread is the range from the median to the upper quartile, no
+more than that of the language or of everything (so a source that is junk by a
+third does not set its own fence), but no less than a share of the median and a
+floor for the measure. Repeated lines are measured against the lines with a word.
+Documents meet
 their group's fences by a join and are kept below all of them.
 
 Defined results: a null text has no words, lines or symbols (and fails the base
@@ -27,7 +30,7 @@ from chronolane.llm.common import materialise, table, words
 
 WINDOW = 8
 GAMMA, LEAST_ROWS, REACH = 1.02, 200, 6.0
-#: Least spreads: of the symbols and capitals for each word, of the share of repeated lines, of the mean word length.
+#: Least spreads: of the symbols and capitals for each word, of the share of repeated lines among those with a word, of the mean word length.
 FLOORS = {"symbols": 0.05, "capitals": 0.15, "repeated": 0.08, "word_length": 0.8}
 
 
@@ -39,7 +42,7 @@ def repeated_words(hashes: Column, n: Column) -> tuple[Column, Column]:
 
 
 def counts(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The carried columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_capitals."""
+    """The carried columns with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_capitals."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.select(*carry, text.alias("_text"), words(text).alias("_words"))
     lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -55,8 +58,8 @@ def counts(docs: DataFrame, carry: list[str]) -> DataFrame:
     kept = [*carry, "n_words", "word_chars", "n_symbols", "n_capitals"]
     windows, repeats = repeated_words(F.col("_hashes"), F.col("n_words").cast("int"))
     dup_lines = F.size("_lines") - F.size(F.array_distinct("_lines"))
-    out = out.select(*kept, dup_lines.cast("long").alias("n_dup_lines"), windows.alias("windows"))
-    kept.append("n_dup_lines")
+    out = out.select(*kept, F.size("_lines").cast("long").alias("n_lines"), dup_lines.cast("long").alias("n_dup_lines"), windows.alias("windows"))
+    kept += ["n_lines", "n_dup_lines"]
     # only texts with a repeated window sort their windows; equal hashes then stand side by side
     ordered = F.when(repeats, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     out = out.select(*kept, ordered.alias("_by_hash"))
@@ -74,7 +77,7 @@ def measures() -> dict[str, Column]:
     return {
         "symbols": F.col("n_symbols") / n,
         "capitals": F.col("n_capitals") / n,
-        "repeated": F.col("n_dup_lines") / n,
+        "repeated": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "word_length": F.col("word_chars") / n,
     }
 
@@ -98,16 +101,20 @@ def fences(sketch: DataFrame) -> DataFrame:
         ranked = merged.select(*keys, "measure", value.alias("v"), F.sum("n").over(running).alias("upto"), F.sum("n").over(group).alias("rows"))
         at = lambda q: F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("v")))
         by = ranked.groupBy(*keys, "measure").agg(at(0.5).alias("mid"), at(0.75).alias("high"), F.max("rows").alias("rows"))
-        floor = F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv])[F.col("measure")]
-        spread = F.greatest(F.col("high") - F.col("mid"), F.col("mid") * 0.05, floor)
-        by = by.withColumn("fence", F.col("mid") + REACH * spread)
-        picked = [F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"{prefix}{m}") for m in FLOORS]
+        picked = [F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{prefix}{c}_{m}") for m in FLOORS for c in ("mid", "high")]
         return by.groupBy(*keys).agg(*picked, F.max("rows").alias(f"{prefix}rows"))
 
     own, lang = level(["_lang", "_source"], "s_"), level(["_lang"], "l_")
     everything = level([], "a_")  # one row
     out = own.join(lang, "_lang").crossJoin(F.broadcast(everything))
-    pick = lambda m: F.when(F.col("s_rows") >= LEAST_ROWS, F.col(f"s_{m}")).when(F.col("l_rows") >= LEAST_ROWS, F.col(f"l_{m}")).otherwise(F.col(f"a_{m}"))
+
+    def fence(m: str, *levels: str) -> Column:
+        mid = F.col(f"{levels[0]}_mid_{m}")
+        spreads = [F.col(f"{x}_high_{m}") - F.col(f"{x}_mid_{m}") for x in levels]
+        spread = F.least(*spreads) if len(spreads) > 1 else spreads[0]
+        return mid + REACH * F.greatest(spread, mid * 0.05, F.lit(FLOORS[m]))
+
+    pick = lambda m: F.when(F.col("s_rows") >= LEAST_ROWS, fence(m, "s", "l", "a")).when(F.col("l_rows") >= LEAST_ROWS, fence(m, "l", "a")).otherwise(fence(m, "a"))
     return out.select("_lang", "_source", *[pick(m).alias(f"fence_{m}") for m in FLOORS])
 
 

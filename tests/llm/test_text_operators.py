@@ -391,6 +391,19 @@ def test_rules_spare_good_documents(spark):
     assert np.mean([not kept for y, kept in got if y == 0]) > 0.9
 
 
+def test_rules_reject_repeats_and_junk_sources(spark):
+    rng = np.random.default_rng(8)
+    prose = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    rows = [(k, prose(60), "en", "clean") for k in range(900)]
+    # most lines are a short menu's, between unique ones of 12 words
+    rows += [(1000 + k, "\n".join(x for _ in range(12) for x in (prose(12), "Home page", "About us")), "en", "clean") for k in range(5)]
+    # two fifths of a source are junk by symbols
+    rows += [(2000 + k, prose(60) if k % 5 < 3 else " ".join(f"# w{x}" for x in rng.integers(0, 10**6, 30)), "en", "mixed") for k in range(300)]
+    got = {r["doc_id"]: r for r in rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {*range(1000, 1005), *(2000 + k for k in range(300) if k % 5 > 2)}
+
+
 # ---- 9 ----
 
 
