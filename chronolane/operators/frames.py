@@ -19,28 +19,42 @@ def forest_faults(edges: DataFrame) -> DataFrame:
     return own.union(opposite).union(several).union(cyclic).distinct()
 
 
-def _rooted(e: DataFrame) -> DataFrame:
-    """Frames that can be reached from a root."""
-    return closure(e).select(F.col("descendant").alias("frame")).distinct()
-
+def _roots(e: DataFrame) -> DataFrame:
+    return e.select(F.col("parent").alias("root")).distinct().join(e.select(F.col("child").alias("root")).distinct(), "root", "left_anti")
 
-def closure(edges: DataFrame, depth: int = 32) -> DataFrame:
-    """root, descendant, depth and path of every frame below a root (a parent that is no child); trees of at most `depth` levels.
 
-    A level is a join of the level before with the edges; it ends when a level is empty.
+def _rooted(e: DataFrame) -> DataFrame:
+    """Frames that can be reached from a root, by walks of doubling length, until none is new."""
+    out = _roots(e).select(F.col("root").alias("frame")).checkpoint()
+    step = e.select(F.col("parent").alias("a"), F.col("child").alias("b"))
+    while True:
+        new = out.join(step, F.col("frame") == F.col("a")).select(F.col("b").alias("frame")).distinct().join(out, "frame", "left_anti").checkpoint()
+        if new.isEmpty():
+            return out
+        out = out.union(new).checkpoint()
+        step = step.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct().checkpoint()
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """root, descendant, depth and path of every frame below a root (a parent that is no child), however deep.
+
+    Each round joins the paths found with segments of twice the length before; a
+    path holds no frame twice, so the rounds end. `path` is joined by slashes,
+    which frames may hold themselves.
     """
     e = edges.select("parent", "child").distinct()
-    roots = e.select(F.col("parent").alias("root")).distinct().join(e.select(F.col("child").alias("root")).distinct(), "root", "left_anti")
-    level = roots.select("root", F.col("root").alias("descendant"), F.lit(0).alias("depth"), F.col("root").cast("string").alias("path"))
-    out = level
-    for _ in range(depth):
-        below = level.join(e, F.col("descendant") == F.col("parent")).where(~F.array_contains(F.split("path", "/"), F.col("child")))
-        level = below.select("root", F.col("child").alias("descendant"), (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", "child").alias("path"))
-        if level.isEmpty():
-            break
-        level = level.checkpoint()
-        out = out.unionByName(level)
-    return out
+    out = _roots(e).select("root", F.col("root").alias("descendant"), F.array("root").alias("frames"))
+    # segments of one length: the frame above, the last frame, and the frames below the first
+    step = e.where("parent <> child").select(F.col("parent").alias("a"), F.col("child").alias("b"), F.array("child").alias("below"))
+    apart = ~F.arrays_overlap("frames", "below")
+    while True:
+        new = out.join(step, F.col("descendant") == F.col("a")).where(apart).select("root", F.col("b").alias("descendant"), F.concat("frames", "below").alias("frames")).checkpoint()
+        if new.isEmpty():
+            return out.select("root", "descendant", (F.size("frames") - 1).alias("depth"), F.array_join("frames", "/").alias("path"))
+        out = out.union(new).checkpoint()
+        more = step.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("below").alias("more"))
+        whole = step.join(more, "b").where(~F.arrays_overlap("below", "more") & ~F.array_contains("more", F.col("a")))
+        step = whole.select("a", F.col("c").alias("b"), F.concat("below", "more").alias("below")).checkpoint()
 
 
 def conflicts(edges: DataFrame) -> DataFrame:
@@ -71,17 +85,16 @@ def bad_values(edges: DataFrame) -> DataFrame:
     return edges.withColumn("fault", why).where("fault IS NOT NULL")
 
 
-def path_between(edges: DataFrame, ref: str, of: str, depth: int = 32) -> tuple[list[str], list[str]]:
-    """Frames from `of` up to the common ancestor and from `ref` up to it: a walk over at most 2 * depth edges."""
+def path_between(edges: DataFrame, ref: str, of: str) -> tuple[list[str], list[str]]:
+    """Frames from `of` up to the common ancestor and from `ref` up to it: a walk up to the root, or to a frame that was met."""
 
     def up(frame: str) -> list[str]:
         out = [frame]
-        for _ in range(depth):
+        while True:
             r = edges.where(F.col("child") == out[-1]).select("parent").limit(1).collect()
-            if not r:
-                break
+            if not r or r[0]["parent"] in out:
+                return out
             out.append(r[0]["parent"])
-        return out
 
     a, b = up(ref), up(of)
     common = next((f for f in b if f in a), None)

@@ -155,3 +155,15 @@ def test_deskew_moves_late_points(spark):
     pts = spark.createDataFrame([(0, S, 0, 1.0, 0.0, 0.0, None, 0.0), (0, S, 1, 1.0, 0.0, 0.0, None, 0.5), (0, S, 2, float("nan"), 0.0, 0.0, None, 0.5)], "cloud_seq long, header_stamp_ns long, point_idx long, x double, y double, z double, intensity double, t double")
     got = {r["point_idx"]: r["x"] for r in clouds.deskewed(pts, traj).collect()}
     assert got[0] == pytest.approx(1.0) and got[1] == pytest.approx(1.5) and math.isnan(got[2])
+
+
+def test_deep_chains_are_walked_whole(spark):
+    chain = [(f"f{k}", f"f{k + 1}") for k in range(70)] + [("f3", "side/a"), ("side/a", "a")]
+    df = spark.createDataFrame(chain, "parent string, child string")
+    got = {r["descendant"]: r for r in frames.closure(df).collect()}
+    assert len(got) == 73 and all(got[f"f{k}"]["depth"] == k and got[f"f{k}"]["path"] == "/".join(f"f{j}" for j in range(k + 1)) for k in range(71))
+    assert got["a"]["path"] == "f0/f1/f2/f3/side/a/a"
+    assert frames.forest_faults(df).count() == 0
+    cycle = spark.createDataFrame([*chain, ("x", "y"), ("y", "z"), ("z", "x")], "parent string, child string")
+    assert sorted(r["frame"] for r in frames.forest_faults(cycle).collect()) == ["x", "y", "z"]
+    assert frames.path_between(df, "f35", "a") == (["a", "side/a", "f3"], [f"f{k}" for k in range(35, 2, -1)])
