@@ -5,8 +5,9 @@ without overlap: e-mail addresses, IP addresses with parts of at most 255, card
 numbers of 16 to 19 digits that pass the Luhn test, phone numbers of 8 to 15
 digits. They are the seeds.
 
-Every run of words that hold a digit or an at sign is an instance; the two words
-before it are its lexical pattern. Patterns and instances form a graph. Starting
+Every run of words that hold a digit or an at sign is an instance; the two tokens
+before it are its lexical pattern, where an earlier instance is one token and so
+is the start of the text. What opens a text has no pattern. Patterns and instances form a graph. Starting
 from seeds at 1 and all others at 0, a pattern's score is the mean score of its
 instances, each weighted by its occurrences, shrunk by PRIOR unknown ones; an
 unseen instance's score is the best score of its patterns. After ROUNDS rounds,
@@ -43,8 +44,10 @@ PATTERNS = {
     "card": r"[0-9](?<![0-9]{2})(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Up to five words in a row that hold a digit or an at sign.
-INSTANCE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+){0,4}"
+#: All words in a row that hold a digit or an at sign.
+INSTANCE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
+#: The last two words before an instance, of the reversed text; and the tokens that stand for the start and for instances (words are in lower case).
+_TAIL, _START, _EARLIER = r"^\s*+(\S*+(?:\s++\S++)?+)", "<START>", "<INSTANCE>"
 _OPEN, _CLOSE = r"^[\"'(\[{<]*", r"[\"')\]}>.,;:!?]*$"
 
 
@@ -130,8 +133,13 @@ def instances(based: DataFrame, carry: list[str]) -> DataFrame:
     out = based.withColumn("_base", _all_base()).select(*kept, "_text")
     may = F.col("_text").rlike("[0-9@]")
     out = _matches(out, "_found", INSTANCE, may, kept)
-    before = lambda x: F.lower(F.regexp_extract(F.right(x["before"], F.lit(100)), r"(\S+)\s+(\S+)\s*$", 0))
-    words = lambda x: F.concat_ws(" ", F.slice(F.filter(F.split(before(x), r"\s+", -1), lambda w: w != ""), 1, 2))
+    tail = lambda x: F.lower(F.reverse(F.regexp_extract(F.reverse(x["before"]), _TAIL, 1)))
+    # columns of their own, used more than once each
+    out = out.withColumn("_tokens", F.transform("_found", lambda x: F.filter(F.split(tail(x), r"\s+", -1), lambda w: w != "")))
+    one = lambda token: F.array(F.lit(token))
+    earlier = lambda i: F.concat(F.when(i == 1, one(_START)).otherwise(one(_EARLIER)), F.get("_tokens", i - 1), one(_EARLIER))
+    out = out.withColumn("_context", F.transform("_tokens", lambda t, i: F.concat(F.when(i == 0, one(_START)).otherwise(earlier(i)), t)))
+    words = lambda t: F.concat_ws(" ", F.get(t, F.size(t) - 2), F.get(t, F.size(t) - 1))
     first = lambda x: x["start"] + F.length(F.regexp_extract(x["m"], _OPEN, 0))
     last = lambda x: x["end"] - F.length(F.regexp_extract(x["m"], _CLOSE, 0))
     # used twice, so that the base spans are put together once for each row
@@ -139,16 +147,16 @@ def instances(based: DataFrame, carry: list[str]) -> DataFrame:
     kind = lambda x: F.when(F.size("_base") > 0, F.get(over(x), F.lit(0))["k"])
     made = F.transform(
         "_found",
-        lambda x: F.struct(
+        lambda x, i: F.struct(
             first(x).alias("start"),
             last(x).alias("end"),
-            words(x).alias("pattern"),
+            words(F.get("_context", i)).alias("pattern"),
             F.length(F.regexp_replace(x["m"], "[^0-9]", "")).alias("digits"),
             F.xxhash64(F.regexp_replace(F.regexp_replace(x["m"], _OPEN, ""), _CLOSE, "")).alias("instance"),
             kind(x).alias("k"),
         ),
     )
-    return out.select(*carry, F.filter(made, lambda x: (x["start"] < x["end"]) & (x["pattern"] != "")).alias("_instances"))
+    return out.select(*carry, F.filter(made, lambda x: (x["start"] < x["end"]) & (x["pattern"] != _START)).alias("_instances"))
 
 
 def confident(edges: DataFrame) -> DataFrame:

@@ -519,6 +519,22 @@ def test_pii_discovers_by_context(spark, odd):
     assert pii.masked(odd.where("false")).count() == 0 and pii.spans(odd.where("false")).count() == 0
 
 
+def test_pii_contexts_come_from_the_text(spark):
+    forms = ["Tel: {}", "Age 42 Tel: {}", "Phone: +1 (988) 555-7777 Fax: {}", "call" + " " * 200 + "home: {}", "see +1 (988) 555-7777\n{}"]
+    rows, want = [], {}
+    for f, form in enumerate(forms):
+        # seeds of a shape that base patterns find, then one they do not
+        rows += [(100 * f + k, form.format(f"+1 (988) 555-{1000 + k}") + " bye") for k in range(20)]
+        rows.append((100 * f + 50, form.format("988-555-1234") + " bye"))
+        want[100 * f + 50] = form.format("[PHONE]").replace("+1 (988) 555-7777", "[PHONE]") + " bye"
+    # an instance runs over all adjacent words of digits
+    rows += [(1000 + k, f"please ring +33 61 23 45 67 {100 + k} now") for k in range(20)]
+    rows.append((1050, "please ring 00 33 6 12 34 56 78 now"))
+    want[1050] = "please ring [PHONE] now"
+    got = {r["doc_id"]: r["text"] for r in pii.masked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in want} == want
+
+
 # ---- all ----
 
 
