@@ -30,70 +30,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolane.llm.common import materialise, table
+from chronolane.llm.common import free_name, materialise, table
 
 CAPACITY, CLOSING = 2048, 0
 PART_ITEMS = 50_000
-#: The byte-level split: a fixed value of the vocabulary's format.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Stretches of a text whose ids a task remembers: how many at most, and up to which length.
+MEMORY, MEMORABLE = 400_000, 48
+#: Where a single space follows a character that is no space and comes before another one.
+_GAP = re.compile(r"(?<=\S)(?= \S)")
 
 
-#: White space in a row that goes to tokenizers: tiktoken's split overflows its stack at about a million.
-LONG_SPACE = 10_000
+class Encoder(dict):
+    """Ids of stretches of text by tokenizers, without the special tokens a model adds, as little-endian bytes.
 
-
-def encoder(path: str):
-    """A function from a text to its token ids, those of tokenizers without the special tokens a model adds.
-
-    Where a file's merges stand in the order of their ids, which is all that a
-    rank-based encoder needs, tiktoken runs with that file's vocabulary: the ids
-    are the same and come sooner. Texts that hold one of the file's added tokens
-    or LONG_SPACE white-space characters in a row, and all texts with other files,
-    go through tokenizers.
+    With a byte-level split and no normaliser a single space between two other
+    characters always opens a new piece, so a text is cut there and each stretch
+    is encoded by tokenizers once for as long as it is remembered: the ids are
+    those of the whole text. With other files a text is one stretch.
     """
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(path)
-    plain = _ranked(path)
-    added = [t.content for t in whole.get_added_tokens_decoder().values()]
-    beyond = re.compile("|".join([rf"(?<!\s)\s{{{LONG_SPACE}}}", *map(re.escape, added)]))
-
-    def encode(text: str) -> list[int]:
-        if plain and not beyond.search(text):
-            return plain.encode_ordinary(text)
-        return whole.encode(text, add_special_tokens=False).ids
 
-    return encode
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
+        spec = json.loads(Path(path).read_text())
+        split, added = spec.get("pre_tokenizer") or {}, self.whole.get_added_tokens_decoder().values()
+        plain = not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.cuts = plain and not any(" " in t.content or t.lstrip or t.rstrip or t.single_word for t in added)
 
-def _ranked(path: str):
-    """A rank-based encoder for a byte-level vocabulary whose merges stand in the order of their ids, else None."""
-    import tiktoken
+    def __missing__(self, stretch: str) -> bytes:
+        ids = np.array(self.whole.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(stretch) <= MEMORABLE:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[stretch] = ids
+        return ids
 
-    spec = json.loads(Path(path).read_text())
-    vocab, split = spec["model"]["vocab"], spec["pre_tokenizer"] or {}
-    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in spec["model"].get("merges", ())]
-    ids = [vocab[m] for m in made]
-    if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or ids != sorted(ids):
-        return None
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # these bytes stand for themselves, others for what follows 255
-    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-    special = {t["content"] for t in spec.get("added_tokens", ())}
-    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
-    return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _GAP.split(text))) if self.cuts else self[text]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int = CLOSING) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and row (a number of the row) of every piece of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, end = Encoder(path).encode, np.array([closing], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows, out = part.column(0).to_pylist(), []
                 for doc, text in zip(rows, part.column(1).to_pylist(), strict=True):
-                    ids = np.array([*encode(text or ""), closing], "<u4").tobytes()
+                    ids = encode(text or "") + end
                     n = len(ids) // 4
                     head = n % capacity or capacity
                     starts = [0, *range(head, n, capacity)]
@@ -172,11 +160,11 @@ def _packed(lengths: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray,
     return bins, offset, np.array([bound, made, made - bound])
 
 
-def _packer(names: list[str], capacity: int, last: bool, seq: int):
+def _packer(names: list[str], part: str, capacity: int, last: bool, seq: int):
     def packed(t: pa.Table) -> pa.Table:
         t = t.sort_by([(c, "ascending") for c in ["length", *[c for c in names if c != "length"]]])
         bins, offset, _ = _packed(t.column("length").to_numpy().astype(np.int64), capacity, last)
-        base = (seq << 56) + (t.column("part")[0].as_py() << 24)
+        base = (seq << 56) + (t.column(part)[0].as_py() << 24)
         out = t.select(names).append_column("sequence_id", pa.array(np.where(bins < 0, -1, bins + base)))
         return out.append_column("offset", pa.array(offset))
 
@@ -184,8 +172,10 @@ def _packer(names: list[str], capacity: int, last: bool, seq: int):
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS) -> DataFrame:
-    """The items (with a column length from 1 to the capacity) with sequence_id and offset."""
+    """The items (with a column length from 1 to the capacity) with sequence_id and offset, in place of columns of these names."""
+    items = items.drop("sequence_id", "offset")
     names = items.columns
+    part = free_name([*names, "sequence_id", "offset"], "part")
     spark = items.sparkSession
     kept = [f.simpleString().replace(":", " ", 1) for f in items.schema.fields]
     full = items.where(F.col("length") == capacity)
@@ -196,8 +186,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEM
     while n:
         parts = -(-n // part_items)
         last = parts == 1
-        dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.lit(seq), *names), F.lit(parts)).cast("long"))
-        packed = dealt.groupBy("part").applyInArrow(_packer(names, capacity, last, seq), ", ".join([*kept, "sequence_id long", "offset long"]))
+        dealt = rest.withColumn(part, F.pmod(F.xxhash64(F.lit(seq), *names), F.lit(parts)).cast("long"))
+        packed = dealt.groupBy(part).applyInArrow(_packer(names, part, capacity, last, seq), ", ".join([*kept, "sequence_id long", "offset long"]))
         tried = materialise(packed, "packed")
         done.append(tried.where("sequence_id >= 0"))
         rest, seq = tried.where("sequence_id < 0").select(*names), seq + 1

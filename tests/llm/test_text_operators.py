@@ -202,12 +202,16 @@ def test_warc_round_trip(spark, tmp_path, compression, least):
     assert held[4] == rows[4][1].encode() and held[5] == rows[5][1].encode()
 
 
-def test_warc_salvage():
-    made = []
-    for i in range(4):
-        payload = f"payload {i} WARC/1.1 x".encode()
+def records_of(payloads):
+    out = []
+    for i, payload in enumerate(payloads):
         block = warc._HTTP % len(payload) + payload
-        made.append(warc.record_head("response", i, None, None, payload, block).encode() + block + warc.END)
+        out.append(warc.record_head("response", i, None, None, warc.digest(payload), len(payload), block).encode() + block + warc.END)
+    return out
+
+
+def test_warc_salvage():
+    made = records_of(f"payload {i} WARC/1.1 x".encode() for i in range(4))
     flipped = bytearray(made[1])
     flipped[-10] ^= 1
     short = made[1][:-8] + made[1][-7:]
@@ -216,11 +220,38 @@ def test_warc_salvage():
         assert [x["fields"]["warc-record-id"] for what, _, _, x in out if what == "record"] == ["<urn:page:0>", "<urn:page:2>"]
         gaps = [(a, b) for what, a, b, _ in out if what == "gap"]
         assert gaps[0] == (len(made[0]), len(made[0]) + len(bad)) and len(gaps) == 2
-    zipped = [gzip.compress(m) for m in made]
-    broken = bytearray(zipped[1])
-    broken[30] ^= 255
-    out = list(warc.salvage(zipped[0] + bytes(broken) + zipped[2] + b"xx" + zipped[3]))
-    assert [what for what, *_ in out] == ["record", "gap", "record", "gap", "record"]
+
+
+def test_warc_broken_byte_costs_one_record():
+    made = records_of([b"a" * 300, b"", bytes(range(256)) * 9, b"z" * (1 << 24), b"last"])
+    members = [warc.member(m) + b"\0" for m in made]
+    assert members[3].endswith(gzip.compress(b"", mtime=0))
+    whole, edge = b"".join(members), np.cumsum([0, *map(len, members)])
+    assert [what for what, *_ in warc.salvage(whole)] == ["record"] * 5 and gzip.decompress(whole) == b"".join(made)
+    rng = np.random.default_rng(3)
+    for k in range(5):
+        for at in {int(edge[k]), int(edge[k + 1]) - 1 - 20 * (k == 3), *rng.integers(edge[k], edge[k + 1] - 20 * (k == 3), 3).tolist()}:
+            broken = bytearray(whole)
+            broken[at] ^= 1 << int(rng.integers(8))
+            out = list(warc.salvage(bytes(broken)))
+            lost = {str(i) for i in range(5)} - {x["fields"]["warc-record-id"][10:-1] for what, _, _, x in out if what == "record"}
+            assert lost <= {str(k)}  # a bit of the member's header that says nothing of the content may be wrong
+            assert all(edge[k] <= a and b <= edge[k + 1] for what, a, b, _ in out if what == "gap")
+    noise = list(warc.salvage(members[0] + b"xx" + members[1]))
+    assert [(what, b - a) for what, a, b, _ in noise if what == "gap"] == [("gap", 2)]
+
+
+def test_warc_hot_payloads_and_large_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_PART", 10)
+    rows = [(k, "common" if k % 3 else f"own {k % 50}") for k in range(300)] + [(None, "common")] * 20 + [(None, "no id")] * 60 + [(1000, "x" * 50_000_000), (1001, "x" * 50_000_000)]
+    df = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in rows], "page_id long, url string, html string").repartition(7)
+    warc.write_archives(df, str(tmp_path / "w"))
+    out = warc.read_archives(spark, str(tmp_path / "w"))
+    assert out.where("gap IS NOT NULL").count() == 0
+    got = out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == plain_pages(rows)
+    sizes = [len(r["payload"]) for r in out.where("record_type = 'response' AND page_id >= 1000").collect()]
+    assert sizes == [50_000_000]
 
 
 # ---- 6 ----
@@ -451,13 +482,19 @@ def test_packing_exchange_and_odd_rows(spark, odd):
     assert packing.packed_documents(odd.where("false"), packing.default_vocabulary()).count() == 0
 
 
-def test_packing_encodes_as_tokenizers():
+def test_packing_encodes_as_tokenizers(monkeypatch):
     from tokenizers import Tokenizer
 
-    path = packing.default_vocabulary()
-    coder, encode = Tokenizer.from_file(path), packing.encoder(path)
-    for text in ("", "one <|endoftext|> two", "<|endoftext|>", "a" + " " * 1_100_000 + "b", "\n" * 1_500_000, " " * 9_999 + "x", "a b\u3000\u3000 c"):
-        assert encode(text) == coder.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(packing, "MEMORY", 100)
+    path, rng = packing.default_vocabulary(), np.random.default_rng(4)
+    coder, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    parts = ["a", "b", " ", "  ", "\n", "\t", "<|endoftext|>", "é", "9", "12", "'s", "'ll", ".", "!", "\u200b", "\x1c", "\x85", "\u3000", "漢", "😀", "don't"]
+    mixed = ["".join(rng.choice(parts, rng.integers(0, 60))) for _ in range(3000)]
+    anything = ["".join(map(chr, rng.choice([*range(1, 0xD800), *range(0xE000, 0x20000)], 50))) for _ in range(300)]
+    long = [x * 2_000_000 for x in (" ", "\n", "a", "7")]
+    for text in ("", "one <|endoftext|> two", "<|endoftext|>", "a" + " " * 1_100_000 + "b", *mixed, *anything, *long):
+        assert encoder.encode(text) == np.array(coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert encoder.cuts and len(encoder) <= 100
 
 
 def test_lower_bound_is_one():
