@@ -23,6 +23,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -34,48 +35,60 @@ from chronolane.llm.common import free_name, materialise, table
 
 CAPACITY, CLOSING = 2048, 0
 PART_ITEMS = 50_000
-#: Stretches of a text whose ids a task remembers: how many at most, and up to which length.
-MEMORY, MEMORABLE = 400_000, 48
-#: Where a single space follows a character that is no space and comes before another one.
-_GAP = re.compile(r"(?<=\S)(?= \S)")
+#: Stretches of a text whose ids a worker remembers: how many in each of two generations at most, and up to which length.
+MEMORY, MEMORABLE = 300_000, 48
+_MARK = r'[.,;:!?%&$#*)"]'
+#: Stretches end before a single space between two other characters, and between a letter or digit and a mark. The first two forms are the common ones.
+_STRETCH = re.compile(rf" ?[^\W_]++(?={_MARK}| \S|\Z)|{_MARK}++(?= \S|\Z)|[\s\S]+?(?:(?<=\S)(?= \S)|(?<=[^\W_])(?={_MARK})|\Z)")
 
 
 class Encoder(dict):
     """Ids of stretches of text by tokenizers, without the special tokens a model adds, as little-endian bytes.
 
     With a byte-level split and no normaliser a single space between two other
-    characters always opens a new piece, so a text is cut there and each stretch
-    is encoded by tokenizers once for as long as it is remembered: the ids are
-    those of the whole text. With other files a text is one stretch.
+    characters always opens a new piece, as does a mark after a letter or digit,
+    so a text is cut there and each stretch is encoded by tokenizers once for as
+    long as it is remembered: the ids are those of the whole text. With other
+    files a text is one stretch.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.older: dict[str, bytes] = {}
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         spec = json.loads(Path(path).read_text())
         split, added = spec.get("pre_tokenizer") or {}, self.whole.get_added_tokens_decoder().values()
         plain = not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
-        self.cuts = plain and not any(" " in t.content or t.lstrip or t.rstrip or t.single_word for t in added)
+        self.cuts = plain and not any(len(_STRETCH.findall(t.content)) > 1 or t.lstrip or t.rstrip or t.single_word for t in added)
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = np.array(self.whole.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.older.get(stretch)
+        if ids is None:
+            ids = np.array(self.whole.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
         if len(stretch) <= MEMORABLE:
             if len(self) >= MEMORY:
+                self.older = dict(self)
                 self.clear()
             self[stretch] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _GAP.split(text))) if self.cuts else self[text]
+        return b"".join(map(self.__getitem__, _STRETCH.findall(text))) if self.cuts else self[text]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder of a file: what one task remembers serves the next."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int = CLOSING) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and row (a number of the row) of every piece of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(path).encode, np.array([closing], "<u4").tobytes()
+        encode, end = encoder(path).encode, np.array([closing], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

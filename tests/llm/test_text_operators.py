@@ -488,7 +488,7 @@ def test_packing_encodes_as_tokenizers(monkeypatch):
     monkeypatch.setattr(packing, "MEMORY", 100)
     path, rng = packing.default_vocabulary(), np.random.default_rng(4)
     coder, encoder = Tokenizer.from_file(path), packing.Encoder(path)
-    parts = ["a", "b", " ", "  ", "\n", "\t", "<|endoftext|>", "é", "9", "12", "'s", "'ll", ".", "!", "\u200b", "\x1c", "\x85", "\u3000", "漢", "😀", "don't"]
+    parts = ["a", "b", " ", "  ", "\n", "\t", "<|endoftext|>", "é", "9", "12", "'s", "'ll", ".", "!", "\u200b", "\x1c", "\x85", "\u3000", "漢", "😀", "don't", ",", "%%%", ")", '"', "²", "x|", "_", "e\u0301"]
     mixed = ["".join(rng.choice(parts, rng.integers(0, 60))) for _ in range(3000)]
     anything = ["".join(map(chr, rng.choice([*range(1, 0xD800), *range(0xE000, 0x20000)], 50))) for _ in range(300)]
     long = [x * 2_000_000 for x in (" ", "\n", "a", "7")]
