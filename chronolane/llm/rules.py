@@ -1,37 +1,43 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Each whole text gets counts in one pass over its words. Measures made of them
-are then sketched per language and source: a sketch is a count for each
-logarithmic bin (relative error GAMMA - 1), so sketches merge by adding counts,
-in any order and with the same result. Groups of fewer than LEAST_ROWS documents
-take the merged sketch of their language, small languages that of everything.
-Quantiles of the sketch set a fence for each measure: the median plus REACH
-spreads, where the spread is the range from the median to the upper quartile, no
-more than that of the language or of everything (so a source that is junk by a
-third does not set its own fence), but no less than a share of the median and a
-floor for the measure. Repeated lines are measured against the lines with a word.
-Documents meet
-their group's fences by a join and are kept below all of them.
+(symbols and capitals for each word, repeated lines for each line with a word,
+characters for each word) are taken to their square roots, which makes the
+spread of a count much the same at any level, and sketched per language and
+source: a sketch is a count for each of BINS bins of the width 1 / SCALE, so its
+quantiles are right within a bin and sketches merge by adding counts, in any
+order and with the same result.
+
+A group's sketch is merged with PRIOR rows' worth of its language's, and that one
+with PRIOR rows' worth of everything's: a small group leans on its parents, a
+large one stands for itself, with no switch between. The merged quantiles set a
+fence for each measure: the median plus REACH times the range from the median to
+the upper quartile; that range is no more than the language's or everything's, so
+that a source which is junk by a third does not set its own fence. A document's
+own sampling error goes on top: NOISE over the root of its words (or lines), so
+where all others have none of something a few do not tell. Documents meet their
+group's fences by a join and are kept below all of them.
 
 Defined results: a null text has no words, lines or symbols (and fails the base
 rules, as texts under 20 words do); a null language or source counts as an empty
 name; repeated rows are judged alike; an empty table gives no rows; extra
-columns are carried by `judged` if named.
+columns are carried by `judged` if named, but for those named as its results.
 """
 
 from __future__ import annotations
 
-from math import log
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolane.llm.common import materialise, table, words
 
 WINDOW = 8
-GAMMA, LEAST_ROWS, REACH = 1.02, 200, 6.0
-#: Least spreads: of the symbols and capitals for each word, of the share of repeated lines among those with a word, of the mean word length.
-FLOORS = {"symbols": 0.05, "capitals": 0.15, "repeated": 0.08, "word_length": 0.8}
+#: Bins of the sketches, how many of them make up 1, and the number of rows whose weight a parent has.
+BINS, SCALE, PRIOR = 10_000, 100, 200.0
+REACH, NOISE = 6.0, 2.0
+MEASURES = ("symbols", "capitals", "repeated", "word_length")
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+_SALTS = 16
 
 
 def repeated_words(hashes: Column, n: Column) -> tuple[Column, Column]:
@@ -72,65 +78,103 @@ def counts(docs: DataFrame, carry: list[str]) -> DataFrame:
     return out.select(*kept, F.coalesce(n_repeat, F.lit(0)).alias("n_repeat_words"))
 
 
-def measures() -> dict[str, Column]:
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    return {
-        "symbols": F.col("n_symbols") / n,
-        "capitals": F.col("n_capitals") / n,
-        "repeated": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "word_length": F.col("word_chars") / n,
-    }
+def measures() -> dict[str, tuple[Column, Column]]:
+    """Each measure's square root, and what it counts by."""
+    n, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
+    made = zip(MEASURES, ("n_symbols", "n_capitals", "n_dup_lines", "word_chars"), (n, n, lines, n), strict=True)
+    return {k: (F.sqrt(F.col(c) / by), by) for k, c, by in made}
 
 
 def sketches(counted: DataFrame) -> DataFrame:
-    """lang, source, measure, bin, n: a count for each logarithmic bin; bin null holds the zeros."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("measure"), F.when(v > 0, F.ceil(F.log(v) / log(GAMMA)).cast("int")).alias("bin")) for k, v in measures().items()])
-    each = counted.select("_lang", "_source", F.explode(pairs).alias("m"))
-    return each.groupBy("_lang", "_source", "m.measure", "m.bin").agg(F.count("*").alias("n"))
+    """lang, source, measure, bin, w: how many documents of a group fall in each bin. The last bin is open."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("measure"), F.least(F.floor(v * SCALE), F.lit(BINS)).cast("int").alias("bin")) for k, (v, _) in measures().items()])
+    each = counted.select("lang", "source", F.explode(pairs).alias("m"))
+    return each.groupBy("lang", "source", "m.measure", "m.bin").agg(F.count("*").cast("double").alias("w"))
+
+
+def _merged(own: DataFrame, keys: list[str], prior: DataFrame) -> DataFrame:
+    """keys, measure, bin, w: own sketches with the prior's shares (keys, measure, bin, share) worth PRIOR rows."""
+    added = prior.select(*keys, "measure", "bin", (F.col("share") * PRIOR).alias("w"))
+    return own.select(*keys, "measure", "bin", "w").unionByName(added).groupBy(*keys, "measure", "bin").agg(F.sum("w").alias("w"))
+
+
+def _shares(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds share and upto: a bin's share of its sketch's weight, and that of all bins up to it. A window holds one sketch: BINS rows at most."""
+    group = Window.partitionBy(*keys, "measure")
+    running = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("w").over(group)
+    return sketch.select(*keys, "measure", "bin", (F.col("w") / total).alias("share"), F.round(F.sum("w").over(running) / total, 9).alias("upto"))
+
+
+def _quartiles(shares: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """keys, measure, and the bins of the median and of the range from it to the upper quartile."""
+    at = lambda q: F.min(F.when(F.col("upto") >= q, F.col("bin")))
+    return shares.groupBy(*keys, "measure").agg(at(0.5).alias(f"{prefix}mid"), (at(0.75) - at(0.5)).alias(f"{prefix}spread"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """_lang, _source and a fence for each measure."""
-    value = F.when(F.col("bin").isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bin")))
-
-    def level(keys: list[str], prefix: str) -> DataFrame:
-        """Quantiles and row counts of the sketches merged by the keys: one row for each."""
-        merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
-        group = Window.partitionBy(*keys, "measure")
-        running = group.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-        ranked = merged.select(*keys, "measure", value.alias("v"), F.sum("n").over(running).alias("upto"), F.sum("n").over(group).alias("rows"))
-        at = lambda q: F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("v")))
-        by = ranked.groupBy(*keys, "measure").agg(at(0.5).alias("mid"), at(0.75).alias("high"), F.max("rows").alias("rows"))
-        picked = [F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{prefix}{c}_{m}") for m in FLOORS for c in ("mid", "high")]
-        return by.groupBy(*keys).agg(*picked, F.max("rows").alias(f"{prefix}rows"))
-
-    own, lang = level(["_lang", "_source"], "s_"), level(["_lang"], "l_")
-    everything = level([], "a_")  # one row
-    out = own.join(lang, "_lang").crossJoin(F.broadcast(everything))
-
-    def fence(m: str, *levels: str) -> Column:
-        mid = F.col(f"{levels[0]}_mid_{m}")
-        spreads = [F.col(f"{x}_high_{m}") - F.col(f"{x}_mid_{m}") for x in levels]
-        spread = F.least(*spreads) if len(spreads) > 1 else spreads[0]
-        return mid + REACH * F.greatest(spread, mid * 0.05, F.lit(FLOORS[m]))
-
-    pick = lambda m: F.when(F.col("s_rows") >= LEAST_ROWS, fence(m, "s", "l", "a")).when(F.col("l_rows") >= LEAST_ROWS, fence(m, "l", "a")).otherwise(fence(m, "a"))
-    return out.select("_lang", "_source", *[pick(m).alias(f"fence_{m}") for m in FLOORS])
+    """lang, source and a fence for each measure, on the scale of the square roots."""
+    salts = F.array(*map(F.lit, range(_SALTS)))
+    sum_to = lambda *keys: sketch.groupBy(*keys, "measure", "bin").agg(F.sum("w").alias("w"))
+    every = _shares(sum_to(), [])  # BINS + 1 rows for each measure at most
+    by_lang = sum_to("lang")
+    langs = by_lang.select("lang", "measure").distinct().join(F.broadcast(every), "measure")
+    lang = _shares(_merged(by_lang, ["lang"], langs), ["lang"])
+    # a language may hold any share of the groups: its sketch meets them in several places
+    groups = sketch.select("lang", "source", "measure").distinct().withColumn("salt", F.pmod(F.hash("source"), F.lit(_SALTS)))
+    parent = lang.withColumn("salt", F.explode(salts))
+    own = _shares(_merged(sketch, ["lang", "source"], groups.join(parent, ["lang", "measure", "salt"])), ["lang", "source"])
+    made = _quartiles(own, ["lang", "source"], "s_").join(_quartiles(lang, ["lang"], "l_"), ["lang", "measure"]).join(F.broadcast(_quartiles(every, [], "a_")), "measure")
+    fence = (F.col("s_mid") + 1 + REACH * F.least("s_spread", "l_spread", "a_spread")) / SCALE
+    return made.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, fence)).alias(f"fence_{m}") for m in MEASURES])
 
 
 def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The carried columns with the counts, base_failed and kept."""
-    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in ("lang", "source")]
-    counted = materialise(counts(docs.select("*", *keys), [*carry, "_lang", "_source"]), "counts")
+    carry = [c for c in carry if c.lower() not in RESULTS]
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    slim = docs.select(F.struct(*carry).alias("carried"), name("lang"), name("source"), "text")
+    counted = materialise(counts(slim, ["carried", "lang", "source"]), "counts")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = counted.withColumn("base_failed", failed).join(fences(sketches(counted)), ["_lang", "_source"])
+    out = counted.withColumn("base_failed", failed).join(fences(sketches(counted)), ["lang", "source"])
     below = ~F.col("base_failed")
-    for name, v in measures().items():
-        below = below & (v <= F.col(f"fence_{name}"))
-    fine = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return out.select(*carry, *fine, below.alias("kept"))
+    for m, (v, by) in measures().items():
+        below = below & (v - NOISE / F.sqrt(by) <= F.col(f"fence_{m}"))
+    return out.select(*[F.col("carried")[c].alias(c) for c in carry], *RESULTS[:-1], below.alias("kept"))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Every document's counts and verdicts."""
     return judged(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def _sql() -> str:
+    """The same rows in DuckDB's SQL."""
+    word, fence = r"[^\x20\x09-\x0D]+", f"(s_mid + 1 + {REACH} * least(s_spread, l_spread, a_spread)) / {SCALE}"
+    shares = lambda keys, source: f"""SELECT *, w / sum(w) OVER (PARTITION BY {keys}) AS share, round(sum(w) OVER (PARTITION BY {keys} ORDER BY bin) / sum(w) OVER (PARTITION BY {keys}), 9) AS upto FROM ({source})"""
+    quartiles = lambda keys, source, p: f"SELECT {keys}, min(bin) FILTER (upto >= 0.5) AS {p}_mid, min(bin) FILTER (upto >= 0.75) - min(bin) FILTER (upto >= 0.5) AS {p}_spread FROM {source} GROUP BY {keys}"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{word}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM d),
+words AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+places AS (SELECT rid, pos, {" || ' ' || ".join(["word", *(f"lead(word, {k}) OVER o" for k in range(1, WINDOW))])} AS run FROM words WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+win AS (SELECT rid, pos, count(*) OVER (PARTITION BY rid, run) AS n FROM places WHERE run IS NOT NULL),
+rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(pos, pos + {WINDOW})) AS p FROM win WHERE n > 1) GROUP BY rid),
+c AS (SELECT rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(len(array_to_string(ws, '')), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_capitals, len(ls) AS n_lines,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep USING (rid)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+m AS (SELECT rid, lang, source, 'symbols' AS measure, sqrt(n_symbols / greatest(n_words, 1)) AS v, greatest(n_words, 1) AS by_n FROM f
+  UNION ALL SELECT rid, lang, source, 'capitals', sqrt(n_capitals / greatest(n_words, 1)), greatest(n_words, 1) FROM f
+  UNION ALL SELECT rid, lang, source, 'repeated', sqrt(n_dup_lines / greatest(n_lines, 1)), greatest(n_lines, 1) FROM f
+  UNION ALL SELECT rid, lang, source, 'word_length', sqrt(word_chars / greatest(n_words, 1)), greatest(n_words, 1) FROM f),
+k AS (SELECT lang, source, measure, least(floor(v * {SCALE}), {BINS})::INT AS bin, count(*)::DOUBLE AS w FROM m GROUP BY ALL),
+a AS ({shares("measure", "SELECT measure, bin, sum(w) AS w FROM k GROUP BY ALL")}),
+l AS ({shares("lang, measure", f"SELECT lang, measure, bin, sum(w) AS w FROM (SELECT lang, measure, bin, w FROM k UNION ALL SELECT lang, measure, bin, share * {PRIOR} FROM (SELECT DISTINCT lang, measure FROM k) JOIN a USING (measure)) GROUP BY ALL")}),
+s AS ({shares("lang, source, measure", f"SELECT lang, source, measure, bin, sum(w) AS w FROM (SELECT * FROM k UNION ALL SELECT lang, source, measure, bin, share * {PRIOR} FROM (SELECT DISTINCT lang, source, measure FROM k) JOIN l USING (lang, measure)) GROUP BY ALL")}),
+q AS (SELECT lang, source, measure, {fence} AS fence FROM ({quartiles("lang, source, measure", "s", "s")}) JOIN ({quartiles("lang, measure", "l", "l")}) USING (lang, measure) JOIN ({quartiles("measure", "a", "a")}) USING (measure)),
+v AS (SELECT rid, bool_and(v - {NOISE} / sqrt(by_n) <= fence) AS below FROM m JOIN q USING (lang, source, measure) GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND below AS kept FROM f JOIN v USING (rid)"""
+
+
+ORACLE_SQL = _sql()

@@ -414,6 +414,28 @@ def test_rules(spark, odd, texts):
     assert rules.judged(odd.where("false"), ["doc_id"]).count() == 0
 
 
+def test_rules_as_sql(spark, odd):
+    """The verdict itself, thresholds and all, against DuckDB's; on odd rows too."""
+    import duckdb
+
+    for df in (common.table(spark, DATA, "documents"), odd, common.table(spark, DATA, "documents").limit(40)):
+        c = duckdb.connect()
+        c.register("documents", df.select("doc_id", "text", "lang", "source").toArrow())
+        want = c.execute(rules.ORACLE_SQL).fetchall()
+        got = rules.judged(df, ["doc_id"]).select("doc_id", *rules.RESULTS).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_rules_fences_follow_their_group(spark):
+    rows = [(k, " ".join("word" + "s" * (k % 7) if j % (3 + k % 5) else "Word" for j in range(60)) + f" {k}", "en", "a" if k < 4000 else "b") for k in range(4010)]
+    rows += [(5000 + k, " ".join("longerword" + "s" * (k % 9) for _ in range(60)) + f" {k}", "de", "c") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {(r["lang"], r["source"]): r for r in rules.fences(rules.sketches(rules.counts(df, ["lang", "source"]))).collect()}
+    assert len({r["fence_word_length"] for r in found.values()}) > 1 and found["de", "c"]["fence_word_length"] > found["en", "a"]["fence_word_length"]
+    # ten rows lean on their language
+    assert abs(found["en", "b"]["fence_capitals"] - found["en", "a"]["fence_capitals"]) < 0.1
+
+
 def test_rules_spare_good_documents(spark):
     sf = "/root/testdata/sf0.01"
     label = {r["doc_id"]: r["quality"] for r in common.table(spark, sf, "labels").collect()}
