@@ -5,16 +5,28 @@ without overlap: e-mail addresses, IP addresses with parts of at most 255, card
 numbers of 16 to 19 digits that pass the Luhn test, phone numbers of 8 to 15
 digits. They are the seeds.
 
-Every run of words that hold a digit or an at sign is an instance; the two tokens
-before it are its lexical pattern, where an earlier instance is one token and so
-is the start of the text. What opens a text has no pattern. Patterns and instances form a graph. Starting
-from seeds at 1 and all others at 0, a pattern's score is the mean score of its
-instances, each weighted by its occurrences, shrunk by PRIOR unknown ones; an
-unseen instance's score is the best score of its patterns. After ROUNDS rounds,
-patterns with LEAST_SEEDS different seeds of one kind and a score of LEAST_SCORE
-discover: their unseen instances whose digit count lies in the range of those
-seeds, or one beside it, become spans of that kind. Scores are joins and sums over (pattern,
-instance) counts, so a common pattern is one pre-aggregated row per task.
+An instance is a word that holds a digit or an at sign, or a row of short groups
+of digits. Its lexical patterns are of five forms: the two words before it; its
+shape (letters, marks, and the numbers of digits of long runs) with the word
+before it, with the word after it, and with the kinds of both neighbours (word,
+mark, instance, start, end); and the words on both sides. Words are taken from
+the text without outer marks, in lower case, and an earlier or later instance is
+one token, as are the text's start and end.
+
+Patterns and instances form a graph. Seeds score 1 for their kind. A pattern
+stands for the kind of which it has most different seeds; its score is
+
+    (seeds of the kind + scores of its unseen instances)
+    / (that + seeds of other kinds + DOUBT for each unseen instance not scored + PRIOR)
+
+and an unseen instance's score is the best score of its patterns with LEAST_SEEDS
+different seeds or more. After ROUNDS rounds, patterns with that many seeds and a
+score of LEAST_SCORE discover: their unseen instances whose digit count lies in
+the range of those seeds, or one beside it, become spans of that kind. So a
+shape counts as an identifier's only where words or neighbours go with it, and
+words only where the number of digits does. Scores are joins and sums over
+(pattern, instance) counts, so a common pattern is one pre-aggregated row per
+task; joins on patterns are salted.
 
 The patterns are written so that they take linear time and constant stack on any
 text, with the same matches as the plain ones: possessive loops, and starts only
@@ -34,7 +46,8 @@ from pyspark.sql import functions as F
 from chronolane.llm.common import materialise, table
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, PRIOR, LEAST_SEEDS, LEAST_SCORE = 3, 3.0, 5, 0.6
+ROUNDS, PRIOR, DOUBT, LEAST_SEEDS, LEAST_SCORE = 3, 1.0, 0.02, 5, 0.6
+_SALTS = 16
 
 #: Plain forms: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+, [0-9]+(\.[0-9]+){3}, [0-9]([\x20-]?[0-9])+, \+[0-9][\x20().0-9-]+[0-9]
 PATTERNS = {
@@ -44,11 +57,12 @@ PATTERNS = {
     "card": r"[0-9](?<![0-9]{2})(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: All words in a row that hold a digit or an at sign.
-INSTANCE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
-#: The last two words before an instance, of the reversed text; and the tokens that stand for the start and for instances (words are in lower case).
-_TAIL, _START, _EARLIER = r"^\s*+(\S*+(?:\s++\S++)?+)", "<START>", "<INSTANCE>"
-_OPEN, _CLOSE = r"^[\"'(\[{<]*", r"[\"')\]}>.,;:!?]*$"
+_GROUP = r"[+(]{0,2}[0-9][0-9().-]{0,8}+(?![0-9])"
+#: Short groups of digits in a row, or one word that holds a digit or an at sign.
+INSTANCE = rf"(?<!\S)(?:{_GROUP}(?:\x20{_GROUP})*+\S*+|[^\s0-9@]*+[0-9@]\S*+)"
+#: The last two words before an instance (of the reversed text), the first one after it; and the tokens that stand for instances and the text's ends (words are in lower case).
+_TAIL, _HEAD, _START, _OTHER, _END = r"^\s*+(\S*+(?:\s++\S++)?+)", r"^\s*+(\S*+)", "<START>", "<INSTANCE>", "<END>"
+_OPEN, _CLOSE = r"^[^\p{L}\p{N}+(]*+", r"[^\p{L}\p{N}][^\p{L}\p{N}]*+$"
 
 
 def _total(values: Column) -> Column:
@@ -73,13 +87,13 @@ def with_running(out: DataFrame, name: str, values: Column) -> DataFrame:
 
 
 def _matches(out: DataFrame, name: str, pattern: str, may: Column, carry: list[str]) -> DataFrame:
-    """Adds `name`: an array of struct(start, end, m, before), one for each match; before: the text since the match before."""
+    """Adds `name`: an array of struct(start, end, m, before, after), one for each match; before and after: the text since the match before, and up to the next."""
     none = F.array().cast("array<string>")
     out = out.withColumn("_m", F.when(may, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(none))
     out = out.withColumn("_p", F.when(F.size("_m") > 0, F.split("_text", pattern, -1)).otherwise(none))
     steps = F.zip_with(F.slice("_p", 1, F.size("_m")), F.col("_m"), lambda p, m: F.length(p) + F.length(m))
     out = with_running(out, "_e", steps)
-    made = F.transform("_m", lambda m, i: F.struct((F.get("_e", i) - F.length(m)).alias("start"), F.get("_e", i).alias("end"), m.alias("m"), F.get("_p", i).alias("before")))
+    made = F.transform("_m", lambda m, i: F.struct((F.get("_e", i) - F.length(m)).alias("start"), F.get("_e", i).alias("end"), m.alias("m"), F.get("_p", i).alias("before"), F.get("_p", i + 1).alias("after")))
     return out.select(*carry, made.alias(name))
 
 
@@ -123,67 +137,118 @@ def _all_base() -> Column:
     return F.concat(*[_tagged(k, F.col(f"_{k}")) for k in KINDS])
 
 
+def _bare(word: Column) -> Column:
+    """A word in lower case without outer marks; one of marks only as it is."""
+    inner = F.regexp_replace(F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}<]++", ""), r"(?<=[\p{L}\p{N}>])[^\p{L}\p{N}>]++$", "")
+    return F.when(inner == "", word).otherwise(inner)
+
+
+def _shape(instance: Column) -> Column:
+    """Letters as a, digits as 9, runs of five digits or more with their length."""
+    out = F.regexp_replace(instance, r"\p{L}++", "a")
+    out = F.transform(F.regexp_extract_all(out, F.lit(r"[0-9]++|[^0-9]++"), F.lit(0)), lambda x: F.when(~x.rlike("^[0-9]"), x).when(F.length(x) > 4, F.concat(F.lit("9{"), F.length(x), F.lit("}"))).otherwise(F.lit("9")))
+    return F.array_join(out, "")
+
+
+def _neighbour(word: Column) -> Column:
+    return F.when(word.isin(_START, _OTHER, _END), word).when(word.rlike(r"\p{L}"), F.lit("word")).otherwise(F.lit("mark"))
+
+
 def instances(based: DataFrame, carry: list[str]) -> DataFrame:
-    """From base spans with the text: the carried columns and `_instances`, an array of struct(start, end, pattern, digits, instance, k).
+    """From base spans with the text: the carried columns and `_instances`, an array of struct(start, end, patterns, digits, instance, k).
 
     k is the kind's number for seeds and null for others; start and end are the
-    instance's without outer punctuation, digits counts its digits.
+    instance's without outer marks, digits counts its digits.
     """
     kept = [*carry, "_base"]
     out = based.withColumn("_base", _all_base()).select(*kept, "_text")
     may = F.col("_text").rlike("[0-9@]")
     out = _matches(out, "_found", INSTANCE, may, kept)
-    tail = lambda x: F.lower(F.reverse(F.regexp_extract(F.reverse(x["before"]), _TAIL, 1)))
     # columns of their own, used more than once each
-    out = out.withColumn("_tokens", F.transform("_found", lambda x: F.filter(F.split(tail(x), r"\s+", -1), lambda w: w != "")))
+    tail = lambda x: F.reverse(F.regexp_extract(F.reverse(x["before"]), _TAIL, 1))
+    tokens = lambda text: F.transform(F.filter(F.split(text, r"\s+", -1), lambda w: w != ""), _bare)
+    out = out.withColumn("_tokens", F.transform("_found", lambda x: tokens(tail(x))))
     one = lambda token: F.array(F.lit(token))
-    earlier = lambda i: F.concat(F.when(i == 1, one(_START)).otherwise(one(_EARLIER)), F.get("_tokens", i - 1), one(_EARLIER))
+    earlier = lambda i: F.concat(F.when(i == 1, one(_START)).otherwise(one(_OTHER)), F.get("_tokens", i - 1), one(_OTHER))
     out = out.withColumn("_context", F.transform("_tokens", lambda t, i: F.concat(F.when(i == 0, one(_START)).otherwise(earlier(i)), t)))
-    words = lambda t: F.concat_ws(" ", F.get(t, F.size(t) - 2), F.get(t, F.size(t) - 1))
-    first = lambda x: x["start"] + F.length(F.regexp_extract(x["m"], _OPEN, 0))
-    last = lambda x: x["end"] - F.length(F.regexp_extract(x["m"], _CLOSE, 0))
+    n = F.size("_found")
+    follows = lambda x, i: F.coalesce(F.nullif(_bare(F.regexp_extract(x["after"], _HEAD, 1)), F.lit("")), F.when(i + 1 < n, F.lit(_OTHER)).otherwise(F.lit(_END)))
+    out = out.withColumn("_follows", F.transform("_found", follows))
+    out = out.withColumn("_inner", F.transform("_found", lambda x: F.regexp_replace(F.regexp_replace(x["m"], _OPEN, ""), _CLOSE, "")))
+    out = out.withColumn("_shape", F.transform("_inner", _shape))
     # used twice, so that the base spans are put together once for each row
     over = lambda x: F.filter("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     kind = lambda x: F.when(F.size("_base") > 0, F.get(over(x), F.lit(0))["k"])
+
+    def patterns(i: Column) -> Column:
+        words, after, shape = F.get("_context", i), F.get("_follows", i), F.get("_shape", i)
+        before = F.get(words, F.size(words) - 1)
+        form = lambda *parts: F.concat_ws("\t", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+        return F.array(
+            form("two before", F.get(words, F.size(words) - 2), before),
+            form("before", before, shape),
+            form("after", after, shape),
+            form("kinds", _neighbour(before), shape, _neighbour(after)),
+            form("both", before, after),
+        )
+
     made = F.transform(
         "_found",
         lambda x, i: F.struct(
-            first(x).alias("start"),
-            last(x).alias("end"),
-            words(F.get("_context", i)).alias("pattern"),
+            (x["start"] + F.length(F.regexp_extract(x["m"], _OPEN, 0))).alias("start"),
+            (x["start"] + F.length(F.regexp_extract(x["m"], _OPEN, 0)) + F.length(F.get("_inner", i))).alias("end"),
+            patterns(i).alias("patterns"),
             F.length(F.regexp_replace(x["m"], "[^0-9]", "")).alias("digits"),
-            F.xxhash64(F.regexp_replace(F.regexp_replace(x["m"], _OPEN, ""), _CLOSE, "")).alias("instance"),
+            F.xxhash64(F.get("_inner", i)).alias("instance"),
             kind(x).alias("k"),
         ),
     )
-    return out.select(*carry, F.filter(made, lambda x: (x["start"] < x["end"]) & (x["pattern"] != _START)).alias("_instances"))
+    return out.select(*carry, F.filter(made, lambda x: x["start"] < x["end"]).alias("_instances"))
+
+
+def _with_patterns(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The rows that have one of the patterns, with the patterns' columns. A pattern may hold any share of the rows: it meets them in several places."""
+    salted = rows.withColumn("_salt", F.pmod(F.col("instance"), F.lit(_SALTS)).cast("int"))
+    return salted.join(patterns.withColumn("_salt", F.explode(F.array(*map(F.lit, range(_SALTS))))), ["pattern", "_salt"]).drop("_salt")
 
 
 def confident(edges: DataFrame) -> DataFrame:
-    """Patterns that may discover: pattern, k, low, high (the range of their seeds' digits).
+    """Patterns that may discover: pattern, k, low, high (the range of their seeds' digits) and score.
 
-    edges: pattern, instance, k (null: unseen), digits, n (occurrences).
+    edges: pattern, instance, k (null: unseen), digits; each once.
     """
-    unseen, seeds = edges.where("k IS NULL"), edges.where("k IS NOT NULL")
-    # a pattern without seeds cannot gain a score before an unseen instance it shares with others does
-    per = edges.groupBy("pattern").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("k").isNotNull(), F.col("n")).otherwise(0)).alias("seeded"))
-    own = per.withColumn("score", F.col("seeded") / (F.col("all") + PRIOR))
+    kinds = edges.groupBy("pattern", "k").agg(F.count("*").alias("n"), F.min("digits").alias("low"), F.max("digits").alias("high"))
+    seeded = F.when(F.col("k").isNotNull(), F.struct("n", (-F.col("k")).alias("back"), "low", "high"))
+    own = kinds.groupBy("pattern").agg(F.max(seeded).alias("top"), F.sum(F.when(F.col("k").isNotNull(), F.col("n"))).alias("seeds"), F.sum(F.when(F.col("k").isNull(), F.col("n"))).alias("unseen"))
+    own = own.where(F.col("top.n") >= LEAST_SEEDS).select("pattern", (-F.col("top.back")).alias("k"), "top.low", "top.high", F.col("top.n").alias("of_kind"), "seeds", F.coalesce("unseen", F.lit(0)).alias("unseen"))
+
+    def scored(gained: Column, scored: Column) -> Column:
+        good = F.col("of_kind") + gained
+        return good / (good + (F.col("seeds") - F.col("of_kind")) + DOUBT * (F.col("unseen") - scored) + PRIOR)
+
+    zero = F.lit(0.0)
+    out = materialise(own.withColumn("score", scored(zero, zero)), "patterns")
+    unseen = edges.where("k IS NULL").select("pattern", "instance", "digits")
     for _ in range(ROUNDS - 1):
-        best = unseen.join(own.where("score > 0"), "pattern").groupBy("instance").agg(F.max("score").alias("worth"))
-        gained = unseen.join(best, "instance").groupBy("pattern").agg(F.sum(F.col("n") * F.col("worth")).alias("gained"))
-        own = own.drop("score").join(gained, "pattern", "left").withColumn("score", (F.col("seeded") + F.coalesce("gained", F.lit(0.0))) / (F.col("all") + PRIOR)).drop("gained")
-    kinds = seeds.groupBy("pattern", "k").agg(F.countDistinct("instance").alias("seeds"), F.min("digits").alias("low"), F.max("digits").alias("high"))
-    kinds = kinds.groupBy("pattern").agg(F.max_by(F.struct("k", "low", "high", "seeds"), F.struct("seeds", -F.col("k"))).alias("top"))
-    picked = own.where(F.col("score") >= LEAST_SCORE).join(kinds, "pattern").where(F.col("top.seeds") >= LEAST_SEEDS)
-    return picked.select("pattern", "top.k", "top.low", "top.high")
+        met = _with_patterns(unseen, out.select("pattern", "k", "low", "high", "score")).where("digits BETWEEN low - 1 AND high + 1")
+        best = met.groupBy("instance", "k").agg(F.max("score").alias("worth"))
+        gained = met.select("pattern", "instance", "k").join(best, ["instance", "k"]).groupBy("pattern").agg(F.sum("worth").alias("gained"), F.count("*").alias("scored"))
+        out = out.drop("score").join(gained, "pattern", "left")
+        out = materialise(out.withColumn("score", scored(F.coalesce("gained", zero), F.coalesce("scored", zero))).drop("gained", "scored"), "patterns")
+    return out.where(F.col("score") >= LEAST_SCORE).select("pattern", "k", "low", "high", "score")
 
 
 def discovered(held: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and `_more`: the spans that confident patterns discover, an array of struct(k, start, end), for rows that have any."""
+    """keys and `_more`: the spans that confident patterns discover, an array of struct(k, start, end), for rows that have any.
+
+    Of several kinds a span takes that of the best pattern.
+    """
     flat = held.select(*keys, F.explode("_instances").alias("x")).select(*keys, "x.*")
-    edges = flat.groupBy("pattern", "instance", "k", "digits").agg(F.count("*").alias("n"))
-    new = flat.where("k IS NULL").drop("k").join(confident(edges), "pattern").where("digits BETWEEN low - 1 AND high + 1")
-    return new.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("k", "start", "end"))).alias("_more"))
+    flat = flat.withColumn("pattern", F.explode("patterns")).drop("patterns")
+    edges = materialise(flat.select("pattern", "instance", "k", "digits").distinct(), "edges")
+    new = _with_patterns(flat.where("k IS NULL").drop("k"), confident(edges)).where("digits BETWEEN low - 1 AND high + 1")
+    new = new.groupBy(*keys, "start", "end").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("k"))
+    return new.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "start", "end"))).alias("_more"))
 
 
 def _text_of(spans: Column) -> Column:
@@ -229,7 +294,8 @@ def masked(docs: DataFrame) -> DataFrame:
     the rest of the others goes with it. A column n_chars follows the new text.
     """
     keys = ["doc_id", "_hash"]
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
+    # the row travels as one struct: no column of it can clash with those made here
+    marked = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))
     held = materialise(_held(marked.select(*keys, "text"), keys).select(*keys, _all_base().alias("_base"), "_instances"), "instances")
     held = held.where("size(_instances) > 0 OR size(_base) > 0")  # of the table: pushed below, it would repeat the search
     more = discovered(held, keys)
@@ -253,7 +319,9 @@ def masked(docs: DataFrame) -> DataFrame:
     done = lambda a: F.concat(a["t"], F.substr(F.col("text"), a["at"] + 1, F.length("text")))
     out = _null_safe(marked, found, keys)
     hit = F.coalesce(F.size("_more"), F.lit(0)) > 0
-    out = out.withColumn("_hit", hit).withColumn("text", F.when(hit, F.aggregate("_more", start, add, done)).otherwise(F.col("text")))
+    out = out.withColumn("made", F.when(hit, F.aggregate("_more", start, add, done)))
+    row = F.col("row").withField("text", F.coalesce("made", "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_hit"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        row = row.withField("n_chars", F.when(F.col("made").isNotNull(), F.length("made")).otherwise(F.col("row.n_chars")).cast(kind))
+    return out.select(row.alias("row")).select("row.*")
