@@ -9,8 +9,11 @@ pieces may stand side by side and minus infinity if not.
 A giant document is cut into chunks of CHUNK characters anywhere. The state at a
 cut is the piece that reaches or crosses it; a chunk yields the matrix of
 weights from the states at its start to those at its end. Matrices combine by
-the max-plus product, which is associative; the running products give the state
-at every cut, and each chunk is then traced back by itself. Inside a chunk,
+the max-plus product, which is associative: those of BLOCK chunks make one for
+the block, in one task for each block; the blocks' products give the states at
+their ends; between these, again block by block, the states at every cut; and
+each chunk is then traced back by itself. So beside its text a document is in
+one task only as a matrix for every BLOCK * CHUNK characters. Inside a chunk,
 between the first and the last place where a space mark follows another
 character (no piece holds such a pair) the state before does not matter and the
 library encodes the stretch. Documents of one chunk go to the library at once.
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from chronolane.llm.common import materialise, table
 
-CHUNK = 16_384
+CHUNK, BLOCK = 16_384, 64
 MARK = "▁"
 _NEVER = -np.inf
 
@@ -115,6 +118,29 @@ class Pieces:
                         ending.setdefault(q, []).append((p, q))
         return before
 
+    def reached(self, text: str, entries: list[tuple[int, int]], until: int) -> dict[tuple[int, int], int]:
+        """As walk, from several states at once: of each state that can follow, which entries lead to it, as bits. States before `until` go as they are passed."""
+        out: dict[tuple[int, int], int] = {}
+        ending: dict[int, dict[tuple[int, int], int]] = {}
+        for k, x in enumerate(entries):
+            if x[1] >= until:
+                out[x] = out.get(x, 0) | 1 << k
+            else:
+                at = ending.setdefault(x[1], {})
+                at[x] = at.get(x, 0) | 1 << k
+        for p in range(min(ending, default=until), until):
+            if not (here := ending.pop(p, None)):
+                continue
+            for q in self.candidates(text, p):
+                piece, mask = text[p:q], 0
+                for state, bits in here.items():
+                    if self.beside(text[state[0] : state[1]], piece):
+                        mask |= bits
+                if mask:
+                    at = out if q >= until else ending.setdefault(q, {})
+                    at[p, q] = mask
+        return out
+
     def states(self, text: str, cut: int) -> list[tuple[int, int]]:
         """All states at a cut: pieces that start before it and end at it or later; at the very start the empty one."""
         if cut == 0:
@@ -141,16 +167,17 @@ class Pieces:
         out = np.full((len(entries), len(exits)), _NEVER)
         head, tail = self._parts(text, s, e)
         if head < e:
-            reach = [any(q == head for _, q in self.walk(text, x, head)) or x[1] == head for x in entries]
-            ends = [at[x] for x in self.walk(text, (tail, tail), e) if x in at]
-            for k, fine in enumerate(reach):
-                if fine:
+            bits = 0
+            for (_, q), mask in self.reached(text, entries, head).items():
+                bits |= mask if q == head else 0
+            ends = [at[x] for x in self.reached(text, [(tail, tail)], e) if x in at]
+            for k in range(len(entries)):
+                if bits >> k & 1:
                     out[k, ends] = 0.0
         else:
-            for k, x in enumerate(entries):
-                for y in [x] if x[1] >= e else self.walk(text, x, e):
-                    if y in at:
-                        out[k, at[y]] = 0.0
+            for y, mask in self.reached(text, entries, e).items():
+                if y in at:
+                    out[[k for k in range(len(entries)) if mask >> k & 1], at[y]] = 0.0
         return entries, exits, out
 
     def trace(self, text: str, s: int, e: int, entry: tuple[int, int], leave: tuple[int, int]) -> list[int]:
@@ -177,18 +204,22 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def cuts_of(chunks: list[tuple[list, list, np.ndarray]]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """From a document's matrices in order: the states at the start and the end of each chunk."""
-    upto = [np.zeros((1, 1))]
-    for _, _, m in chunks:
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The matrices' product, by halves."""
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[k : k + 2]) if k + 1 < len(matrices) else matrices[k] for k in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def cuts_of(matrices: list[np.ndarray], first: int, last: int) -> list[tuple[int, int]]:
+    """The numbers of the states before and after each matrix, on a path from the first state to the last one."""
+    upto = [np.where(np.arange(len(matrices[0])) == first, 0.0, _NEVER)[None, :]]
+    for m in matrices:
         upto.append(combine(upto[-1], m))
-    length = chunks[-1][1][-1][1]
-    state = next(k for k, x in enumerate(chunks[-1][1]) if x[1] == length and upto[-1][0, k] == 0)
-    out = []
-    for k in range(len(chunks) - 1, -1, -1):
-        entries, exits, m = chunks[k]
-        prior = int(np.flatnonzero((upto[k][0] + m[:, state]) == 0)[0])
-        out.append((entries[prior], exits[state]))
+    out, state = [], last
+    for k in range(len(matrices) - 1, -1, -1):
+        prior = int(np.flatnonzero((upto[k][0] + matrices[k][:, state]) == 0)[0])
+        out.append((prior, state))
         state = prior
     return out[::-1]
 
@@ -218,6 +249,20 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
                 found = pieces.sp.encode(texts, num_threads=1)
                 yield _batch([_row(pieces, d, 0, ids, t) for d, ids, t in zip(part.column(0).to_pylist(), found, texts, strict=True)])
 
+    longest = Pieces(path).longest
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's chunks with as much on both sides as a piece may reach: cut in one pass."""
+        for batch in batches:
+            for doc, row, text in zip(*(c for c in batch.columns), strict=True):
+                t = MARK + text.as_py().replace(" ", MARK)
+                for k, s in enumerate(range(0, len(t), chunk)):
+                    e, left = min(s + chunk, len(t)), max(0, s - longest)
+                    cols = {"doc_id": [doc.as_py()], "row": [row.as_py()], "chunk": [k], "block": [k // BLOCK], "s": [s], "e": [e], "left": [left], "window": [t[left : e + longest]]}
+                    yield pa.RecordBatch.from_pydict(cols, schema=windowed)
+
+    windowed = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("chunk", pa.int32()), ("block", pa.int32()), ("s", pa.int64()), ("e", pa.int64()), ("left", pa.int64()), ("window", pa.string())])
+
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
         for batch in batches:
@@ -227,17 +272,34 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
                 flat = [[x + o for s in states for x in s] for states in (entries, exits)]
                 if r["s"] == 0:
                     flat[0] = [0, 0]
-                yield pa.RecordBatch.from_pydict({"row": [r["row"]], "chunk": pa.array([r["chunk"]], pa.int32()), "entries": [flat[0]], "exits": [flat[1]], "weights": [m.ravel().tolist()]})
+                yield pa.RecordBatch.from_pydict({"row": [r["row"]], "chunk": pa.array([r["chunk"]], pa.int32()), "block": pa.array([r["block"]], pa.int32()), "entries": [flat[0]], "exits": [flat[1]], "weights": [m.ravel().tolist()]})
+
+    pairs = lambda v: list(zip(v[::2], v[1::2], strict=True))
+
+    def held(t: pa.Table, order: str) -> tuple[pa.Table, list, list, list[np.ndarray]]:
+        t = t.sort_by(order)
+        entries, exits = ([pairs(v) for v in t.column(c).to_pylist()] for c in ("entries", "exits"))
+        weights = [np.array(w).reshape(len(e), len(x)) for e, x, w in zip(entries, exits, t.column("weights").to_pylist(), strict=True)]
+        return t, entries, exits, weights
+
+    def block_matrix(t: pa.Table) -> pa.Table:
+        t, _, _, weights = held(t, "chunk")
+        cols = t.select(["row", "block", "entries"]).slice(0, 1).append_column("exits", t.column("exits").slice(len(t) - 1))
+        return cols.append_column("weights", pa.array([product(weights).ravel().tolist()], pa.list_(pa.float64())))
 
     def scan(t: pa.Table) -> pa.Table:
-        t = t.sort_by("chunk")
-        pairs = lambda v: list(zip(v[::2], v[1::2], strict=True))
-        chunks = []
-        for e, x, w in zip(*(t.column(c).to_pylist() for c in ("entries", "exits", "weights")), strict=True):
-            e, x = pairs(e), pairs(x)
-            chunks.append((e, x, np.array(w).reshape(len(e), len(x))))
-        found = [[*a, *b] for a, b in cuts_of(chunks)]
-        return pa.table({"row": t.column("row"), "chunk": t.column("chunk"), "cut": pa.array(found, pa.list_(pa.int64()))})
+        t, _, exits, weights = held(t, "block")
+        end = exits[-1][-1][1]
+        reached = product(weights)
+        last = next(k for k, x in enumerate(exits[-1]) if x[1] == end and reached[0, k] == 0)
+        found = cuts_of(weights, 0, last)
+        return pa.table({"row": t.column("row"), "block": t.column("block"), "first": pa.array([a for a, _ in found], pa.int32()), "last": pa.array([b for _, b in found], pa.int32())})
+
+    def inside(t: pa.Table, ends: pa.Table) -> pa.Table:
+        t, entries, exits, weights = held(t, "chunk")
+        found = cuts_of(weights, ends.column("first")[0].as_py(), ends.column("last")[0].as_py())
+        states = [[*entries[k][a], *exits[k][b]] for k, (a, b) in enumerate(found)]
+        return pa.table({"row": t.column("row"), "chunk": t.column("chunk"), "cut": pa.array(states, pa.list_(pa.int64()))})
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
@@ -253,16 +315,15 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     small = slim.where(F.length("text") < chunk).mapInArrow(whole, _SCHEMA)
-    marked = slim.where(F.length("text") >= chunk).select("doc_id", F.concat(F.lit(MARK), F.replace("text", F.lit(" "), F.lit(MARK))).alias("t"))
-    n, reach = F.length("t"), 64
-    marked = marked.withColumn("row", F.monotonically_increasing_id())
-    marked = marked.select("doc_id", "row", "t", n.alias("n"), F.explode(F.sequence(F.lit(0), F.ceil(n / chunk).cast("int") - 1)).alias("chunk"))
-    s, e = F.col("chunk") * chunk, F.least((F.col("chunk") + 1) * chunk, F.col("n"))
-    left = F.greatest(s - reach, F.lit(0))
-    windows = marked.select("doc_id", "row", "chunk", s.alias("s"), e.alias("e"), left.alias("left"), F.substr("t", left + 1, e + reach - left).alias("window"))
+    marked = slim.where(F.length("text") >= chunk).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    windows = marked.mapInArrow(cut, "doc_id long, row long, chunk int, block int, s long, e long, left long, window string")
     windows = materialise(windows.repartition("row", "chunk"), "windows")
-    cut = windows.mapInArrow(matrices, "row long, chunk int, entries array<long>, exits array<long>, weights array<double>").groupBy("row").applyInArrow(scan, "row long, chunk int, cut array<long>")
-    giant = windows.join(cut, ["row", "chunk"]).mapInArrow(back, _SCHEMA)
+    states = "entries array<long>, exits array<long>, weights array<double>"
+    made = materialise(windows.mapInArrow(matrices, f"row long, chunk int, block int, {states}"), "matrices")
+    blocks = made.groupBy("row", "block").applyInArrow(block_matrix, f"row long, block int, {states}")
+    ends = blocks.groupBy("row").applyInArrow(scan, "row long, block int, first int, last int")
+    states = made.groupBy("row", "block").cogroup(ends.groupBy("row", "block")).applyInArrow(inside, "row long, chunk int, cut array<long>")
+    giant = windows.join(states, ["row", "chunk"]).mapInArrow(back, _SCHEMA)
     return small.unionByName(giant)
 
 
