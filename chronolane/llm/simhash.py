@@ -132,17 +132,20 @@ def links(distinct: DataFrame, radius: int = 2, size: int = TILE) -> DataFrame:
     tiled = materialise(tiles(distinct, size), "tiles")
     moves = F.array(*[F.struct(*[F.lit(x).alias(f"d{k}") for k, x in enumerate(m)]) for m in _steps(radius)])
     left = tiled.withColumn("m", F.explode(moves)).select(
+        F.col("cell").alias("from"),
         _cell([F.col(f"q{k}") + F.col(f"m.d{k}") for k in range(4)]).alias("cell"),
         F.expr("m.d0 = 0 AND m.d1 = 0 AND m.d2 = 0 AND m.d3 = 0").alias("same"),
         *[(F.col(f"q{k}") + F.col(f"m.d{k}")).alias(f"t{k}") for k in range(4)],
         F.col("slice").alias("a_slice"),
-        F.col("fps").alias("a"),
     )
     for k in range(4):
         left = left.where(F.col(f"t{k}").between(0, _SIDE - 1))
-    left = left.select("cell", "same", "a_slice", "a")
+    left = left.select("from", "cell", "same", "a_slice")
+    own = tiled.select(F.col("cell").alias("from"), F.col("slice").alias("a_slice"), F.col("fps").alias("a"))
     right = tiled.select("cell", F.col("slice").alias("b_slice"), F.col("fps").alias("b"))
-    pairs = left.join(right, "cell").where("NOT same OR a_slice <= b_slice").select("a", "b")
+    # numbers first: the slices of a full cell meet as numbers, and each pair of tiles is a row of its own that any task may compare
+    pairs = left.join(right.drop("b"), "cell").where("NOT same OR a_slice <= b_slice").drop("same")
+    pairs = pairs.join(own, ["from", "a_slice"]).join(right, ["cell", "b_slice"]).repartition("from", "a_slice", "cell", "b_slice").select("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
