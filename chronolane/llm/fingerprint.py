@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from chronolane.llm.common import partitions, table, words
 
 SHINGLE, BINS, BITS, PROBES = 5, 256, 8, 6
+STRETCHES = 64
 _HIGH = 48  # bits of a hash that compete within a bin
 _NO_ID = -(2**63)
 
@@ -39,13 +40,13 @@ def _shingles(hashes: Column) -> Column:
 
 
 def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds `name`: the fingerprint of the column `text`, an array of longs. All other columns stay.
+    """Adds `name`: the fingerprint of the column `text`, an array of longs. All other columns stay (as one struct meanwhile, so that none can clash).
 
     Arrays that a later lambda reads are columns of their own and are read more
     than once, so that they are worked out once for each row.
     """
-    kept = docs.columns
-    out = docs.select(*kept, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("_h"))
+    kept = ["row"]
+    out = docs.select(F.struct(*[c for c in docs.columns if c.lower() != name.lower()]).alias("row"), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("_h"))
     split = lambda h: F.shiftleft(h.bitwiseAND(F.lit(BINS - 1).cast("long")), _HIGH).bitwiseOR(F.shiftrightunsigned(h, 64 - _HIGH))
     out = out.select(*kept, F.sort_array(F.transform(_shingles(F.col("_h")), split)).alias("_s"))
     s = F.col("_s")
@@ -68,7 +69,7 @@ def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
     each = 64 // BITS
     pack = lambda g: F.aggregate(F.slice("_b", g * each + 1, each), F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, BITS).bitwiseOR(v.bitwiseAND(low)))
     packed = F.transform(F.sequence(F.lit(0), F.lit(BINS // each - 1)), pack)
-    return out.select(*kept, F.when(F.size("_b") > 0, packed).alias(name))
+    return out.select("row.*", F.when(F.size("_b") > 0, packed).alias(name))
 
 
 def _probe(t: int):
@@ -96,37 +97,53 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
+def _ranges(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """stretch, from, cuts: where STRETCHES ranges of doc_id begin, and the ids that cut each into ranges of as many rows; and the ranges of one.
+
+    Quantiles of quantiles: however the ids lie, a range holds about as many rows
+    as another, but for those that share one id.
+    """
+    spark = docs.sparkSession
+    at = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"))
+    heads = at.select(F.percentile_approx("id", [k / STRETCHES for k in range(STRETCHES)], 10_000).alias("q")).first()["q"] or [0]
+    heads = sorted(set(heads))
+    per = max(1, -(-parts // len(heads)))
+    stretch = _place(F.array(*map(F.lit, heads)), F.col("id"))
+    cuts = at.groupBy(stretch.alias("stretch")).agg(F.array_distinct(F.percentile_approx("id", [k / per for k in range(per)], 100 * per)).alias("cuts"))
+    found = {r["stretch"]: r["cuts"] for r in cuts.collect()}  # a number for each range
+    return spark.createDataFrame([(k, h, found.get(k, [h])) for k, h in enumerate(heads)], "stretch int, head long, cuts array<long>"), per
+
+
+def _place(cuts: Column, value: Column) -> Column:
+    """The number of the last cut at or below a value; 0 before the first."""
+    return F.greatest(F.size(F.filter(cuts, lambda c: c <= value)) - 1, F.lit(0))
+
+
 def with_next(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Adds columns of the next row by descending doc_id (after the last: the first); columns: new name by old.
 
-    Rows are dealt to ranges of doc_id of about equal counts: quantiles give up
-    to 64 stretches, each of which is cut evenly. In a range a window looks one
-    row ahead; its last row looks at a copy of the first row of the next range.
-    So no task sees more than a range and the copies.
+    Rows are dealt to ranges of doc_id of about equal counts. In a range a window
+    looks one row ahead; its last row looks at a copy of the first row of the next
+    range. So no task sees more than a range and the copies.
     """
     spark = docs.sparkSession
-    parts = 4 * partitions(spark)
-    order = F.coalesce(F.col("doc_id"), F.lit(_NO_ID))
-    cuts = docs.select(F.percentile_approx("doc_id", [k / 64 for k in range(65)], 10_000).alias("q")).first()["q"] or [0]
-    cuts = sorted(set(cuts))
-    per = max(1, -(-parts // len(cuts)))
-    place = F.lit(-1).cast("long")
-    for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], cuts[-1] + 1], strict=True)):
-        width = max(1, -(-(b - a) // per))
-        place = F.when(F.col("doc_id") >= a, F.lit(k * per).cast("long") + F.least(F.floor((F.col("doc_id") - a) / width), F.lit(per - 1))).otherwise(place)
-    place = F.when(F.col("doc_id").isNull(), F.lit(-2).cast("long")).otherwise(place)
-    # a row for each range: at most `parts` and two more
-    heads = docs.select(place.alias("p"), order.alias("o")).groupBy("p").agg(F.max("o").alias("o")).orderBy("p").collect()
-    after = {r["o"]: heads[(i + 1) % len(heads)]["p"] for i, r in enumerate(heads)}
-    names = docs.columns
-    real = docs.select(*names, place.alias("_p"), F.lit(0).alias("_copy"))
-    targets = F.broadcast(spark.createDataFrame(sorted(after.items()), "_o long, _p long"))
-    copies = docs.join(targets, order == F.col("_o")).select(*names, "_p", F.lit(1).alias("_copy"))
-    w = Window.partitionBy("_p").orderBy("_copy", order.desc(), "text")
-    out = real.unionByName(copies)
-    for new, old in columns.items():
-        out = out.withColumn(new, F.lead(old).over(w))
-    return out.where("_copy = 0").drop("_p", "_copy")
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("o"), F.col("text").alias("t"))
+    ranges, per = _ranges(docs, 4 * partitions(spark))
+    starts = F.array(*[F.lit(r["head"]) for r in ranges.select("head").orderBy("stretch").collect()])
+    cut = ranges.select("stretch", "cuts")  # STRETCHES rows at most
+    put = held.withColumn("stretch", _place(starts, F.col("o"))).join(F.broadcast(cut), "stretch")
+    at = F.when(F.col("o") == _NO_ID, F.lit(-1)).otherwise(F.col("stretch") * per + _place(F.col("cuts"), F.col("o")))
+    put = put.withColumn("p", at.cast("long")).drop("stretch", "cuts")
+    # a row for each range
+    heads = put.groupBy("p").agg(F.max("o").alias("o")).orderBy("p").collect()
+    targets = spark.createDataFrame([(r["o"], heads[(i + 1) % len(heads)]["p"]) for i, r in enumerate(heads)], "o long, to long")
+    copies = put.join(F.broadcast(targets), "o").select("row", "o", "t", F.col("to").alias("p"), F.lit(1).alias("copy"))
+    w = Window.partitionBy("p").orderBy("copy", F.col("o").desc(), "t")
+    out = put.withColumn("copy", F.lit(0)).unionByName(copies)
+    made = F.struct(*[F.lead(F.col("row")[old]).over(w).alias(new) for new, old in columns.items()])
+    new = {c.lower() for c in columns}
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in new]
+    return out.select("row", "copy", made.alias("made")).where("copy = 0").select(*kept, *[F.col("made")[c].alias(c) for c in columns])
 
 
 def op3_document_fingerprints(spark, sf_dir: str) -> DataFrame:

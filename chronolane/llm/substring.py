@@ -291,6 +291,13 @@ def _settled(group: Group, late_id: np.ndarray, late_at: np.ndarray) -> list[np.
     return [covered[b : b + n] for b, n in zip(group.begin[:-1], group.sizes, strict=True)]
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with fields that may be null, as a schema in words has them."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    return pa.list_(_nullable(kind.value_type)) if pa.types.is_list(kind) else kind
+
+
 def repeats(docs: DataFrame, row: Column, length: int = LENGTH) -> DataFrame:
     """row (as given), doc_id, n_words, n_removed, kept_sha256 and kept (the text left; null where nothing goes)."""
     slim = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -311,7 +318,8 @@ def repeats(docs: DataFrame, row: Column, length: int = LENGTH) -> DataFrame:
                 left.append(None)
             digests.append(hashlib.sha256(b" ".join(found)).hexdigest())
         removed = np.array([int(x.sum()) for x in gone], np.int64)
-        return pa.table({"row": t.column("row"), "doc_id": t.column("id"), "n_words": pa.array(group.sizes), "n_removed": pa.array(removed), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(left, pa.string())})
+        row = t.column("row")
+        return pa.table({"row": row.cast(_nullable(row.type)), "doc_id": t.column("id"), "n_words": pa.array(group.sizes), "n_removed": pa.array(removed), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(left, pa.string())})
 
     late = _late_windows(dealt, length)
     schema = f"row {kind.simpleString()}, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -331,8 +339,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kept words are joined by one space. A column n_chars follows the new text.
     """
     out = repeats(docs, F.struct(*docs.columns), length)
-    out = out.select("row.*", "kept").withColumn("text", F.coalesce("kept", "text"))
+    row = F.col("row").withField("text", F.coalesce("kept", "row.text"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.length("kept")).cast(kind))
+    return out.select(row.alias("row")).select("row.*")
