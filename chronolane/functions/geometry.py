@@ -144,8 +144,15 @@ def to_enu(lat: Column, lon: Column, alt: Column, lat0: float, lon0: float, alt0
     return -sin(o) * dx + cos(o) * dy, -sin(a) * cos(o) * dx - sin(a) * sin(o) * dy + cos(a) * dz, cos(a) * cos(o) * dx + cos(a) * sin(o) * dy + sin(a) * dz
 
 
-def observation_weight(distance: Column, incidence: Column, sharpness: Column, border: Column, near: float, far: float, margin: float) -> Column:
-    """The product of how near, how frontal, how sharp and how far from the image's border an observation is, each from 0 to 1."""
+def observation_weight(depth: Column, incidence: Column, gradient: Column, border: Column, near: float, sharpness: float, margin: float) -> Column:
+    """The product of how near (by the square of near / depth), how frontal, how sharp and how far from the image's border an observation is.
+
+    gradient / (gradient + sharpness) and border / margin count in full where
+    their constants are zero; a null incidence (no normal) counts as frontal.
+    """
     share = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
-    parts = [share((far - distance) / (far - near)), share(incidence), share(sharpness), share(border / margin)]
+    closeness = F.lit(near) / depth
+    parts = [share(closeness * closeness), F.coalesce(F.abs(incidence), F.lit(1.0))]
+    parts.append(gradient / (gradient + sharpness) if sharpness > 0 else F.lit(1.0))
+    parts.append(share(border / margin) if margin > 0 else F.lit(1.0))
     return reduce(lambda a, b: a * b, parts)

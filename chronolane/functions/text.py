@@ -21,7 +21,7 @@ def stamp(ns: Column) -> Column:
 
 
 def file_name(topic: Column) -> Column:
-    return F.replace(F.ltrim(topic, F.lit("/")), F.lit("/"), F.lit("__"))
+    return F.replace(topic, F.lit("/"), F.lit("__"))
 
 
 def names(array: Column) -> Column:
@@ -30,8 +30,9 @@ def names(array: Column) -> Column:
 
 
 def camera_info_topic(topic: Column) -> Column:
-    """The camera-info topic beside an image topic."""
-    return F.regexp_replace(topic, r"/(image|image_raw|image_rect|image_color|image_mono|image_rect_color)(/compressed)?$", "/camera_info")
+    """The camera-info topic beside an image topic, raw or rectified in colour, compressed or not; null beside others."""
+    stem = F.regexp_extract(topic, r"^([\s\S]*)/image_(?:raw|rect_color)(?:/compressed)?$", 1)
+    return F.when(topic.rlike(r"/image_(raw|rect_color)(/compressed)?$"), F.concat(stem, F.lit("/camera_info")))
 
 
 def tum_line(ns: Column, values: list[Column]) -> Column:

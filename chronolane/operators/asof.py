@@ -58,28 +58,10 @@ def nearest(left: DataFrame, right: DataFrame, columns: list[str], by: list[str]
     return out.withColumn("match", closer).drop("prev", "next")
 
 
-def within(left: DataFrame, right: DataFrame, columns: list[str], tolerance_ns: int, by: list[str] | None = None, offset_ns: int = 0) -> DataFrame:
-    """As `nearest`, with match null beyond the tolerance (which itself still counts).
-
-    An equi-join on stretches as long as the tolerance: a left row meets its own
-    stretch and the two beside it.
-    """
-    by = by or []
-    if tolerance_ns == 0:
-        width = 1
-    else:
-        width = tolerance_ns
-    r = right.select(*by, F.floor((F.col("timestamp_ns") + offset_ns) / width).alias("_p"), F.struct((F.col("timestamp_ns") + offset_ns).alias("timestamp_ns"), "seq", *columns).alias("match"))
-    names = left.columns
-    row = left.withColumn("_row", F.struct(*names))
-    l = row.select("_row", *by, "timestamp_ns", F.explode(F.sequence(F.floor(F.col("timestamp_ns") / width) - 1, F.floor(F.col("timestamp_ns") / width) + 1)).alias("_p"))  # noqa: E741
-    pairs = l.join(r, [*by, "_p"], "left")
-    gap = F.abs(F.col("match.timestamp_ns") - F.col("timestamp_ns"))
-    early = F.col("match.timestamp_ns") < F.col("timestamp_ns")
-    # earlier runs of equal stamps give their last row, later ones their first
-    rank = F.struct(gap.alias("d"), F.when(early, 0).otherwise(1).alias("side"), F.when(early, -F.col("match.seq")).otherwise(F.col("match.seq")).alias("s"))
-    best = pairs.groupBy("_row").agg(F.min_by("match", F.when(gap <= tolerance_ns, rank)).alias("match"))
-    return best.select("_row.*", "match")
+def within(left: DataFrame, right: DataFrame, columns: list[str], tolerance_ns: int, by: list[str] | None = None, offset_ns: int = 0, **options) -> DataFrame:
+    """As `nearest`, with match null beyond the tolerance (which itself still counts); every left row stays, repeated ones too."""
+    out = nearest(left, right, columns, by, offset_ns, **options)
+    return out.withColumn("match", F.when(F.abs(F.col("match.timestamp_ns") - F.col("timestamp_ns")) <= tolerance_ns, F.col("match")))
 
 
 def blend(column: str) -> Column:
@@ -116,7 +98,7 @@ def injected(stream: DataFrame, added: DataFrame) -> DataFrame:
     up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("_p", F.max("_m").over(up).alias("_base"))  # one row for every 65,536 of the stream
     w = Window.partitionBy("_p").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    lead = stream.withColumn("_p", part).join(F.broadcast(per), "_p")
+    lead = stream.withColumn("_p", part).join(per, "_p")
     top = F.greatest("_base", F.max("timestamp_ns").over(w))
     lead = lead.withColumn("_top", top).where(F.col("_top").isNull() | (F.col("timestamp_ns") > F.col("_top"))).select("timestamp_ns", "seq")
     placed = neighbours(added, lead, [])

@@ -15,7 +15,8 @@ from chronolane.operators.frames import POSE, pose
 
 #: Point field kinds of the message format: fixed values.
 KINDS = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 8: "f8"}
-TIME_FIELDS = ("t", "time", "time_stamp", "timestamp")
+#: Names of the time field, the first of them first, and the kinds it may have (whole nanoseconds, seconds): fixed values.
+TIME_FIELDS, TIME_KINDS = ("t", "time", "time_stamp", "timestamp"), (6, 7, 8)
 
 
 def unpack(cloud: dict) -> dict[str, np.ndarray]:
@@ -46,7 +47,8 @@ def points(clouds: DataFrame) -> DataFrame:
             for c in batch.to_pylist():
                 p = unpack(c)
                 n = len(p["x"])
-                field = next((f for f in c["fields"] if f["name"] in TIME_FIELDS), None)
+                named = {f["name"]: f for f in c["fields"] if f["datatype"] in TIME_KINDS and f.get("count", 1) == 1}
+                field = next((named[n] for n in TIME_FIELDS if n in named), None)
                 t = pa.array(seconds(p[field["name"]], field["datatype"])) if field else pa.nulls(n, pa.float64())
                 strength = pa.array(p["intensity"].astype(float)) if "intensity" in p else pa.nulls(n, pa.float64())
                 full = lambda v: pa.array(np.full(n, v, np.int64))  # noqa: E731, B023
@@ -57,7 +59,8 @@ def points(clouds: DataFrame) -> DataFrame:
 
 def stamped(exploded: DataFrame) -> DataFrame:
     """Adds timestamp_ns of each point: its time is counted from the header where no time of the cloud reaches a million seconds."""
-    most = exploded.groupBy("cloud_seq").agg((F.max(F.abs("t")) < 1e6).alias("relative"))
+    finite = F.when(~F.isnan("t") & (F.abs("t") < float("inf")), F.abs("t"))
+    most = exploded.groupBy("cloud_seq").agg(F.coalesce(F.max(finite) < 1e6, F.lit(True)).alias("relative"))
     whole = F.round(F.col("t") * 1e9).cast("long")
     return exploded.join(most, "cloud_seq").withColumn("timestamp_ns", F.when(F.col("relative"), F.col("header_stamp_ns") + whole).otherwise(whole)).drop("relative")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,42 +35,63 @@ def robust(observations: DataFrame, trim: int = 48) -> DataFrame:
     return o.groupBy("point_idx").agg(*[to_srgb(mean(c)).alias(c) for c in CHANNELS])
 
 
-def gains(observations: DataFrame, low: float = 0.5, high: float = 2.0, least: int = 64) -> DataFrame:
-    """camera and gain: the median over its points of the point's mean luminance by the camera's; 1 below `least` points."""
-    per = observations.groupBy("point_idx", "camera").agg(F.avg(luminance()).alias("l"))
-    mean = per.groupBy("point_idx").agg(F.avg("l").alias("m"), F.count("*").alias("n")).where("n > 1")
-    ratio = per.join(mean, "point_idx").where("l > 0").groupBy("camera").agg(F.median(F.col("m") / F.col("l")).alias("g"), F.count("*").alias("n"))
-    return ratio.select("camera", F.when(F.col("n") >= least, F.greatest(F.lit(low), F.least(F.lit(high), F.col("g")))).otherwise(F.lit(1.0)).alias("gain"))
+def per_camera(observations: DataFrame) -> DataFrame:
+    """point_idx, camera, the colour a camera gives a point (weighted mean in linear light, as bytes) and its weight; without weight there is none."""
+    mean = lambda c: to_srgb(F.sum(F.col("weight") * to_linear(F.col(c))) / F.sum("weight")).alias(c)
+    return observations.where("weight > 0").groupBy("point_idx", "camera").agg(*[mean(c) for c in CHANNELS], F.sum("weight").alias("weight"))
+
+
+def gains(results: DataFrame, low: float = 0.2, high: float = 5.0, least: int = 64, dark: int = 8) -> DataFrame:
+    """camera and a gain in linear light for each channel: the median ratio of the first camera's colours to the camera's.
+
+    It counts points that both see with no channel under `dark`; cameras that
+    share fewer than `least` of them, and the first one, have 1.
+    """
+    first = results.agg(F.min("camera").alias("first"))  # one row
+    lit = results.where(F.least(*CHANNELS) >= dark)
+    ref = lit.join(F.broadcast(first), F.col("camera") == F.col("first")).select("point_idx", *[to_linear(F.col(c)).alias(f"_{c}") for c in CHANNELS], "first")
+    both = lit.join(ref, "point_idx").where("camera <> first")
+    ratio = both.groupBy("camera").agg(F.count("*").alias("n"), *[F.median(F.col(f"_{c}") / to_linear(F.col(c))).alias(c) for c in CHANNELS])
+    gain = lambda c: F.when(F.col("n") >= least, F.greatest(F.lit(low), F.least(F.lit(high), F.col(c)))).otherwise(F.lit(1.0))
+    found = ratio.select(F.col("camera").alias("_c"), *[gain(c).alias(f"gain_{c}") for c in CHANNELS])
+    out = results.select("camera").distinct().join(found, F.col("camera") == F.col("_c"), "left")
+    return out.select("camera", *[F.coalesce(f"gain_{c}", F.lit(1.0)).alias(f"gain_{c}") for c in CHANNELS])
 
 
 def blended(observations: DataFrame, **options) -> DataFrame:
-    """point_idx and the weighted mean of all cameras' observations under their gains."""
-    o = observations.join(gains(observations, **options), "camera")
-    mean = lambda c: F.sum(F.col("weight") * F.least(F.lit(255.0), F.col(c) * F.col("gain"))) / F.sum("weight")
-    return o.where("weight > 0").groupBy("point_idx").agg(*[mean(c).alias(c) for c in CHANNELS])
+    """point_idx and the mean in linear light of the cameras' colours under their gains, weighted by the cameras' weights."""
+    results = per_camera(observations)
+    o = results.join(F.broadcast(gains(results, **options)), "camera")  # one row for each camera
+    aligned = lambda c: to_srgb(to_linear(F.col(c)) * F.col(f"gain_{c}"))
+    mean = lambda c: to_srgb(F.sum(F.col("weight") * to_linear(aligned(c))) / F.sum("weight"))
+    return o.groupBy("point_idx").agg(*[mean(c).alias(c) for c in CHANNELS])
 
 
 def keyframes(poses: DataFrame, distance: float, angle: float) -> DataFrame:
     """topic, seq and bucket: a new bucket where the pose has moved or turned far enough since the bucket's first.
 
     The first pose of a bucket is known only from the bucket before, so a topic's
-    rows run in order through one task; topics run side by side.
+    rows run in order through one task; it streams them and holds one pose.
+    Topics run side by side.
     """
     columns = ["seq", "tx", "ty", "tz", "qx", "qy", "qz", "qw"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        pdf = pdf.sort_values("seq", ignore_index=True)
-        v = pdf[columns[1:]].to_numpy()
-        out, anchor, bucket = [], None, -1
-        for row in v:
-            if anchor is None or np.linalg.norm(row[:3] - anchor[:3]) >= distance or 2 * np.arccos(min(1.0, abs(row[3:] @ anchor[3:]))) >= angle:
-                anchor, bucket = row, bucket + 1
-            out.append(bucket)
-        return pdf[["topic", "seq"]].assign(bucket=np.array(out, dtype="int64"))
+        topic, anchor, bucket = None, None, -1
+        for pdf in frames:
+            out = []
+            for name, row in zip(pdf["topic"], pdf[columns[1:]].to_numpy(), strict=True):
+                if anchor is None or name != topic:
+                    topic, anchor, bucket = name, row, 0
+                elif np.linalg.norm(row[:3] - anchor[:3]) >= distance or 2 * np.arccos(min(1.0, abs(row[3:] @ anchor[3:]))) >= angle:
+                    anchor, bucket = row, bucket + 1
+                out.append(bucket)
+            yield pdf[["topic", "seq"]].assign(bucket=np.array(out, dtype="int64"))
 
-    return poses.select("topic", *columns).groupBy("topic").applyInPandas(run, "topic string, seq long, bucket long")
+    sorted_ = poses.select("topic", *columns).repartition("topic").sortWithinPartitions("topic", "seq")
+    return sorted_.mapInPandas(run, "topic string, seq long, bucket long")
 
 
 def best_of_bucket(frames: DataFrame) -> DataFrame:
@@ -78,10 +101,10 @@ def best_of_bucket(frames: DataFrame) -> DataFrame:
 
 
 def reservoir(observations: DataFrame, keys: list[str], order: str, size: int = 16) -> DataFrame:
-    """Of each key at most `size` rows: row n (from 0, by order) takes slot n, later ones the slot that a hash of n picks below n + 1, if it is below size."""
+    """Of each key at most `size` rows: row n (from 0, by order) takes slot n, later ones the slot that a hash of the key and n picks below n + 1, if it is below size."""
     w = Window.partitionBy(*keys).orderBy(order)
     n = observations.withColumn("_n", F.row_number().over(w) - 1)
-    slot = F.when(F.col("_n") < size, F.col("_n")).otherwise(F.pmod(F.xxhash64("_n"), F.col("_n") + 1))
+    slot = F.when(F.col("_n") < size, F.col("_n")).otherwise(F.pmod(F.xxhash64(*keys, "_n"), F.col("_n") + 1))
     rest = observations.columns
     held = n.withColumn("_slot", slot.cast("long")).where(F.col("_slot") < size)
     return held.groupBy(*keys, "_slot").agg(F.max_by(F.struct(*rest), "_n").alias("v")).select("v.*")

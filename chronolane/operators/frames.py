@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POSE = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
@@ -31,7 +31,7 @@ def _rooted(e: DataFrame) -> DataFrame:
         new = out.join(step, F.col("frame") == F.col("a")).select(F.col("b").alias("frame")).distinct().join(out, "frame", "left_anti").checkpoint()
         if new.isEmpty():
             return out
-        out = out.union(new).checkpoint()
+        out = out.union(new)
         step = step.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct().checkpoint()
 
 
@@ -51,7 +51,7 @@ def closure(edges: DataFrame) -> DataFrame:
         new = out.join(step, F.col("descendant") == F.col("a")).where(apart).select("root", F.col("b").alias("descendant"), F.concat("frames", "below").alias("frames")).checkpoint()
         if new.isEmpty():
             return out.select("root", "descendant", (F.size("frames") - 1).alias("depth"), F.array_join("frames", "/").alias("path"))
-        out = out.union(new).checkpoint()
+        out = out.union(new)
         more = step.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("below").alias("more"))
         whole = step.join(more, "b").where(~F.arrays_overlap("below", "more") & ~F.array_contains("more", F.col("a")))
         step = whole.select("a", F.col("c").alias("b"), F.concat("below", "more").alias("below")).checkpoint()
@@ -110,8 +110,8 @@ def copied_static(source: DataFrame, target: DataFrame, start_ns: int) -> DataFr
 
 
 def first_per_topic(messages: DataFrame) -> DataFrame:
-    w = Window.partitionBy("topic").orderBy("seq")
-    return messages.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    rest = [c for c in messages.columns if c != "topic"]
+    return messages.groupBy("topic").agg(F.min_by(F.struct(*rest), "seq").alias("v")).select("topic", "v.*").select(*messages.columns)
 
 
 def stamps_on_chain(edges: DataFrame, children: list[str]) -> DataFrame:

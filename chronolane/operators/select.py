@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolane.operators import order
+
 _UNITS = {"ns": 1, "us": 10**3, "µs": 10**3, "ms": 10**6, "s": 10**9}
 
 
@@ -66,7 +68,7 @@ def header_clock() -> Column:
 
 def duration_ns(text: str, bare: str | None = None) -> int:
     """Nanoseconds of a duration such as 1.5s or 20ms; bare: the unit of a number without one, if that may be."""
-    m = re.fullmatch(r"\s*([0-9]*\.?[0-9]+)\s*(ns|us|µs|ms|s)?\s*", text)
+    m = re.fullmatch(r"\s*((?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*(ns|us|µs|ms|s)?\s*", text)
     if not m or not (m[2] or bare):
         raise ValueError(f"not a duration: {text!r}")
     return int(float(m[1]) * _UNITS[m[2] or bare] + 0.5)
@@ -98,7 +100,7 @@ def nth_clock(messages: DataFrame, clock: Column, n: int) -> int | None:
 
 
 def trim(messages: DataFrame, start: str | None = None, end: str | None = None, duration: str | None = None, both: str | None = None, clock: Column | None = None) -> DataFrame:
-    """Messages of a window [start, end) given as offsets from the recording's start, or as counts of messages (5msg)."""
+    """Messages of a window [start, end) given as offsets with a unit from the recording's start, or as counts of messages (5msg)."""
     clock = F.col("timestamp_ns") if clock is None else clock
     if sum(x is not None for x in (end, duration)) > 1 or (both is not None and any(x is not None for x in (start, end, duration))):
         raise ValueError("these bounds exclude each other")
@@ -106,10 +108,10 @@ def trim(messages: DataFrame, start: str | None = None, end: str | None = None,
 
     def bound(text: str) -> int | None:
         m = re.fullmatch(r"\s*(\d+)msg\s*", text)
-        return nth_clock(messages, clock, int(m[1])) if m else lo + duration_ns(text, "s")
+        return nth_clock(messages, clock, int(m[1])) if m else lo + duration_ns(text)
 
     if both is not None:
-        cut = duration_ns(both, "s")
+        cut = duration_ns(both)
         if 2 * cut >= hi - lo:
             raise ValueError("nothing would be left")
         return messages.where((clock >= lo + cut) & (clock < hi - cut))
@@ -117,7 +119,7 @@ def trim(messages: DataFrame, start: str | None = None, end: str | None = None,
     if first is None or first > hi:
         raise ValueError("the start is past the end")
     out = messages.where(clock >= first)
-    until = first + duration_ns(duration, "s") if duration is not None else bound(end) if end is not None else None
+    until = first + duration_ns(duration) if duration is not None else bound(end) if end is not None else None
     if until is not None:
         if until <= first:
             raise ValueError("the window is empty")
@@ -162,5 +164,4 @@ def chunk_plan(messages: DataFrame, start: int, end: int, dropped: Column, renam
 
 def arrival_index(messages: DataFrame) -> DataFrame:
     """Adds the message's number within its topic, from 0."""
-    w = Window.partitionBy("topic").orderBy("seq")
-    return messages.withColumn("topic_index", F.row_number().over(w) - 1)
+    return order.numbered(messages, ["topic"], "seq", "topic_index")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolane.operators import order
+
 
 def topic_stats(messages: DataFrame) -> DataFrame:
     """topic, n_messages and hz: messages less one over the recording's whole duration; 0 for one message or no duration."""
@@ -23,20 +25,13 @@ def merged_extent(shards: DataFrame) -> DataFrame:
 
 def gaps(messages: DataFrame) -> DataFrame:
     """Adds gap_ns: the time since the topic's message before."""
-    w = Window.partitionBy("topic").orderBy("seq")
-    return messages.withColumn("gap_ns", F.col("timestamp_ns") - F.lag("timestamp_ns").over(w))
-
-
-def upper_median(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys and median: the upper of the middle values, by rank."""
-    w = Window.partitionBy(*keys)
-    ranked = values.where(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select(*keys, F.col(value).alias("median"))
+    out = order.with_previous(messages, ["topic"], "seq", "timestamp_ns", "_previous")
+    return out.withColumn("gap_ns", F.col("timestamp_ns") - F.col("_previous")).drop("_previous")
 
 
 def median_period(messages: DataFrame) -> DataFrame:
     """topic and period_ns: the upper median of the times between messages."""
-    return upper_median(gaps(messages), ["topic"], "gap_ns").withColumnRenamed("median", "period_ns")
+    return order.upper_median(gaps(messages), ["topic"], "gap_ns").withColumnRenamed("median", "period_ns")
 
 
 def default_tolerance(messages: DataFrame, fallback_ns: int = 50_000_000) -> DataFrame:
@@ -67,8 +62,8 @@ def frame_rate(messages: DataFrame, low: float = 1.0, high: float = 240.0, defau
 
 def backwards(messages: DataFrame, clock: Column) -> DataFrame:
     """topic and whether its clock ever runs backwards in the order of arrival."""
-    w = Window.partitionBy("topic").orderBy("seq")
-    return messages.withColumn("_c", clock).withColumn("_b", F.lag("_c").over(w) > F.col("_c")).groupBy("topic").agg(F.coalesce(F.bool_or("_b"), F.lit(False)).alias("nonmonotonic"))
+    out = order.with_previous(messages.withColumn("_c", clock), ["topic"], "seq", "_c", "_previous")
+    return out.groupBy("topic").agg(F.coalesce(F.bool_or(F.col("_previous") > F.col("_c")), F.lit(False)).alias("nonmonotonic"))
 
 
 def ranges(points: DataFrame, columns: list[str]) -> DataFrame:
@@ -85,7 +80,7 @@ def counters(messages: DataFrame, flags: dict[str, Column]) -> DataFrame:
 
 def spacing_radius(points: DataFrame, spacing: str, low: float = 0.05, high: float = 5.0, factor: float = 4.0) -> DataFrame:
     """One row: the search radius from the upper median spacing."""
-    m = upper_median(points.withColumn("_all", F.lit(0)), ["_all"], spacing)
+    m = order.upper_median(points, [], spacing)
     return m.select(F.least(F.greatest(F.col("median") * factor, F.lit(low)), F.lit(high)).alias("radius"))
 
 
@@ -100,10 +95,10 @@ def planar_fit(pairs: DataFrame) -> DataFrame:
     return s.select("theta", (F.col("mbx") - c * F.col("max") + n * F.col("may")).alias("dx"), (F.col("mby") - n * F.col("max") - c * F.col("may")).alias("dy"), (F.col("mbz") - F.col("maz")).alias("dz"))
 
 
-def evenly(rows: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
-    """At most `most` rows of each key, evenly spaced by rank, first and last kept."""
-    w = Window.partitionBy(*keys)
-    out = rows.withColumn("_r", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+def evenly(rows: DataFrame, keys: list[str], by: str, most: int) -> DataFrame:
+    """At most `most` rows of each key, evenly spaced by rank in the order of `by` (an integer, distinct within a key), first and last kept."""
+    n = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    out = order.numbered(rows, keys, by, "_r").join(n, keys)
     step = (F.col("_n") - 1) / (most - 1)
     # the position nearest to a rank names it, if rounding that position's place gives the rank
     k = F.floor(F.col("_r") / step + 0.5)

@@ -75,7 +75,7 @@ def topic_drop(spark, sf_dir):
     return select.drop(messages(spark, sf_dir), ["/view", "*cli*"])
 
 
-@query("SELECT * FROM (VALUES ('/nothing*'), ('/clicks')) AS v(selector)")
+@query(f"WITH {M} SELECT selector FROM (VALUES ('/nothing*'), ('/click'), ('/clicks'), ('*')) AS v(selector) WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT topic FROM m) WHERE topic GLOB selector)")
 def topic_unmatched(spark, sf_dir):
     return select.unmatched(messages(spark, sf_dir), ["/nothing*", "/click", "/clicks", "*"])
 
@@ -88,7 +88,7 @@ def topic_rename(spark, sf_dir):
 
 @query(f"WITH {M}, e AS (SELECT min(timestamp_ns) AS a FROM m) SELECT topic, timestamp_ns, seq FROM m, e WHERE timestamp_ns >= a + 86400000000000 AND timestamp_ns < a + 864000000000000")
 def trim_window(spark, sf_dir):
-    return select.trim(messages(spark, sf_dir), start="86400s", end="864000").select("topic", "timestamp_ns", "seq")
+    return select.trim(messages(spark, sf_dir), start="86400s", end="864000s").select("topic", "timestamp_ns", "seq")
 
 
 @query(f"WITH {M}, e AS (SELECT min(timestamp_ns) AS a FROM m) SELECT topic, timestamp_ns, seq FROM m, e WHERE timestamp_ns >= a + 86400000000000 AND timestamp_ns < a + 86400000000000 + 500000500000000")
@@ -131,7 +131,10 @@ def chunk_plan(spark, sf_dir):
     return plan
 
 
-@query("SELECT * FROM (VALUES ('/click', 'suppress'), ('/view', 'conflict'), ('/fresh', 'new'), ('/error', 'type mismatch'), ('/idle', 'keep')) AS v(topic, action)")
+@query(
+    f"WITH {M}, k AS (SELECT topic, count(*) AS n, 'Event' AS kind FROM m GROUP BY 1 UNION ALL SELECT '/idle', 0, 'Event'), w AS (SELECT * FROM (VALUES ('/click', 'Event', true), ('/view', 'Event', false), ('/fresh', 'Event', false), ('/error', 'Other', false), ('/idle', 'Event', false)) AS v(topic, wanted, again)) "
+    "SELECT topic, CASE WHEN kind IS NULL THEN 'new' WHEN kind <> wanted THEN 'type mismatch' WHEN n = 0 THEN 'keep' WHEN again THEN 'suppress' ELSE 'conflict' END AS action FROM w LEFT JOIN k USING (topic)"
+)
 def write_plan(spark, sf_dir):
     known = messages(spark, sf_dir).groupBy("topic").agg(F.count("*").alias("n_messages")).withColumn("type", F.lit("Event"))
     known = known.unionByName(spark.createDataFrame([("/idle", 0, "Event")], "topic string, n_messages long, type string"))
@@ -303,7 +306,12 @@ def tree_paths(spark, sf_dir):
     return frames.closure(frame_edges(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('self edge', 'n3'), ('several parents', 'n3'), ('several parents', 'n4'), ('cycle', 'c1'), ('cycle', 'c2'), ('cycle', 'c3'), ('opposite edges', 'o1'), ('opposite edges', 'o2'), ('cycle', 'o1'), ('cycle', 'o2')) AS v(fault, frame)")
+@query(
+    f"WITH RECURSIVE {_E}, x AS (SELECT * FROM e UNION SELECT * FROM (VALUES ('n3', 'n3'), ('elsewhere', 'n4'), ('c1', 'c2'), ('c2', 'c3'), ('c3', 'c1'), ('o1', 'o2'), ('o2', 'o1')) AS v(parent, child)), "
+    "up AS (SELECT DISTINCT parent AS frame FROM x WHERE parent NOT IN (SELECT child FROM x) UNION SELECT x.child FROM up JOIN x ON x.parent = up.frame) "
+    "SELECT 'self edge' AS fault, child AS frame FROM x WHERE parent = child UNION SELECT 'opposite edges', a.child FROM x a JOIN x b ON a.parent = b.child AND a.child = b.parent WHERE a.parent <> a.child "
+    "UNION SELECT 'several parents', child FROM x GROUP BY child HAVING count(*) > 1 UNION SELECT 'cycle', child FROM x WHERE child NOT IN (SELECT frame FROM up)"
+)
 def forest_faults(spark, sf_dir):
     shared(spark)
     extra = spark.createDataFrame([("n3", "n3"), ("elsewhere", "n4"), ("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("o1", "o2"), ("o2", "o1")], "parent string, child string")
@@ -444,18 +452,27 @@ def robust_colour(spark, sf_dir):
     return colour.robust(observations(spark, sf_dir))
 
 
+_S = "floor((CASE WHEN {0} <= 0.0031308 THEN {0} * 12.92 ELSE 1.055 * pow({0}, 1 / 2.4) - 0.055 END) * 255 + 0.5)"
+
+
 @query(
-    f"WITH {_O}, p AS (SELECT point_idx, camera, avg(0.299*r + 0.587*g + 0.114*b) AS l FROM o GROUP BY 1, 2), m AS (SELECT point_idx, avg(l) AS m FROM p GROUP BY 1 HAVING count(*) > 1), g AS (SELECT camera, CASE WHEN count(*) >= 16 THEN greatest(0.5, least(2.0, median(m / l))) ELSE 1.0 END AS gain FROM p JOIN m USING (point_idx) WHERE l > 0 GROUP BY 1) "
-    "SELECT point_idx, " + ", ".join(f"round(sum(weight * least(255.0, {c} * gain)) / sum(weight), 4) AS {c}" for c in "rgb") + " FROM o JOIN g USING (camera) WHERE weight > 0 GROUP BY 1"
+    f"WITH {_O}, l AS (SELECT point_idx, camera, sum(weight) AS w, " + ", ".join(f"sum(weight * {_L.format(c)}) / sum(weight) AS {c}" for c in "rgb") + " FROM o WHERE weight > 0 GROUP BY 1, 2), "
+    "p AS (SELECT point_idx, camera, w, " + ", ".join(f"{_S.format(c)} AS {c}" for c in "rgb") + " FROM l), "
+    "q AS (SELECT c.camera, " + ", ".join(f"({_L.format(f'a.{c}')}) / ({_L.format(f'c.{c}')}) AS {c}" for c in "rgb") + " FROM p a JOIN p c USING (point_idx) WHERE a.camera = (SELECT min(camera) FROM p) AND c.camera <> a.camera AND least(a.r, a.g, a.b, c.r, c.g, c.b) >= 8), "
+    "g AS (SELECT camera, " + ", ".join(f"CASE WHEN count(*) >= 64 THEN greatest(0.2, least(5.0, median({c}))) ELSE 1.0 END AS {c}" for c in "rgb") + " FROM q GROUP BY 1), "
+    "h AS (SELECT point_idx, w, " + ", ".join(f"least(1.0, ({_L.format(f'p.{c}')}) * coalesce(g.{c}, 1.0)) AS {c}" for c in "rgb") + " FROM p LEFT JOIN g USING (camera)), "
+    "a AS (SELECT point_idx, w, " + ", ".join(f"{_S.format(c)} AS {c}" for c in "rgb") + " FROM h), "
+    "z AS (SELECT point_idx, " + ", ".join(f"sum(w * ({_L.format(c)})) / sum(w) AS {c}" for c in "rgb") + " FROM a GROUP BY 1) "
+    "SELECT point_idx, " + ", ".join(f"({_S.format(c)})::INT AS {c}" for c in "rgb") + " FROM z"
 )
 def gain_blend(spark, sf_dir):
-    return colour.blended(observations(spark, sf_dir), least=16).select("point_idx", *[F.round(c, 4).alias(c) for c in "rgb"])
+    return colour.blended(observations(spark, sf_dir))
 
 
 # ---- text ----
 
 
-@query(f"WITH {M} SELECT seq, strftime(make_timestamp(timestamp_ns // 1000), '%Y-%m-%d %H:%M:%S') || '.' || lpad((timestamp_ns % 1000000000)::VARCHAR, 9, '0') || ' UTC (' || (timestamp_ns // 1000000000) || '.' || lpad((timestamp_ns % 1000000000)::VARCHAR, 9, '0') || ')' AS stamp, replace(ltrim(topic, '/'), '/', '__') AS file FROM m")
+@query(f"WITH {M} SELECT seq, strftime(make_timestamp(timestamp_ns // 1000), '%Y-%m-%d %H:%M:%S') || '.' || lpad((timestamp_ns % 1000000000)::VARCHAR, 9, '0') || ' UTC (' || (timestamp_ns // 1000000000) || '.' || lpad((timestamp_ns % 1000000000)::VARCHAR, 9, '0') || ')' AS stamp, replace(topic, '/', '__') AS file FROM m")
 def stamp_text(spark, sf_dir):
     return messages(spark, sf_dir).select("seq", text.stamp(F.col("timestamp_ns")).alias("stamp"), text.file_name(F.col("topic")).alias("file"))
 

@@ -84,8 +84,10 @@ def rates(messages: DataFrame, window: str = "1 hour", lateness: str = "10 minut
 
 
 def paired(images: DataFrame, scans: DataFrame, window_ms: int, lateness: str = "1 minute") -> DataFrame:
-    """Image stamps with scan stamps no further than the window: a stream-stream join bounded in time on both sides."""
+    """Each image's stamp with that of the nearest scan within the window (of two the earlier): a stream-stream join bounded in time on both sides, then the least gap."""
     i = images.select(F.timestamp_micros(F.expr("stamp_ns div 1000")).alias("i_ts"), F.col("stamp_ns").alias("image_ns")).withWatermark("i_ts", lateness)
     s = scans.select(F.timestamp_micros(F.expr("stamp_ns div 1000")).alias("s_ts"), F.col("stamp_ns").alias("scan_ns")).withWatermark("s_ts", lateness)
     near = F.expr(f"s_ts BETWEEN i_ts - INTERVAL {window_ms} MILLISECONDS AND i_ts + INTERVAL {window_ms} MILLISECONDS")
-    return i.join(s, near).select("image_ns", "scan_ns", (F.col("scan_ns") - F.col("image_ns")).alias("gap_ns"))
+    gap = F.col("scan_ns") - F.col("image_ns")
+    best = i.join(s, near).groupBy("i_ts", "image_ns").agg(F.min_by("scan_ns", F.struct(F.abs(gap), "scan_ns")).alias("scan_ns"))
+    return best.select("image_ns", "scan_ns", gap.alias("gap_ns"))

@@ -1,13 +1,15 @@
 """Operators on small tables whose results are plain."""
 
 import math
+import random
+from statistics import median_high
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronolane.functions import geometry as G
 from chronolane.functions import text
-from chronolane.operators import asof, clouds, frames, select, spatial, stats
+from chronolane.operators import asof, clouds, colour, frames, order, select, spatial, stats
 
 T0, S = 1_000_000_000, 1_000_000_000
 
@@ -54,24 +56,17 @@ def test_globs(bag):
     assert [r[0] for r in select.unmatched(bag, ["/fa*", "/no"]).collect()] == ["/no"]
 
 
-MS = 1_000_000
-SYNC = [
-    ([1000, 1100], [1000, 1100], 0, 1, [1000, 1100]),
-    ([1000], [1030], 0, 50, [1030]),
-    ([1000], [1030], 0, 20, [None]),
-    ([1000], [940, 1060], 0, 52, [None]),
-    ([1000], [940, 1060], 60, 52, [940]),
-    ([1000], [990, 1010], 0, 10, [990]),
-    ([1000], [1010], 0, 10, [1010]),
-    ([1000], [], 0, 10, [None]),
-]
-
-
-@pytest.mark.parametrize("ref,other,offset,tolerance,want", SYNC)
-def test_nearest_within(spark, ref, other, offset, tolerance, want):
-    make = lambda v: spark.createDataFrame([(t * MS, k, t) for k, t in enumerate(v)], "timestamp_ns long, seq long, ms long")
-    out = asof.within(make(ref).drop("ms"), make(other), ["ms"], tolerance * MS, offset_ns=offset * MS).orderBy("timestamp_ns").collect()
-    assert [r["match"] and r["match"]["ms"] for r in out] == want
+@pytest.mark.parametrize("seed", range(4))
+def test_nearest_within_brute_force(spark, seed):
+    rng = random.Random(seed)
+    draw = lambda n: [rng.randrange(0, 200) for _ in range(n)]
+    ref, other, offset, tolerance = draw(60) * 2, draw((0, 5, 40, 200)[seed]), rng.randrange(-9, 9), (0, 1, 4, 30)[seed]
+    left = spark.createDataFrame([(t,) for t in ref], "timestamp_ns long")
+    right = spark.createDataFrame([(t, k) for k, t in enumerate(other)], "timestamp_ns long, seq long")
+    out = asof.within(left, right, [], tolerance, offset_ns=offset, stretch_ns=17).collect()
+    moved = [t + offset for t in other]
+    near = lambda t: min(((abs(m - t), m) for m in moved if abs(m - t) <= tolerance), default=(0, None))[1]
+    assert sorted((r["timestamp_ns"], str(r["match"] and r["match"]["timestamp_ns"])) for r in out) == sorted((t, str(near(t))) for t in ref)
 
 
 def test_nearest_duplicates(spark):
@@ -167,3 +162,78 @@ def test_deep_chains_are_walked_whole(spark):
     cycle = spark.createDataFrame([*chain, ("x", "y"), ("y", "z"), ("z", "x")], "parent string, child string")
     assert sorted(r["frame"] for r in frames.forest_faults(cycle).collect()) == ["x", "y", "z"]
     assert frames.path_between(df, "f35", "a") == (["a", "side/a", "f3"], [f"f{k}" for k in range(35, 2, -1)])
+
+
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_order_in_stretches(spark, size):
+    rng = random.Random(size)
+    rows = [(rng.choice("abc"), s, rng.randrange(9)) for s in rng.sample(range(-50, 4000), 300)] + [(None, 5, 1), (None, 9, 2)]
+    df = spark.createDataFrame(rows, "topic string, seq long, v int")
+    by = {}
+    for t, s, v in sorted(rows, key=lambda r: r[1]):
+        by.setdefault(t, []).append((s, v))
+    got = {(r["topic"], r["seq"]): r["n"] for r in order.numbered(df, ["topic"], "seq", "n", size).collect()}
+    assert got == {(t, s): k for t, own in by.items() for k, (s, _) in enumerate(own)}
+    got = {(r["topic"], r["seq"]): r["b"] for r in order.with_previous(df, ["topic"], "seq", "v", "b", size).collect()}
+    assert got == {(t, s): own[k - 1][1] if k else None for t, own in by.items() for k, (s, _) in enumerate(own)}
+
+
+def test_upper_median(spark):
+    rng = random.Random(5)
+    rows = [("ties", 3.0)] * 500 + [("ties", 4.0)] * 501 + [("two", 1.0), ("two", 9.0), ("none", None), (None, 2.0)] + [("many", rng.gauss(0, 9)) for _ in range(5000)] + [("tail", 10.0**k) for k in range(40)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    own = {}
+    for k, v in rows:
+        if v is not None:
+            own.setdefault(k, []).append(v)
+    assert {r["k"]: r["median"] for r in order.upper_median(df, ["k"], "v").collect()} == {k: median_high(v) for k, v in own.items()}
+    assert order.upper_median(df, [], "v").first()["median"] == median_high([v for _, v in rows if v is not None])
+    assert order.upper_median(df.where("false"), ["k"], "v").count() == 0
+
+
+def test_names_of_files_and_topics(spark):
+    topics = ["/cam/image_raw", "/cam/image_raw/compressed", "/a/b/image_rect_color", "/image_rect_color/compressed", "/cam/image", "/cam/image_mono", "cam", "/x/image_raw/other"]
+    df = spark.createDataFrame([(t,) for t in topics], "topic string")
+    got = {r["topic"]: (r["f"], r["i"]) for r in df.select("topic", text.file_name(F.col("topic")).alias("f"), text.camera_info_topic(F.col("topic")).alias("i")).collect()}
+    assert {t: i for t, (_, i) in got.items()} == dict(zip(topics, ["/cam/camera_info", "/cam/camera_info", "/a/b/camera_info", "/camera_info", None, None, None, None], strict=True))
+    assert got["/a/b/image_rect_color"][0] == "__a__b__image_rect_color" and got["cam"][0] == "cam"
+
+
+def test_durations_need_a_unit(bag):
+    assert select.duration_ns("1.5e3ms") == 1_500_000_000 and select.duration_ns(".5s") == 500_000_000
+    for bad in ("864000", "1e3", "1 h", "e3s"):
+        with pytest.raises(ValueError):
+            select.trim(bag, end=bad)
+
+
+def test_observation_weight(spark):
+    c = lambda n: F.col(n)
+    df = spark.createDataFrame([(2.0, -0.5, 30.0, 5.0), (20.0, None, 10.0, 50.0), (20.0, 1.0, 10.0, -3.0)], "z double, i double, g double, b double")
+    got = [r[0] for r in df.select(G.observation_weight(c("z"), c("i"), c("g"), c("b"), 10.0, 10.0, 10.0)).collect()]
+    assert got == pytest.approx([1.0 * 0.5 * 0.75 * 0.5, 0.25 * 1.0 * 0.5 * 1.0, 0.0])
+    assert df.select(G.observation_weight(c("z"), F.lit(1.0), c("g"), c("b"), 10.0, 0.0, 0.0)).first()[0] == 1.0
+
+
+def test_gains_against_the_first_camera(spark):
+    rows = [(p, k, 2 * v if k else v, v, v, 1.0) for p in range(100) for k, v in ((0, 40 + p), (1, 40 + p))]
+    rows += [(p, 2, 200, 200, 200, 1.0) for p in range(10)] + [(500, 1, 100, 100, 100, 2.0), (501, 1, 7, 7, 7, 0.0)]
+    df = spark.createDataFrame(rows, "point_idx int, camera int, r int, g int, b int, weight double")
+    got = {r["camera"]: r for r in colour.gains(colour.per_camera(df)).collect()}
+    assert got[0]["gain_r"] == got[2]["gain_r"] == got[1]["gain_g"] == 1.0 and 0.2 < got[1]["gain_r"] < 0.3
+    out = {r["point_idx"]: r for r in colour.blended(df).collect()}
+    assert 501 not in out and abs(out[50]["r"] - 90) <= 2 and out[500]["g"] == 100
+
+
+def test_stamped_skips_times_that_are_not_finite(spark):
+    rows = [(1, 10, 0.5), (1, 10, float("nan")), (1, 10, None), (2, 10, 2e6), (2, 10, float("nan")), (3, 10, float("nan"))]
+    df = spark.createDataFrame(rows, "cloud_seq long, header_stamp_ns long, t double")
+    got = [r["timestamp_ns"] for r in clouds.stamped(df).where("t IS NOT NULL AND NOT isnan(t)").orderBy("cloud_seq").collect()]
+    assert sorted(got) == [500_000_010, 2_000_000_000_000_000]
+
+
+def test_pairs_are_the_nearest(spark):
+    from chronolane.streaming import grouping
+
+    make = lambda v: spark.createDataFrame([(t * 10**6,) for t in v], "stamp_ns long")
+    got = grouping.paired(make([1000, 2000, 9000]), make([900, 990, 1010, 2040, 5000]), 50).collect()
+    assert sorted((r["image_ns"] // 10**6, r["scan_ns"] // 10**6) for r in got) == [(1000, 990), (2000, 2040)]
