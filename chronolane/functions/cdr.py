@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -246,3 +246,63 @@ def header_stamp():
     seconds = number(5)
     signed = F.when(seconds >= 2**31, seconds - 2**32).otherwise(seconds)
     return F.when(F.octet_length("payload") >= 12, signed * 1_000_000_000 + number(9))
+
+
+def encoded(rows: DataFrame, schema_text: str) -> DataFrame:
+    """The rows with `message` (a struct after the schema, no nulls inside) turned into `payload`; other columns stay. A null message is a null payload."""
+    defs = parse(schema_text)
+    others = [c for c in rows.columns if c != "message"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for value in batch.column(batch.num_columns - 1).to_pylist():
+                w = Writer()
+                if value is not None:
+                    w.message(defs, value)
+                out.append(None if value is None else bytes(w.out))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], [*others, "payload"])
+
+    kind = T.StructType([*rows.select(*others).schema.fields, T.StructField("payload", T.BinaryType())])
+    return rows.select(*others, "message").mapInArrow(run, kind)
+
+
+def edited(messages: DataFrame, schema_text: str, topics: list[str], change: Callable[[dict], dict]) -> DataFrame:
+    """The messages with the payloads of the topics read, changed and written again; all others as they are. A payload that cannot be read raises."""
+    defs = parse(schema_text)
+    names, wanted = messages.columns, set(topics)
+    topic, payload = names.index("topic"), names.index("payload")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, data in zip(batch.column(topic).to_pylist(), batch.column(payload).to_pylist(), strict=True):
+                if name in wanted:
+                    w = Writer()
+                    w.message(defs, change(Reader(data or b"").message(defs)))
+                    data = bytes(w.out)
+                out.append(data)
+            columns = list(batch.columns)
+            columns[payload] = pa.array(out, pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return messages.mapInArrow(run, messages.schema)
+
+
+def decompressed(messages: DataFrame, compression: str = "zstd") -> DataFrame:
+    """The messages with payloads that were compressed one by one unpacked, sizes in the frames or not. Empty and null payloads stay; what is no frame raises."""
+    if compression != "zstd":
+        raise ValueError(f"unknown compression of messages {compression!r}")
+    names = messages.columns
+    payload = names.index("payload")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[payload] = pa.array([unpack.decompressobj().decompress(x) if x else x for x in columns[payload].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return messages.mapInArrow(run, messages.schema)

@@ -48,14 +48,18 @@ def neighbours(left: DataFrame, right: DataFrame, columns: list[str], by: list[s
     return out.select("_l.*", F.coalesce("_prev", "_before").alias("prev"), F.coalesce("_next", "_after").alias("next"))
 
 
+def closer() -> Column:
+    """prev or next, the nearer in time; of two equally near the earlier."""
+    t = F.col("timestamp_ns")
+    one = F.when(F.col("next").isNull(), F.col("prev")).when(F.col("prev").isNull(), F.col("next"))
+    return one.when(t - F.col("prev.timestamp_ns") <= F.col("next.timestamp_ns") - t, F.col("prev")).otherwise(F.col("next"))
+
+
 def nearest(left: DataFrame, right: DataFrame, columns: list[str], by: list[str] | None = None, offset_ns: int = 0, **options) -> DataFrame:
     """The left rows with match: the right row nearest in time (of two equally near the earlier); offset_ns moves the right for matching only."""
     moved = right.withColumn("timestamp_ns", F.col("timestamp_ns") + offset_ns)
     out = neighbours(left, moved, columns, by, **options)
-    t = F.col("timestamp_ns")
-    closer = F.when(F.col("next").isNull(), F.col("prev")).when(F.col("prev").isNull(), F.col("next"))
-    closer = closer.when(t - F.col("prev.timestamp_ns") <= F.col("next.timestamp_ns") - t, F.col("prev")).otherwise(F.col("next"))
-    return out.withColumn("match", closer).drop("prev", "next")
+    return out.withColumn("match", closer()).drop("prev", "next")
 
 
 def within(left: DataFrame, right: DataFrame, columns: list[str], tolerance_ns: int, by: list[str] | None = None, offset_ns: int = 0, **options) -> DataFrame:
@@ -105,3 +109,26 @@ def injected(stream: DataFrame, added: DataFrame) -> DataFrame:
     end = F.lit(2**62)
     a = placed.withColumn("place", F.coalesce("next.seq", end)).withColumn("copied", F.lit(1) * 0).drop("prev", "next")
     return stream.withColumn("place", F.col("seq")).withColumn("copied", F.lit(1)).unionByName(a)
+
+
+def matched_by_clock(frames: DataFrame, clouds: DataFrame, columns: list[str], **options) -> DataFrame:
+    """The frames with clock and match: by header stamps where the frame has one and every cloud has, else by the time of recording.
+
+    Both have timestamp_ns, header_ns (0 or null: none) and seq. `match` is the
+    nearest cloud in that clock, its timestamp_ns that of the clock.
+    """
+    lacking = clouds.where(F.coalesce("header_ns", F.lit(0)) <= 0).limit(1).select(F.lit(True).alias("_lacking"))  # one row at most
+    names = frames.columns
+    some = frames.join(F.broadcast(lacking), how="left")
+    header = (F.coalesce("header_ns", F.lit(0)) > 0) & F.col("_lacking").isNull()
+    some = some.select(F.struct(*names).alias("_f"), F.when(header, "header").otherwise("record").alias("clock"), F.when(header, F.col("header_ns")).otherwise(F.col("timestamp_ns")).alias("timestamp_ns"))
+    both = clouds.select("*", F.lit("record").alias("clock")).unionByName(clouds.where("header_ns > 0").withColumn("timestamp_ns", F.col("header_ns")).withColumn("clock", F.lit("header")))
+    return nearest(some, both, columns, ["clock"], **options).select("_f.*", "clock", "match")
+
+
+def fetched(wanted: DataFrame, messages: DataFrame) -> DataFrame:
+    """The messages recorded exactly at each wanted topic and timestamp_ns, of several the first by seq; null where there is none."""
+    rest = [c for c in messages.columns if c not in ("topic", "timestamp_ns")]
+    first = messages.join(wanted.select("topic", "timestamp_ns").distinct(), ["topic", "timestamp_ns"], "left_semi")
+    first = first.groupBy("topic", "timestamp_ns").agg(F.min_by(F.struct(*rest), "seq").alias("found"))
+    return wanted.join(first, ["topic", "timestamp_ns"], "left").select(*wanted.columns, "found")

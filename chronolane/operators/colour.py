@@ -109,16 +109,3 @@ def reservoir(observations: DataFrame, keys: list[str], order: str, size: int =
     held = n.withColumn("_slot", slot.cast("long")).where(F.col("_slot") < size)
     return held.groupBy(*keys, "_slot").agg(F.max_by(F.struct(*rest), "_n").alias("v")).select("v.*")
 
-
-def dead_reckoning(samples: DataFrame) -> DataFrame:
-    """topic, seq, and velocity and position (vx.., px..) from accelerations (ax, ay, az) held until the next sample: running sums."""
-    w = Window.partitionBy("topic").orderBy("seq")
-    dt = (F.col("timestamp_ns") - F.lag("timestamp_ns").over(w)) / 1e9
-    s = samples.withColumn("_dt", F.coalesce(dt, F.lit(0.0)))
-    for a in ("x", "y", "z"):
-        held = F.coalesce(F.lag(f"a{a}").over(w), F.lit(0.0))
-        s = s.withColumn(f"_d{a}", held * F.col("_dt")).withColumn(f"v{a}", F.sum(f"_d{a}").over(w))
-    for a in ("x", "y", "z"):
-        # the velocity before the step, and half of what the step adds
-        s = s.withColumn(f"p{a}", F.sum((F.col(f"v{a}") - F.col(f"_d{a}") / 2) * F.col("_dt")).over(w))
-    return s.select("topic", "seq", *[f"{k}{a}" for k in "vp" for a in ("x", "y", "z")])

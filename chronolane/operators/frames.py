@@ -166,3 +166,46 @@ def looked_up(stamps: DataFrame, edges: DataFrame, ref: str, of: str) -> DataFra
         out, (t, q) = edge_pose(out, child)
         out = put(out, *G.compose(*G.inverse(t, q), *pose("_")))
     return out.select("timestamp_ns", *[F.col(f"_{c}").alias(c) for c in POSE])
+
+
+def edge_sets(transforms: DataFrame) -> DataFrame:
+    """topic, is_static, parent and child: the distinct edges of each topic, those with an empty name left out."""
+    named = (F.col("parent") != "") & (F.col("child") != "")
+    return transforms.where(named).select("topic", "is_static", "parent", "child").distinct()
+
+
+def union_tree(edge_sets_: DataFrame) -> DataFrame:
+    """parent, child and kind of the tree of all topics: an edge that any topic publishes as static is static."""
+    return edge_sets_.groupBy("parent", "child").agg(F.when(F.max(F.col("is_static").cast("int")) == 1, "static").otherwise("moving").alias("kind"))
+
+
+def tree_faults(edges: DataFrame) -> DataFrame:
+    """fault and frame of a whole tree: faults of its form and of its values."""
+    return forest_faults(edges).unionByName(bad_values(edges).select("fault", F.col("child").alias("frame"))).distinct()
+
+
+def trajectory(edges: DataFrame, topic: str, ref: str, of: str) -> DataFrame:
+    """timestamp_ns and the pose of `of` in `ref` at the stamps of the topic's edges that lie on the way; without a pose where an edge has none at that time.
+
+    edges: topic, parent, child, stamp_ns, is_static and the pose. Raises where the
+    topic has no edge, there is no way, or none of the topic's edges is on it.
+    """
+    own = edges.where(F.col("topic") == topic)
+    if own.isEmpty():
+        raise ValueError(f"{topic!r} holds no transforms")
+    down, across = path_between(edges.select("parent", "child").distinct(), ref, of)
+    stamps = own.where(F.col("child").isin(down[:-1] + across[:-1])).select(F.col("stamp_ns").alias("timestamp_ns")).distinct()
+    if stamps.isEmpty():
+        raise ValueError(f"{topic!r} has no stamps between {ref!r} and {of!r}")
+    return stamps.join(looked_up(stamps, edges, ref, of), "timestamp_ns", "left")
+
+
+def transform_json(ref: str, of: str) -> Column:
+    """A pose (tx .. qw) as JSON: of, ref, translation, and rotation as quaternion, rpy_rad and rpy_deg."""
+    from chronolane.functions import geometry as G
+
+    t, q = pose()
+    angles = dict(zip(("roll", "pitch", "yaw"), G.to_rpy(q), strict=True))
+    part = lambda values: F.struct(*[v.alias(k) for k, v in values.items()])
+    rotation = {"quaternion": part(dict(zip("xyzw", q, strict=True))), "rpy_rad": part(angles), "rpy_deg": part({k: F.degrees(v) for k, v in angles.items()})}
+    return F.to_json(part({"of": F.lit(of), "ref": F.lit(ref), "translation": part(dict(zip("xyz", t, strict=True))), "rotation": part(rotation)}))

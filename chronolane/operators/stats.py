@@ -104,3 +104,9 @@ def evenly(rows: DataFrame, keys: list[str], by: str, most: int) -> DataFrame:
     k = F.floor(F.col("_r") / step + 0.5)
     hit = F.exists(F.array(k - 1, k, k + 1), lambda i: (i >= 0) & (i <= most - 1) & (F.floor(i * step + 0.5) == F.col("_r")))
     return out.where((F.col("_n") <= most) | hit).drop("_r", "_n")
+
+
+def declared_counts(topics: DataFrame, messages: DataFrame) -> DataFrame:
+    """topic and n for every declared topic, 0 where it has no messages."""
+    n = messages.groupBy("topic").agg(F.count("*").alias("n"))
+    return topics.select("topic").distinct().join(n, "topic", "left").select("topic", F.coalesce("n", F.lit(0)).alias("n"))

@@ -500,12 +500,6 @@ def reservoir_sample(spark, sf_dir):
     return colour.reservoir(observations(spark, sf_dir), ["point_idx"], "image_seq")
 
 
-@query()
-def dead_reckoning(spark, sf_dir):
-    m = messages(spark, sf_dir).select("topic", "seq", "timestamp_ns", F.col("value").alias("ax"), F.lit(0.0).alias("ay"), F.lit(0.0).alias("az"))
-    return colour.dead_reckoning(m)
-
-
 @query()
 def point_normals(spark, sf_dir):
     shared(spark)
