@@ -208,11 +208,9 @@ def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-#: For near copies: the similarity asked for, bits, the radius of candidates, that of the first 64 bits, and the radius of links that are verified first.
+#: For near copies: the similarity asked for, bits, the radius of candidates, that of the first 64 bits, and what a tile holds: texts, and shingle hashes of a group's texts, about.
 SIMILARITY_9THS = 4  # similarity 0.8: 9 * common >= 4 * (size + size)
-WIDE_BITS, WIDE_RADIUS, FIRST_RADIUS, TIGHT_RADIUS, WIDE_TILE = 256, 64, 20, 36, 8192
-#: Shingle hashes of a text that one row holds in the verification, about.
-BLOCK = 4096
+WIDE_BITS, WIDE_RADIUS, FIRST_RADIUS, WIDE_TILE, TILE_HASHES = 256, 64, 20, 8192, 1 << 19
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -254,144 +252,146 @@ def _set_key(values: np.ndarray) -> tuple[bytes, int]:
     return sig, int.from_bytes(sig[:8], "little", signed=True)
 
 
-def _cuts(n: int) -> int:
-    """Into how many ranges of hashes the verification cuts a set of n: a power of two."""
-    return 1 << max(0, (-(-n // BLOCK) - 1).bit_length())
-
-
-def wide_pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, same: bool, radius: int, tight: int, apart: tuple | None = None) -> tuple:
-    """i, j, tree: pairs of a row of a and one of b that may be near copies.
+def _alike(a: dict, b: dict, same: bool, radius: int, block: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """i, j and the bits that differ: pairs of a row of a and one of b that may be near copies, for some rows of a at a time.
 
     The first word sieves, all words decide, and sets whose sizes alone rule the
-    similarity out go. tree marks a spanning forest (of pairs, the closest first)
-    over the pairs within `tight`; of all others those are given whose ends lie
-    in different trees. same: a and b are one tile. apart: groups of a and of b;
-    pairs of one group go.
+    similarity out go. same: a and b are one tile; each pair comes once.
     """
-    off = 0 if same else len(a)
-    label = np.arange(off + len(b))
-    rng = np.random.default_rng(SEED)
-    trees, rest = [], []
-    for at in range(0, len(a), 256):
-        i, j = np.nonzero(np.bitwise_count(a[at : at + 256, None, 0] ^ b[None, :, 0]) <= FIRST_RADIUS)
+    for at in range(0, len(a["n"]), block):
+        i, j = np.nonzero(np.bitwise_count(a["w"][at : at + block, None, 0] ^ b["w"][None, :, 0]) <= FIRST_RADIUS)
         i = i + at
         if same:
             i, j = i[i < j], j[i < j]
-        if apart:
-            other = apart[0][i] != apart[1][j]
-            i, j = i[other], j[other]
-        far = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64)
-        low, high = np.minimum(na[i], nb[j]), np.maximum(na[i], nb[j])
+        far = np.bitwise_count(a["w"][i] ^ b["w"][j]).sum(axis=1, dtype=np.int64)
+        low, high = np.minimum(a["n"][i], b["n"][j]), np.maximum(a["n"][i], b["n"][j])
         near = (far <= radius) & ((9 - SIMILARITY_9THS) * low >= SIMILARITY_9THS * high)
-        i, j, far = i[near], j[near] + off, far[near]
-        close = far <= tight
-        x, y, d = i[close], j[close], far[close]
-        while True:
-            p, q = label[x], label[y]
-            split = p != q
-            if not split.any():
-                break
-            x, y, d, p, q = x[split], y[split], d[split], p[split], q[split]
-            low, high = np.minimum(p, q), np.maximum(p, q)
-            order = np.lexsort((rng.random(len(high)), d, high))  # by chance among equals, so that no row draws all links
-            order = order[np.concatenate([[True], np.diff(high[order]) > 0])]
-            label[high[order]] = low[order]
-            trees.append((x[order], y[order]))
-            while not np.array_equal(up := label[label], label):
-                label[:] = up
-        split = label[i] != label[j]
-        rest.append((i[split], j[split]))
-
-    def joined(found: list) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]).astype(np.int64) for k in range(2))
-
-    (x, y), (i, j) = joined(trees), joined(rest)
-    split = label[i] != label[j]
-    i, j = np.concatenate([x, i[split]]), np.concatenate([y, j[split]])
-    return i, j - off, np.arange(len(i)) < len(x)
-
-
-_PAIR = "src long, src_key long, dst long, dst_key long, total long, cuts int, tree boolean, pop int, to int, a_slice int, b_slice int"
+        yield i[near], j[near], far[near]
+
+
+def candidate_forest(a: dict, b: dict, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest over all pairs that may be near copies."""
+    off = 0 if same else len(a["n"])
+    label = np.arange(off + len(b["n"]))
+    for i, j, _ in _alike(a, b, same, radius):
+        _merge(label, i, j + off)
+    ids = b["id"] if same else np.concatenate([a["id"], b["id"]])
+    linked = label != np.arange(len(label))
+    return ids[linked], ids[label[linked]]
+
+
+def _common(own: np.ndarray, tile: dict, rows: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes each of the tile's rows holds."""
+    out = np.zeros(len(rows), np.int64)
+    ends = np.cumsum(tile["n"][rows])
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(ends // TILE_HASHES)) + 1):
+        n = tile["n"][rows[part]]
+        first = np.cumsum(n) - n
+        values = tile["hashes"][np.arange(n.sum()) + np.repeat(tile["first"][rows[part]] - first, n)]
+        at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+        out[part] = np.add.reduceat(own[at] == values, first, dtype=np.int64)
+    return out
+
+
+def near_forest(a: dict, b: dict, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest over all pairs of near copies: candidates whose sets have the similarity.
+
+    Of the candidates of a row those are counted that are not connected with it
+    yet, first the closest one of each tree.
+    """
+    off = 0 if same else len(a["n"])
+    label = np.arange(off + len(b["n"]))
+    src, dst = [], []
+    for i, j, far in _alike(a, b, same, radius):
+        cuts = np.flatnonzero(np.diff(i)) + 1
+        for row, js, d in zip(i[np.r_[0, cuts]] if len(i) else [], np.split(j, cuts), np.split(far, cuts), strict=False):
+            own = a["hashes"][a["first"][row] : a["first"][row] + a["n"][row]]
+            for turn in range(2):
+                apart = label[js + off] != label[row]
+                js, d = js[apart], d[apart]
+                if not len(js):
+                    break
+                tried = js
+                if turn == 0:
+                    order = np.argsort(d, kind="stable")
+                    tried = js[order][np.unique(label[js[order] + off], return_index=True)[1]]
+                near = tried[_common(own, b, tried) * 9 >= (a["n"][row] + b["n"][tried]) * SIMILARITY_9THS]
+                if len(near):
+                    trees, one = np.unique(label[near + off], return_index=True)
+                    src.append(np.full(len(one), a["id"][row]))
+                    dst.append(b["id"][near[one]])
+                    trees = np.append(trees, label[row])
+                    label[np.isin(label, trees)] = trees.min()
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(none + src), np.concatenate(none + dst)
+
+
 _TILES = ["pop", "to", "a_slice", "b_slice"]
+_WORDS = [f"w{k}" for k in range(WIDE_BITS // 64)]
+
+
+def _row(*more: str) -> Column:
+    return F.struct("id", "n", *[F.get("fp", F.lit(k)).alias(w) for k, w in enumerate(_WORDS)], *more)
 
 
 def _tile_pairs(distinct: DataFrame, size: int) -> DataFrame:
-    """pop, to, a_slice, b_slice, a and b: every two tiles that can hold near copies. Tiles are of rows of id, key, n, g and the words."""
+    """same, a and b: every two tiles that can hold near copies."""
     pop = F.bit_count(F.get("fp", F.lit(0)))
     counts = distinct.groupBy(pop.alias("pop")).agg(F.ceil(F.count("*") / F.lit(size)).alias("slices"))
     at = distinct.withColumn("pop", pop).join(F.broadcast(counts), "pop")  # 65 rows at most
     at = at.withColumn("slice", F.pmod(F.xxhash64("fp"), "slices").cast("int"))
-    row = F.struct("id", "key", "n", "g", *[F.get("fp", F.lit(k)).alias(f"w{k}") for k in range(WIDE_BITS // 64)])
-    tiled = materialise(at.groupBy("pop", "slice").agg(F.collect_list(row).alias("rows")), "tiles")
+    tiled = materialise(at.groupBy("pop", "slice").agg(F.collect_list(_row()).alias("rows")), "tiles")
     left = tiled.select(F.explode(F.sequence(F.col("pop"), F.least(F.col("pop") + FIRST_RADIUS, F.lit(64)))).alias("to"), "pop", F.col("slice").alias("a_slice"), F.col("rows").alias("a"))
     right = tiled.select(F.col("pop").alias("to"), F.col("slice").alias("b_slice"), F.col("rows").alias("b"))
-    return left.join(right, "to").where("pop <> to OR a_slice <= b_slice").select(*_TILES, "a", "b")
+    pairs = left.join(right, "to").where("pop <> to OR a_slice <= b_slice").repartition(*_TILES)
+    return pairs.select(F.expr("pop = to AND a_slice = b_slice").alias("same"), "a", "b")
+
+
+def _group_pairs(groups: DataFrame, slim: DataFrame, shingle: int, size: int) -> DataFrame:
+    """same, a and b with the shingle hashes: every two tiles of a group of candidates. groups: g, id, key, n, fp."""
+    slices = F.ceil(F.greatest(F.count("*") / F.lit(size), F.sum("n") / F.lit(TILE_HASHES))).cast("int")
+    placed = groups.join(groups.groupBy("g").agg(F.greatest(slices, F.lit(1)).alias("slices")), "g").withColumn("slice", F.pmod(F.xxhash64("key"), "slices").cast("int"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = shingle_set(text.as_py(), shingle)
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([_set_key(values)[1]], pa.int64()), pa.array([values.view(np.int64)], pa.list_(pa.int64()))], ["id", "key", "hashes"])
 
-def _candidates(pairs: DataFrame, radius: int, tight: int) -> DataFrame:
-    """Pairs of tiles to pairs of texts to verify."""
+    texts = slim.join(groups.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    sets = texts.mapInArrow(run, "id long, key long, hashes array<long>").join(placed, ["id", "key"]).dropDuplicates(["id", "key"])
+    tiled = materialise(sets.groupBy("g", "slices", "slice").agg(F.collect_list(_row("hashes")).alias("rows")), "groups")
+    own = tiled.select(F.lit(True).alias("same"), F.col("rows").alias("a"), F.lit(None).cast(tiled.schema["rows"].dataType).alias("b"))
+    left = tiled.where("slices > 1").select("g", F.col("slice").alias("a_slice"), F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("b_slice")).where("a_slice < b_slice")
+    right = tiled.select("g", F.col("slice").alias("b_slice"), F.col("rows").alias("b"))
+    across = left.join(right, ["g", "b_slice"]).repartition("g", "a_slice", "b_slice")
+    return own.unionByName(across.select(F.lit(False).alias("same"), "a", "b"))
+
+
+def _linked(pairs: DataFrame, forest, radius: int) -> DataFrame:
+    """src and dst: the forests of all pairs of tiles."""
 
     def side(column: pa.Array, k: int) -> dict[str, np.ndarray]:
         v = column[k].values
-        out = {name: v.field(name).to_numpy() for name in ("id", "key", "n", "g")}
-        return out | {"w": np.stack([v.field(f"w{i}").to_numpy() for i in range(WIDE_BITS // 64)], axis=1).view(np.uint64)}
+        out = {"id": v.field("id").to_numpy(), "n": v.field("n").to_numpy()}
+        out["w"] = np.stack([v.field(w).to_numpy() for w in _WORDS], axis=1).view(np.uint64)
+        if "hashes" in [f.name for f in v.type]:
+            lists = v.field("hashes")
+            out |= {"first": lists.offsets.to_numpy()[:-1].astype(np.int64), "hashes": lists.values.to_numpy().view(np.uint64)}
+        return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [batch.column(k).to_pylist() for k in range(4)]
-            for k in range(batch.num_rows):
-                at = [c[k] for c in keys]
-                a, b = side(batch.column(4), k), side(batch.column(5), k)
-                same = at[0] == at[1] and at[2] == at[3]
-                i, j, tree = wide_pairs(a["w"], b["w"], a["n"], b["n"], same, radius, tight, (a["g"], b["g"]))
-                if not len(i):
-                    continue
-                most = np.maximum(a["n"][i], b["n"][j])
-                cuts = np.array([_cuts(int(n)) for n in most], np.int32)
-                cols = [a["id"][i], a["key"][i], b["id"][j], b["key"][j], a["n"][i] + b["n"][j], cuts, tree]
-                cols += [np.full(len(i), x, np.int32) for x in at]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["src", "src_key", "dst", "dst_key", "total", "cuts", "tree", *_TILES])
+            for k, same in enumerate(batch.column(0).to_pylist()):
+                a = side(batch.column(1), k)
+                src, dst = forest(a, a if same else side(batch.column(2), k), same, radius)
+                if len(src):
+                    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
-    return pairs.repartition(*_TILES).select(*_TILES, "a", "b").mapInArrow(compare, _PAIR)
+    return pairs.mapInArrow(compare, "src long, dst long")
 
 
-def _blocks(slim: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """id, key, cuts, block, hashes: the wanted texts' shingle hashes, cut into ranges.
-
-    A set is cut as its own size and as a near copy's largest size ask.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = shingle_set(text.as_py(), shingle)
-                key, n = _set_key(values)[1], len(values)
-                rows = []
-                for cuts in {_cuts(n), _cuts(n * (9 - SIMILARITY_9THS) // SIMILARITY_9THS)}:
-                    edges = np.array([(k << 64) // cuts for k in range(1, cuts)], np.uint64)
-                    rows += [(cuts, k, part.view(np.int64)) for k, part in enumerate(np.split(values, np.searchsorted(values, edges)))]
-                cols = [pa.array([doc] * len(rows), pa.int64()), pa.array([key] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "key", "cuts", "block", "hashes"])
-
-    texts = slim.join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    made = texts.mapInArrow(run, "id long, key long, cuts int, block int, hashes array<long>")
-    return made.join(wanted, ["id", "key"], "left_semi").dropDuplicates(["id", "key", "cuts", "block"])
-
-
-def _verified(pairs: DataFrame, slim: DataFrame, shingle: int) -> DataFrame:
-    """The pairs with `near`: whether their sets of shingles have the similarity. Sets meet range by range."""
-    ends = [pairs.select(F.col(e).alias("id"), F.col(f"{e}_key").alias("key")) for e in ("src", "dst")]
-    blocks = _blocks(slim, ends[0].union(ends[1]).distinct(), shingle)
-    each = pairs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    for e in ("src", "dst"):
-        own = blocks.select(F.col("id").alias(e), F.col("key").alias(f"{e}_key"), "cuts", "block", F.col("hashes").alias(f"{e}_hashes"))
-        each = each.join(own, [e, f"{e}_key", "cuts", "block"])
-    common = F.sum(F.size(F.array_intersect("src_hashes", "dst_hashes")))
-    out = each.groupBy(*pairs.columns).agg(common.alias("common"))
-    return out.withColumn("near", F.col("common") * 9 >= F.col("total") * SIMILARITY_9THS)
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, size: int = WIDE_TILE, tight: int = TIGHT_RADIUS) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, size: int = WIDE_TILE) -> DataFrame:
     """doc_id and component_id of every row with an id: components of near copies, named by their smallest doc_id.
 
     Near copies have sets of five-word shingles with a Jaccard similarity of at
@@ -400,10 +400,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, si
     of 6 (48 where a text has five shingles), unrelated texts in 128. Tiles are
     cut by the population count of the first 64 bits and meet within FIRST_RADIUS.
 
-    Equal sets are one row. Of candidates within `tight` a spanning forest for
-    each two tiles is verified, not all of a large group's pairs; where a link of
-    a forest fails, those tiles are compared again for every pair that is not
-    connected by then.
+    Equal sets are one row. Candidates make groups by spanning forests; inside a
+    group its texts' whole sets meet, tile by tile, and each two tiles give a
+    spanning forest of the near copies among them. No task gives out all pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,16 +417,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, si
     made = materialise(slim.mapInArrow(run, "doc_id long, sig binary, key long, n long, fp array<long>"), "wide")
     distinct = materialise(made.groupBy("sig", "key", "n", "fp").agg(F.min("doc_id").alias("id")), "distinct")
 
-    found = materialise(_candidates(_tile_pairs(distinct.withColumn("g", F.col("id")), size), radius, tight), "candidates")
-    tried = materialise(_verified(found, slim, shingle), "verified")
-    edges = tried.where("near").select("src", "dst")
-    again = tried.where("tree AND NOT near").select(*_TILES).distinct()
-    roots = components(edges)
-    if not again.isEmpty():
-        grouped = distinct.join(roots, distinct["id"] == roots["node"], "left").select("id", "key", "n", "fp", F.coalesce("root", "id").alias("g"))
-        pairs = _tile_pairs(grouped, size).join(again, _TILES, "left_semi")
-        found = materialise(_candidates(pairs, radius, -1), "candidates")
-        roots = components(edges.union(_verified(found, slim, shingle).where("near").select("src", "dst")))
+    groups = components(_linked(_tile_pairs(distinct, size), candidate_forest, radius))
+    least = groups.select(F.col("root").alias("node"), "root").distinct()  # the roots themselves
+    grouped = distinct.join(groups.union(least), distinct["id"] == F.col("node")).select(F.col("root").alias("g"), "id", "key", "n", "fp")
+    roots = components(_linked(_group_pairs(materialise(grouped, "grouped"), slim, shingle, -(-size // 4)), near_forest, radius))
     named = distinct.join(roots, distinct["id"] == roots["node"], "left").select("sig", F.coalesce("root", "id").alias("component_id"))
     return made.join(named, "sig").select("doc_id", "component_id")
 

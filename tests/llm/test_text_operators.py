@@ -373,9 +373,8 @@ def plain_shingles(text):
     return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("tight", [36, 64])
-def test_near_copies_are_verified(spark, tight, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 64)
+@pytest.mark.parametrize("size", [8192, 3])
+def test_near_copies_are_verified(spark, size):
     rng = np.random.default_rng(6)
     rows = []
     for m in (17, 22, 23, 28, 35) * 8:  # similarities of 0.843, 0.802, 0.794, 0.754 and 0.702
@@ -387,7 +386,7 @@ def test_near_copies_are_verified(spark, tight, monkeypatch):
     sets = {i: plain_shingles(t) for i, t in rows}
     want = components_of(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
     assert sum(i != c for i, c in want.items()) == 16
-    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), tight=tight).collect()
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), size=size).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
