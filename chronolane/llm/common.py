@@ -68,3 +68,11 @@ def free_name(taken: list[str], stem: str) -> str:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's SQL for the unsigned CRC-32 of a text's UTF-8 bytes; its table of 256 comes from the polynomial."""
+    step = lambda c: f"xor({c} >> 1, CASE WHEN {c} & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    made = f"list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: {step('c')}))"
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"(SELECT xor(list_reduce(list_concat([4294967295], {octets}), lambda c, x: xor(c >> 8, made.v[(xor(c, x) & 255) + 1])), 4294967295) FROM (SELECT {made} AS v) made)"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolane.llm import chat, fingerprint, packing, pii, quality, rules, sentencepiece_scan, simhash, substring, warc
+from chronolane.llm import audit, chat, fingerprint, packing, pii, quality, rules, sentencepiece_scan, sharding, simhash, spelling, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": rules.op8_quality_rules,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_contextual_pii": pii.op10_contextual_pii,
+        "op11_sharding": sharding.op11_sharding,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
+        "op13_filter_audit": audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": rules.ORACLE_SQL}
+    return {
+        "op8_quality_rules": rules.ORACLE_SQL,
+        "op11_sharding": sharding.ORACLE_SQL,
+        "op12_spelling_variants": spelling.ORACLE_SQL,
+        "op13_filter_audit": audit.ORACLE_SQL,
+    }
