@@ -1,10 +1,7 @@
-"""Colour observations of points, keyframes and reservoirs."""
+"""Colour observations of points, the best frames of buckets, and reservoirs."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,37 +64,12 @@ def blended(observations: DataFrame, **options) -> DataFrame:
     return o.groupBy("point_idx").agg(*[mean(c).alias(c) for c in CHANNELS])
 
 
-def keyframes(poses: DataFrame, distance: float, angle: float) -> DataFrame:
-    """topic, seq and bucket: a new bucket where the pose has moved or turned far enough since the bucket's first.
-
-    The first pose of a bucket is known only from the bucket before, so a topic's
-    rows run in order through one task; it streams them and holds one pose.
-    Topics run side by side.
-    """
-    columns = ["seq", "tx", "ty", "tz", "qx", "qy", "qz", "qw"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        topic, anchor, bucket = None, None, -1
-        for pdf in frames:
-            out = []
-            for name, row in zip(pdf["topic"], pdf[columns[1:]].to_numpy(), strict=True):
-                if anchor is None or name != topic:
-                    topic, anchor, bucket = name, row, 0
-                elif np.linalg.norm(row[:3] - anchor[:3]) >= distance or 2 * np.arccos(min(1.0, abs(row[3:] @ anchor[3:]))) >= angle:
-                    anchor, bucket = row, bucket + 1
-                out.append(bucket)
-            yield pdf[["topic", "seq"]].assign(bucket=np.array(out, dtype="int64"))
-
-    sorted_ = poses.select("topic", *columns).repartition("topic").sortWithinPartitions("topic", "seq")
-    return sorted_.mapInPandas(run, "topic string, seq long, bucket long")
-
-
 def best_of_bucket(frames: DataFrame) -> DataFrame:
-    """The sharpest frame of each (topic, bucket), of equals the earliest."""
+    """The sharpest frame of each (topic, bucket), of equals the earliest; frames without a bucket all stay."""
     rest = [c for c in frames.columns if c not in ("topic", "bucket")]
-    return frames.groupBy("topic", "bucket").agg(F.max_by(F.struct(*rest), F.struct("score", -F.col("seq"))).alias("v")).select("topic", "bucket", "v.*")
+    free = frames.where("bucket IS NULL").select("topic", "bucket", *rest)
+    best = frames.where("bucket IS NOT NULL").groupBy("topic", "bucket").agg(F.max_by(F.struct(*rest), F.struct("score", -F.col("seq"))).alias("v")).select("topic", "bucket", "v.*")
+    return best.unionByName(free)
 
 
 def reservoir(observations: DataFrame, keys: list[str], order: str, size: int = 16) -> DataFrame:

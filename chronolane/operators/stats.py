@@ -87,10 +87,9 @@ def spacing_radius(points: DataFrame, spacing: str, low: float = 0.05, high: flo
 def planar_fit(pairs: DataFrame) -> DataFrame:
     """One row: the rotation about z and the shift that best carry (ax, ay, az) to (bx, by, bz)."""
     mean = [F.avg(c).alias(f"m{c}") for c in ("ax", "ay", "az", "bx", "by", "bz")]
-    prod = {"xx": ("ax", "bx"), "yy": ("ay", "by"), "xy": ("ax", "by"), "yx": ("ay", "bx")}
-    s = pairs.agg(*mean, *[F.avg(F.col(a) * F.col(b)).alias(k) for k, (a, b) in prod.items()])
-    cov = lambda k: F.col(k) - F.col(f"m{prod[k][0]}") * F.col(f"m{prod[k][1]}")
-    s = s.withColumn("theta", F.atan2(cov("xy") - cov("yx"), cov("xx") + cov("yy")))
+    # covariances, as means of products lose the digits of points far from the origin
+    s = pairs.agg(*mean, *[F.covar_pop(f"a{i}", f"b{j}").alias(i + j) for i in "xy" for j in "xy"])
+    s = s.withColumn("theta", F.atan2(F.col("xy") - F.col("yx"), F.col("xx") + F.col("yy")))
     c, n = F.cos("theta"), F.sin("theta")
     return s.select("theta", (F.col("mbx") - c * F.col("max") + n * F.col("may")).alias("dx"), (F.col("mby") - n * F.col("max") - c * F.col("may")).alias("dy"), (F.col("mbz") - F.col("maz")).alias("dz"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolane.functions import geometry, text
 from chronolane.operators import asof, colour, frames, select, spatial, stats
+from chronolane.operators import keyframes as buckets
 from chronolane.plans.shared import shared
 
 QUERIES, ORACLES = {}, {}
@@ -489,10 +490,14 @@ def tum_round_trip(spark, sf_dir):
 # ---- without SQL ----
 
 
-@query()
+_KEY = f"{M}, f AS (SELECT topic, min(seq) AS seq, arg_min(value, seq) AS value FROM m GROUP BY topic), k AS (SELECT topic, seq, value, 0 AS bucket FROM f UNION ALL SELECT k.topic, min(m.seq), arg_min(m.value, m.seq), k.bucket + 1 FROM k JOIN m ON m.topic = k.topic AND m.seq > k.seq AND (m.value - k.value) * (m.value - k.value) >= 625 GROUP BY k.topic, k.bucket)"
+
+
+@query(f"WITH RECURSIVE {_KEY} SELECT m.topic, m.seq, (max(k.bucket) OVER (PARTITION BY m.topic ORDER BY m.seq))::BIGINT AS bucket FROM m LEFT JOIN k ON k.topic = m.topic AND k.seq = m.seq")
 def keyframes(spark, sf_dir):
+    shared(spark)
     m = messages(spark, sf_dir).select("topic", "seq", F.col("value").alias("tx"), *[F.lit(0.0).alias(c) for c in ("ty", "tz", "qx", "qy", "qz")], F.lit(1.0).alias("qw"))
-    return colour.keyframes(m, 25.0, 0.5)
+    return buckets.keyframes(m, 25.0, 0.5)
 
 
 @query()

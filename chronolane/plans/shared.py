@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def shared(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir for checkpoints; where it is unset, as in tests, a new local folder."""
+    """Use spark.checkpoint.dir for checkpoints; where it is unset, in local mode only, a new local folder."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chronolane-"))
+    if context.getCheckpointDir():
+        return
+    found = context.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(found or tempfile.mkdtemp(prefix="chronolane-"))
