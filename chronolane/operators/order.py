@@ -2,6 +2,7 @@
 
 Rows are cut into stretches of their order (an integer such as seq). Windows run
 inside a stretch; what lies before it comes from a table of one row per stretch.
+`placed` does without an integer: it ranges the rows over the partitions.
 """
 
 from __future__ import annotations
@@ -59,3 +60,28 @@ def upper_median(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     found = counts.withColumn("_upto", upto).where((F.col("_upto") > F.floor(F.col("_n") / 2)) & F.col("_v").isNotNull())
     return found.groupBy(*keys).agg(F.min("_v").alias("median"))
+
+
+def in_time(messages: DataFrame, reserved: Column | None = None, partitions: int | None = None) -> DataFrame:
+    """The messages ranged over partitions and sorted in each, so that partition after partition they are in time order.
+
+    Of equal stamps those first that fill a reserved place (a message made later
+    than it belongs), then by arrival (seq). The whole key ranges them, so a stamp
+    that many share is spread, and what stands at a border is where it belongs.
+    """
+    after = ~F.coalesce(reserved, F.lit(False)) if reserved is not None else F.lit(True)
+    by = ["timestamp_ns", "_after", "seq"]
+    spark = messages.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return messages.withColumn("_after", after).repartitionByRange(n, *by).sortWithinPartitions(*by).drop("_after")
+
+
+def placed(messages: DataFrame, reserved: Column | None = None, name: str = "place") -> DataFrame:
+    """Adds each message's place in time order (`in_time`), gapless from 0; it cuts the lineage by a checkpoint."""
+    sorted_ = in_time(messages, reserved).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    # a row for each partition
+    ends = sorted_.groupBy(F.shiftright("_at", 33).alias("_p")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("_p", before.alias("_before"))
+    out = sorted_.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(ends), "_p")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_p", "_at", "_before")

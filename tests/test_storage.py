@@ -144,3 +144,57 @@ def test_clouds(spark):
         with pytest.raises(ValueError):
             clouds.unpack(row | change)
     assert np.allclose(clouds.seconds(np.array([5], "u4"), 6), 5e-9)
+
+
+def reordered(arrivals, reserved):
+    """A plain writer that holds back what is later than the next reservation."""
+    out, held, waiting = [], [], sorted(reserved)
+
+    def release():
+        held.sort(key=lambda m: m[0])
+        while held and (not waiting or held[0][0] <= waiting[0]):
+            out.append(held.pop(0))
+
+    for m in arrivals:
+        if waiting and m[0] == waiting[0]:
+            out.append(m)
+            waiting.pop(0)
+            release()
+        elif not waiting or m[0] < waiting[0]:
+            out.append(m)
+        else:
+            held.append(m)
+    waiting.clear()
+    release()
+    return out
+
+
+@pytest.mark.parametrize("storage", ["mcap", "sqlite3"])
+def test_time_order_with_reservations(spark, tmp_path, storage):
+    import random
+
+    from chronolane.operators import order
+
+    r = random.Random(2)
+    arrivals = []
+    for k in range(300):  # every tenth comes 25 messages later than it belongs; one never comes
+        arrivals.append((k + 25.5 if k % 10 == 0 else k, (2 * k + (k % 10 == 0) if k % 50 else 2 * k - 1 + 2 * (k % 10 == 0)) + 10, k % 10 == 0))
+    arrivals = [(t, made) for _, t, made in sorted(arrivals, key=lambda x: x[0])]
+    gone = [t for t, made in arrivals if made][3]
+    reserved = [t for t, made in arrivals if made]
+    arrivals = [a for a in arrivals if a[0] != gone]
+    want = reordered(arrivals, reserved)
+    assert want == sorted(want, key=lambda m: m[0]) and len(want) == 299
+    rows = [("/made" if made else "/t", t, k, bytes([k % 256]), made) for k, (t, made) in enumerate(arrivals)]
+    rows += [("/t", 10**6, 1000 + k, bytes([k]), k == 30) for k in range(60)]  # one stamp, over all partitions
+    rows = r.sample(rows, len(rows))
+    df = spark.createDataFrame(rows, "topic string, timestamp_ns long, seq long, payload binary, made boolean")
+    got = order.placed(df, F.col("made")).orderBy("place").collect()
+    assert [(x["timestamp_ns"], x["made"]) for x in got[:299]] == want
+    assert [x["place"] for x in got] == list(range(359)) and [x["seq"] for x in got[299:]] == [1030, *range(1000, 1030), *range(1031, 1060)]
+    recording.register(spark)
+    recording.write_in_time_order(df, str(tmp_path / "o"), F.col("made"), 7, storage=storage)
+    back = spark.read.format("recording").load(str(tmp_path / "o")).orderBy("shard", "seq").collect()
+    assert [(x["topic"], x["timestamp_ns"], bytes(x["payload"])) for x in back] == [(x["topic"], x["timestamp_ns"], bytes(x["payload"])) for x in got]
+    assert back[-1]["shard"] > 3
+    assert order.placed(df.where("false")).count() == 0
