@@ -113,6 +113,36 @@ def undistorted(xd: Column, yd: Column, d: list[float], steps: int = 20) -> Colu
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(xd.alias("x"), yd.alias("y")), step)
 
 
+def equidistant_inverse(xd: Column, yd: Column, d: list[float], steps: int = 20) -> Column:
+    """struct(x, y): the place whose equidistant distortion is (xd, yd): the angle is the fixed point of its radius over the polynomial, by `steps` rounds or until it stands still."""
+    k1, k2, k3, k4 = [*d, *[0.0] * (4 - len(d))][:4]
+    radius = F.sqrt(xd * xd + yd * yd)
+
+    def step(a: Column, _: Column) -> Column:
+        t2 = a["t"] * a["t"]
+        t = radius / (1 + t2 * (k1 + t2 * (k2 + t2 * (k3 + t2 * k4))))
+        return F.when(a["still"], a).otherwise(F.struct(t.alias("t"), (F.abs(t - a["t"]) < 1e-10).alias("still")))
+
+    angle = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(radius.alias("t"), F.lit(False).alias("still")), step)["t"]
+    scale = F.when(radius < 1e-9, F.lit(1.0)).otherwise(F.tan(angle) / radius)
+    return F.struct((xd * scale).alias("x"), (yd * scale).alias("y"))
+
+
+def on_raw_image(x: Column, y: Column, model: str, d: list[float], fx: float, fy: float, most_px: float = 1.0) -> Column:
+    """struct(x, y): the distorted place of a ray, null where the lens model folds back.
+
+    Far outside the image a polynomial turns round and puts rays on the image that
+    never reach it: there the inverse does not lead back to the ray, by over
+    `most_px` pixels. model: equidistant or fisheye; any other is radial and tangential.
+    """
+    wide = model in ("equidistant", "fisheye")
+    xd, yd = equidistant(x, y, ([*d, *[0.0] * 4])[:4]) if wide else plumb_bob(x, y, d)
+    back = equidistant_inverse(xd, yd, d) if wide else undistorted(xd, yd, d)
+    eu, ev = (back["x"] - x) * fx, (back["y"] - y) * fy
+    error = F.sqrt(eu * eu + ev * ev)
+    return F.when(~F.isnan(error) & (error <= most_px), F.struct(xd.alias("x"), yd.alias("y")))
+
+
 def pinhole(p: Vec, k: list[float]) -> tuple[Column, Column]:
     """Pixel coordinates of a point in front of the camera; k: the intrinsics by rows."""
     return k[0] * p[0] / p[2] + k[2], k[4] * p[1] / p[2] + k[5]
