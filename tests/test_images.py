@@ -114,7 +114,7 @@ CAMERA = {"width": 640, "height": 480, "distortion_model": "plumb_bob", "d": [-0
 
 
 def test_projections_that_are_refused(spark):
-    inf, turned = float("inf"), [0.0, -1.0, 0, 1, 0, 0, 0, 0, 1]
+    inf, turned = float("inf"), [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
     wrong = [({"width": 0}, "size"), ({"k": [inf] * 9}, "finite"), ({"k": [0.0] * 9}, "focal"), ({"r": turned}, "stereo"), ({"r": [inf] * 9}, "stereo"), ({"p": [0.0] * 3 + [-50.0] + [0.0] * 8}, "baseline"), ({"p": [0.0] * 7 + [1.0] + [0.0] * 4}, "baseline"), ({"distortion_model": "fisheye", "d": [0.0]}, "fisheye"), ({"distortion_model": "other"}, "supported"), ({"d": [inf]}, "finite")]
     for change, says in wrong:
         p, why = images.projection_of(CAMERA | change, 0.5)
@@ -126,7 +126,8 @@ def test_projections_that_are_refused(spark):
     inner, outer = (images.projection_of(CAMERA, a)[0] for a in (0.0, 1.0))
     assert inner[0] > outer[0] > 300 and images.projection_of(CAMERA, 0.5)[0][0] == pytest.approx((inner[0] + outer[0]) / 2)
     schema = "width int, height int, distortion_model string, d array<double>, k array<double>, r array<double>, p array<double>, name string"
-    rows = [(*(CAMERA | c).values(), n) for n, c in (("good", {}), ("bad", {"width": 0}))]
+    real = CAMERA | {"k": list(map(float, CAMERA["k"]))}
+    rows = [(*(real | c).values(), n) for n, c in (("good", {}), ("bad", {"width": 0}))]
     got = {r["name"]: r for r in images.projections(spark.createDataFrame(rows, schema), 0.0).collect()}
     assert got["good"]["projection"] == pytest.approx(inner) and got["good"]["refused"] is None and got["bad"]["projection"] is None
 
