@@ -14,10 +14,16 @@ around it go out once per group with their first place, and each group hears
 which of its windows start earlier in another one. Windows that repeat within a
 group are settled there.
 
-Documents are dealt to groups by a hash of their id, about GROUP_BYTES of text
-each, so copies and common passages never meet in one task: of a passage a task
-sees one row per group. Anchors only pick candidates and use 48 bits; windows are
-told apart by 96 bits.
+Documents are dealt to groups by a hash of their id and text, about GROUP_BYTES of
+text each, so copies, common passages and rows that share an id never meet in one
+task: of a passage a task sees one row per group. Only rows that are equal in both
+lie together.
+
+Each distinct word of a group is hashed once, by 128 bits of BLAKE2b of its bytes,
+which no pair of different words is known to share. Anchors only pick candidates:
+sums of one half of their words' digests, cut to 48 bits. Windows are told apart by
+96 bits: 64 of sums of the one half, 32 of sums of the other. What is left to chance
+is that two different windows agree in all of these.
 
 Defined results: a null text has no words; a null doc_id counts as smaller than
 any other; rows that share a doc_id are not earlier than each other, except by a
@@ -42,8 +48,7 @@ GROUP_BYTES = 8_000_000
 #: Difference covers: every residue modulo v is a difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 31: (1, 5, 11, 24, 25, 27)}
 _NO_ID = -(2**63)
-_PIECE = 1 << 20
-#: Bits for the rank of a text among those of one doc_id.
+#: Bits for the rank of a text among those of one doc_id in a group.
 _RANK_BITS = 20
 
 
@@ -59,52 +64,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_ODD = 0x9E3779B97F4A7C15
-_BASE = 0xD1342543DE82EF95
-
-
-class Hasher:
-    """Hashes all words of a text at once, by sums over its bytes of a value for the byte times a power of its place."""
-
-    def __init__(self) -> None:
-        with np.errstate(over="ignore"):
-            self.byte = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
-        self.power, self.back = np.ones(1, np.uint64), np.ones(1, np.uint64)
-        self.separator = np.zeros(256, bool)
-        self.separator[[9, 10, 11, 12, 13, 32]] = True
-
-    def _grow(self, n: int) -> None:
-        if len(self.power) < n:
-            inverse = pow(_BASE, -1, 1 << 64)
-            for name, base in (("power", _BASE), ("back", inverse)):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-
-    def words(self, raw: bytes) -> np.ndarray:
-        """A hash of each word, the same wherever the word stands."""
-        if len(raw) <= 2 * _PIECE:
-            return self._piece(np.frombuffer(raw, np.uint8))
-        data, at, out = np.frombuffer(raw, np.uint8), 0, []
-        while at < len(data):
-            end = at + _PIECE
-            while end < len(data) and not (gap := self.separator[data[end : end + 4096]]).any():
-                end += len(gap)
-            end = min(len(data), end + (int(gap.argmax()) if end < len(data) else 0))
-            out.append(self._piece(data[at:end]))
-            at = end
-        return np.concatenate(out)
-
-    def _piece(self, data: np.ndarray) -> np.ndarray:
-        edge = np.diff(np.concatenate([[False], ~self.separator[data], [False]]).astype(np.int8))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if not len(start):
-            return np.zeros(0, np.uint64)
-        self._grow(len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.byte[data] * self.power[: len(data)], out=total[1:])
-        value = (total[end] - total[start]) * self.back[start]
-        return _mix(value + (end - start).astype(np.uint64) * np.uint64(_ODD))
+class _Places(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def word_hashes(texts: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """How many words each text has, and two independent hashes of each word of all texts, the same wherever a word stands."""
+    places, sizes, each = _Places(), [], []
+    for raw in texts:
+        found = raw.split()
+        sizes.append(len(found))
+        each.append(np.fromiter(map(places.__getitem__, found), np.int32, len(found)))
+    digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in places)
+    made = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    at = np.concatenate(each) if each else np.zeros(0, np.int32)
+    return sizes, made[at, 0], made[at, 1]
 
 
 def _run(words: np.ndarray, at: np.ndarray, n: int, factor: int) -> np.ndarray:
@@ -137,11 +115,9 @@ class Group:
         for a, b in zip(order, order[1:], strict=False):
             if self.ids[a] == self.ids[b]:
                 self.rank[b] = self.rank[a] + (self.raw[a] != self.raw[b])
-        hasher = Hasher()
-        each = [hasher.words(r) for r in self.raw]
-        self.sizes = np.array([len(w) for w in each], np.int64)
+        sizes, self.words, self.other = word_hashes(self.raw)
+        self.sizes = np.array(sizes, np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.words = np.concatenate(each) if each else np.zeros(0, np.uint64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Places (in the row of all words) and hashes of all anchors."""
@@ -164,7 +140,7 @@ class Group:
             np.add.at(edge, near + 1, -1)
             valid &= np.cumsum(edge)[: len(valid)] > 0
         at = np.flatnonzero(valid)
-        second = _run(self.words, at, self.length, 0x8EBC6AF09C88C6E3) >> np.uint64(32)
+        second = _run(self.other, at, self.length, 0x8EBC6AF09C88C6E3) >> np.uint64(32)
         return at, _run(self.words, at, self.length, 0xE7037ED1A0B428DB), second.astype(np.uint32)
 
     def where(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,8 +212,7 @@ def _later(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _dealt(docs: DataFrame) -> DataFrame:
     count = _group_count(docs)
-    key = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
-    return docs.withColumn("g", F.pmod(key, F.lit(count)).cast("int")).repartition("g")
+    return docs.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(count)).cast("int")).repartition("g")
 
 
 def _late_windows(dealt: DataFrame, length: int) -> DataFrame:

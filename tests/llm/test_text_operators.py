@@ -110,6 +110,36 @@ def test_substring_ties_and_nulls(spark, odd, length):
     assert substring.repeats(df.where("false"), F.lit(0)).count() == 0
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [1024, 4096, 65536])
+def test_words_that_sums_cannot_tell_apart(spark, size):
+    from pyspark.sql import functions as F
+
+    a, b = thue_morse(size)
+    tail = " ".join(f"q{k}" for k in range(19))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{a} {tail}"), (4, f"{b}{a} {tail}"), (5, f"{a}{b} {tail}")]
+    swapped = [f"x{k}" for k in range(20)]
+    rows += [(6, " ".join(swapped)), (7, " ".join(swapped[::-1])), (8, " ".join([*swapped[1:], swapped[0]])), (9, " ".join([swapped[1], swapped[0], *swapped[2:]]))]
+    got = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(0)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == plain_repeats(rows)
+    assert {r["doc_id"]: r["n_removed"] for r in got}[2] == 0 and {r["doc_id"]: r["n_removed"] for r in got}[3] == 20
+
+
+def test_many_rows_of_one_id(spark):
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"p{k}" for k in range(25))
+    rows = [(7, f"{'u ' * (k % 3)}{passage} end{k}") for k in range(60)] + [(8, passage), (6, f"v {passage}")]
+    got = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(0)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == plain_repeats(rows)
+
+
 def test_covers():
     for v, d in substring.COVERS.items():
         assert {(a - b) % v for a in d for b in d} == set(range(v))
