@@ -10,13 +10,20 @@ order and with the same result.
 
 A group's sketch is merged with PRIOR rows' worth of its language's, and that one
 with PRIOR rows' worth of everything's: a small group leans on its parents, a
-large one stands for itself, with no switch between. The merged quantiles set a
-fence for each measure: the median plus REACH times the range from the median to
-the upper quartile; that range is no more than the language's or everything's, so
-that a source which is junk by a third does not set its own fence. A document's
-own sampling error goes on top: NOISE over the root of its words (or lines), so
-where all others have none of something a few do not tell. Documents meet their
-group's fences by a join and are kept below all of them.
+large one stands for itself, with no switch between. Each group sets its own fence
+for each measure by where most of it lies: the median plus REACH times the range
+from the lower quartile to the median. Neither moves much while junk, which lies
+above, is well under half of a source; a source that is all code has its own level
+and spread, and keeps its texts. Where most of a group has none of something, both
+are 0; there the fence is the upper tenth of the group, of its language or of
+everything, whichever is lowest, so that a source which is junk by a third does not
+set its own fence. A document's own sampling error goes on top: NOISE over the root
+of its words (or lines). Documents meet their group's fences by a join and are kept
+below all of them.
+
+What it cannot tell: a source with more junk than sound texts looks like one of
+another kind, and of something that over a tenth of everything has, only what is
+above that tenth's level is junk.
 
 Defined results: a null text has no words, lines or symbols (and fails the base
 rules, as texts under 20 words do); a null language or source counts as an empty
@@ -33,8 +40,8 @@ from chronolane.llm.common import materialise, table, words
 
 WINDOW = 8
 #: Bins of the sketches, how many of them make up 1, and the number of rows whose weight a parent has.
-BINS, SCALE, PRIOR = 10_000, 100, 200.0
-REACH, NOISE = 6.0, 2.0
+BINS, SCALE, PRIOR = 10_000, 100, 50.0
+REACH, NOISE, MOST = 8.0, 2.0, 0.9
 MEASURES = ("symbols", "capitals", "repeated", "word_length")
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 _SALTS = 16
@@ -106,10 +113,10 @@ def _shares(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.select(*keys, "measure", "bin", (F.col("w") / total).alias("share"), F.round(F.sum("w").over(running) / total, 9).alias("upto"))
 
 
-def _quartiles(shares: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """keys, measure, and the bins of the median and of the range from it to the upper quartile."""
-    at = lambda q: F.min(F.when(F.col("upto") >= q, F.col("bin")))
-    return shares.groupBy(*keys, "measure").agg(at(0.5).alias(f"{prefix}mid"), (at(0.75) - at(0.5)).alias(f"{prefix}spread"))
+def _quantiles(shares: DataFrame, keys: list[str], prefix: str, *names: str) -> DataFrame:
+    """keys, measure, and of low, mid and top (the bins of the lower quartile, the median and the upper tenth) those named."""
+    at = {"low": 0.25, "mid": 0.5, "top": MOST}
+    return shares.groupBy(*keys, "measure").agg(*[F.min(F.when(F.col("upto") >= at[n], F.col("bin"))).alias(prefix + n) for n in names])
 
 
 def fences(sketch: DataFrame) -> DataFrame:
@@ -124,8 +131,10 @@ def fences(sketch: DataFrame) -> DataFrame:
     groups = sketch.select("lang", "source", "measure").distinct().withColumn("salt", F.pmod(F.hash("source"), F.lit(_SALTS)))
     parent = lang.withColumn("salt", F.explode(salts))
     own = _shares(_merged(sketch, ["lang", "source"], groups.join(parent, ["lang", "measure", "salt"])), ["lang", "source"])
-    made = _quartiles(own, ["lang", "source"], "s_").join(_quartiles(lang, ["lang"], "l_"), ["lang", "measure"]).join(F.broadcast(_quartiles(every, [], "a_")), "measure")
-    fence = (F.col("s_mid") + 1 + REACH * F.least("s_spread", "l_spread", "a_spread")) / SCALE
+    made = _quantiles(own, ["lang", "source"], "s_", "low", "mid", "top").join(_quantiles(lang, ["lang"], "l_", "top"), ["lang", "measure"])
+    made = made.join(F.broadcast(_quantiles(every, [], "a_", "top")), "measure")
+    level = F.greatest(F.col("s_mid") + REACH * (F.col("s_mid") - F.col("s_low")), F.least("s_top", "l_top", "a_top"))
+    fence = (level + 1) / SCALE
     return made.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, fence)).alias(f"fence_{m}") for m in MEASURES])
 
 
@@ -150,9 +159,9 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     """The same rows in DuckDB's SQL."""
-    word, fence = r"[^\x20\x09-\x0D]+", f"(s_mid + 1 + {REACH} * least(s_spread, l_spread, a_spread)) / {SCALE}"
+    word, fence = r"[^\x20\x09-\x0D]+", f"(greatest(s_mid + {REACH} * (s_mid - s_low), least(s_top, l_top, a_top)) + 1) / {SCALE}"
     shares = lambda keys, source: f"""SELECT *, w / sum(w) OVER (PARTITION BY {keys}) AS share, round(sum(w) OVER (PARTITION BY {keys} ORDER BY bin) / sum(w) OVER (PARTITION BY {keys}), 9) AS upto FROM ({source})"""
-    quartiles = lambda keys, source, p: f"SELECT {keys}, min(bin) FILTER (upto >= 0.5) AS {p}_mid, min(bin) FILTER (upto >= 0.75) - min(bin) FILTER (upto >= 0.5) AS {p}_spread FROM {source} GROUP BY {keys}"
+    quantiles = lambda keys, source, p: f"SELECT {keys}, min(bin) FILTER (upto >= 0.25) AS {p}_low, min(bin) FILTER (upto >= 0.5) AS {p}_mid, min(bin) FILTER (upto >= {MOST}) AS {p}_top FROM {source} GROUP BY {keys}"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{word}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM d),
@@ -172,7 +181,7 @@ k AS (SELECT lang, source, measure, least(floor(v * {SCALE}), {BINS})::INT AS bi
 a AS ({shares("measure", "SELECT measure, bin, sum(w) AS w FROM k GROUP BY ALL")}),
 l AS ({shares("lang, measure", f"SELECT lang, measure, bin, sum(w) AS w FROM (SELECT lang, measure, bin, w FROM k UNION ALL SELECT lang, measure, bin, share * {PRIOR} FROM (SELECT DISTINCT lang, measure FROM k) JOIN a USING (measure)) GROUP BY ALL")}),
 s AS ({shares("lang, source, measure", f"SELECT lang, source, measure, bin, sum(w) AS w FROM (SELECT * FROM k UNION ALL SELECT lang, source, measure, bin, share * {PRIOR} FROM (SELECT DISTINCT lang, source, measure FROM k) JOIN l USING (lang, measure)) GROUP BY ALL")}),
-q AS (SELECT lang, source, measure, {fence} AS fence FROM ({quartiles("lang, source, measure", "s", "s")}) JOIN ({quartiles("lang, measure", "l", "l")}) USING (lang, measure) JOIN ({quartiles("measure", "a", "a")}) USING (measure)),
+q AS (SELECT lang, source, measure, {fence} AS fence FROM ({quantiles("lang, source, measure", "s", "s")}) JOIN ({quantiles("lang, measure", "l", "l")}) USING (lang, measure) JOIN ({quantiles("measure", "a", "a")}) USING (measure)),
 v AS (SELECT rid, bool_and(v - {NOISE} / sqrt(by_n) <= fence) AS below FROM m JOIN q USING (lang, source, measure) GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND below AS kept FROM f JOIN v USING (rid)"""
 

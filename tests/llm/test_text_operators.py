@@ -486,6 +486,25 @@ def test_rules_reject_repeats_and_junk_sources(spark):
     assert {i for i, r in got.items() if not r["kept"]} == {*range(1000, 1005), *(2000 + k for k in range(300) if k % 5 > 2)}
 
 
+def test_rules_let_honest_sources_differ(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: f"w{rng.integers(0, 10**6)}"
+    prose = [(k, " ".join(word() for _ in range(400)), "en", "books") for k in range(1200)]
+    code = []
+    for k in range(400):  # five to thirty percent of the words are symbols
+        share = 0.05 + 0.25 * k / 400
+        code.append((2000 + k, " ".join(word() if rng.random() > share else "|" for _ in range(400)), "en", "code"))
+    junk = [(3000 + k, " ".join("###" for _ in range(200)) + " " + " ".join(word() for _ in range(200)), "en", "code" if k % 2 else "books") for k in range(40)]
+    junk = [(i, " ".join(rng.permutation(t.split()[200:] + ["#" * int(n) for n in rng.integers(2, 9, 200)])), lang, source) for i, t, lang, source in junk]
+    df = spark.createDataFrame([*prose, *code, *junk], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in rules.judged(df, ["doc_id"]).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    kept = lambda rows: np.mean([got[r[0]]["kept"] for r in rows])
+    assert kept(prose) == 1 and kept(code) == 1 and kept(junk) == 0
+    found = {r["source"]: r for r in rules.fences(rules.sketches(rules.counts(df, ["lang", "source"]))).collect()}
+    assert found["code"]["fence_symbols"] > 0.6 > 0.1 > found["books"]["fence_symbols"]
+
+
 # ---- 9 ----
 
 
