@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +77,10 @@ def crc32_sql(text: str) -> str:
     made = f"list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: {step('c')}))"
     octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
     return f"(SELECT xor(list_reduce(list_concat([4294967295], {octets}), lambda c, x: xor(c >> 8, made.v[(xor(c, x) & 255) + 1])), 4294967295) FROM (SELECT {made} AS v) made)"
+
+
+def nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with fields that may be null, as a schema in words has them."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, nullable(f.type)) for f in kind])
+    return pa.list_(nullable(kind.value_type)) if pa.types.is_list(kind) else kind

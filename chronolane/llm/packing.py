@@ -7,10 +7,13 @@ about PART_ITEMS, and each partition is packed by best-fit decreasing.
 
 Every partition gets a certificate: the largest of a family of dual feasible
 functions' bounds says how many bins its pieces need at least. A partition that
-reaches its bound is done. One with a gap hands over the pieces of its
-emptiest bins; those of many partitions are exchanged, dealt anew to fewer
-partitions and packed again, until one partition is left or no gap is. Only
-pieces of a few bins for each partition travel to a next round.
+reaches its bound is done. One with a gap hands over the pieces of its emptiest
+bins, four for each bin of the gap and four more, but half of its bins at most;
+those of many partitions are exchanged, dealt anew to fewer partitions and packed
+again, until one partition is left or no gap is. The emptiest half of the bins holds
+half of the tokens at most, so each round passes on half of what it got or less: as
+many rounds as the partitions' number has binary digits, and some two passes over
+the pieces in all. `certified` also gives each partition's bound, bins and gap.
 
 Defined results: a null text counts as empty, which is one closing id; repeated
 rows are packed each by itself; an empty table gives no rows; extra columns are
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolane.llm.common import free_name, materialise, table
+from chronolane.llm.common import materialise, nullable, table
 
 CAPACITY, CLOSING = 2048, 0
 PART_ITEMS = 50_000
@@ -85,7 +88,7 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int = CLOSING) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and row (a number of the row) of every piece of every document."""
+    """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path).encode, np.array([closing], "<u4").tobytes()
@@ -155,14 +158,14 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def _packed(lengths: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin (-1: handed over) and offset of each piece; lower bound, bins and gap in the third."""
+def _packed(lengths: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """Bin (-1: handed over) and offset of each piece; the lower bound and the number of bins."""
     bins = best_fit(lengths, capacity)
     made = int(bins.max()) + 1 if len(bins) else 0
     bound = least_bins(np.bincount(lengths, minlength=capacity + 1))
     if made > bound and not last:
         fill = np.bincount(bins, weights=lengths, minlength=made)
-        handed = np.argsort(fill, kind="stable")[: 4 * (made - bound) + 4]
+        handed = np.argsort(fill, kind="stable")[: min(4 * (made - bound) + 4, made // 2)]
         bins = np.where(np.isin(bins, handed), -1, bins)
     order = np.argsort(bins, kind="stable")
     before = np.cumsum(lengths[order]) - lengths[order]
@@ -170,45 +173,62 @@ def _packed(lengths: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray,
     new[1:] = np.diff(bins[order]) != 0
     offset = np.empty(len(order), np.int64)
     offset[order] = before - np.maximum.accumulate(np.where(new, before, 0))
-    return bins, offset, np.array([bound, made, made - bound])
+    return bins, offset, (bound, made)
 
 
 def _packer(names: list[str], part: str, capacity: int, last: bool, seq: int):
     def packed(t: pa.Table) -> pa.Table:
         t = t.sort_by([(c, "ascending") for c in ["length", *[c for c in names if c != "length"]]])
-        bins, offset, _ = _packed(t.column("length").to_numpy().astype(np.int64), capacity, last)
+        bins, offset, (bound, made) = _packed(t.column("length").to_numpy().astype(np.int64), capacity, last)
         base = (seq << 56) + (t.column(part)[0].as_py() << 24)
+        t = pa.table([c.cast(nullable(c.type)) for c in t.columns], t.column_names)
         out = t.select(names).append_column("sequence_id", pa.array(np.where(bins < 0, -1, bins + base)))
-        return out.append_column("offset", pa.array(offset))
+        out = out.append_column("offset", pa.array(offset)).append_column(part, t.column(part))
+        return out.append_column("bound", pa.array(np.full(t.num_rows, bound))).append_column("bins", pa.array(np.full(t.num_rows, made)))
 
     return packed
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS) -> DataFrame:
-    """The items (with a column length from 1 to the capacity) with sequence_id and offset, in place of columns of these names."""
+def certified(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS) -> tuple[DataFrame, DataFrame]:
+    """The items (with a column length from 1 to the capacity) with sequence_id and offset, in place of columns of these names; and the certificates.
+
+    A certificate is a row of round, part, bound (bins that the part's pieces need
+    at least), bins (that they got), gap, and handed (pieces passed on). Equal rows
+    are dealt apart.
+    """
     items = items.drop("sequence_id", "offset")
     names = items.columns
-    part = free_name([*names, "sequence_id", "offset"], "part")
-    spark = items.sparkSession
-    kept = [f.simpleString().replace(":", " ", 1) for f in items.schema.fields]
-    full = items.where(F.col("length") == capacity)
+    slim = items.select(F.struct(*names).alias("item"), "length")
+    kind = slim.schema["item"].dataType.simpleString()
+    full = slim.where(F.col("length") == capacity)
     # the sign tells full pieces from packed ones, whose number holds round, partition and bin
-    done = [full.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    rest, seq = items.where(F.col("length") < capacity), 0
+    done = [full.select("item", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    rest, seq, proofs = slim.where(F.col("length") < capacity), 0, []
     n = rest.count()
     while n:
         parts = -(-n // part_items)
         last = parts == 1
-        dealt = rest.withColumn(part, F.pmod(F.xxhash64(F.lit(seq), *names), F.lit(parts)).cast("long"))
-        packed = dealt.groupBy(part).applyInArrow(_packer(names, part, capacity, last, seq), ", ".join([*kept, "sequence_id long", "offset long"]))
+        dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.lit(seq), F.monotonically_increasing_id()), F.lit(parts)).cast("long"))
+        packed = dealt.groupBy("part").applyInArrow(_packer(["item", "length"], "part", capacity, last, seq), f"item {kind}, length {dict(slim.dtypes)['length']}, sequence_id long, offset long, part long, bound long, bins long")
         tried = materialise(packed, "packed")
-        done.append(tried.where("sequence_id >= 0"))
-        rest, seq = tried.where("sequence_id < 0").select(*names), seq + 1
+        made = tried.groupBy("part").agg(F.first("bound").alias("bound"), F.first("bins").alias("bins"), F.count_if(F.col("sequence_id") < 0).alias("handed"))
+        proofs.append(made.select(F.lit(seq).alias("round"), "part", "bound", "bins", (F.col("bins") - F.col("bound")).alias("gap"), "handed"))
+        done.append(tried.where("sequence_id >= 0").select("item", "sequence_id", "offset"))
+        rest, seq = tried.where("sequence_id < 0").select("item", "length"), seq + 1
         n = rest.count()
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    schema = "round int, part long, bound long, bins long, gap long, handed long"
+    proof = items.sparkSession.createDataFrame([], schema)
+    for p in proofs:
+        proof = proof.unionByName(p)
+    return out.select("item.*", "sequence_id", "offset"), proof
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS) -> DataFrame:
+    """`certified` without the certificates."""
+    return certified(items, capacity, part_items)[0]
 
 
 def lower_bound(items: DataFrame, capacity: int = CAPACITY) -> int:

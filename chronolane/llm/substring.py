@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolane.llm.common import partitions, table
+from chronolane.llm.common import nullable, partitions, table
 
 LENGTH = 20
 GROUP_BYTES = 8_000_000
@@ -266,13 +266,6 @@ def _settled(group: Group, late_id: np.ndarray, late_at: np.ndarray) -> list[np.
     return [covered[b : b + n] for b, n in zip(group.begin[:-1], group.sizes, strict=True)]
 
 
-def _nullable(kind: pa.DataType) -> pa.DataType:
-    """The type with fields that may be null, as a schema in words has them."""
-    if pa.types.is_struct(kind):
-        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
-    return pa.list_(_nullable(kind.value_type)) if pa.types.is_list(kind) else kind
-
-
 def repeats(docs: DataFrame, row: Column, length: int = LENGTH) -> DataFrame:
     """row (as given), doc_id, n_words, n_removed, kept_sha256 and kept (the text left; null where nothing goes)."""
     slim = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -294,7 +287,7 @@ def repeats(docs: DataFrame, row: Column, length: int = LENGTH) -> DataFrame:
             digests.append(hashlib.sha256(b" ".join(found)).hexdigest())
         removed = np.array([int(x.sum()) for x in gone], np.int64)
         row = t.column("row")
-        return pa.table({"row": row.cast(_nullable(row.type)), "doc_id": t.column("id"), "n_words": pa.array(group.sizes), "n_removed": pa.array(removed), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(left, pa.string())})
+        return pa.table({"row": row.cast(nullable(row.type)), "doc_id": t.column("id"), "n_words": pa.array(group.sizes), "n_removed": pa.array(removed), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(left, pa.string())})
 
     late = _late_windows(dealt, length)
     schema = f"row {kind.simpleString()}, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"

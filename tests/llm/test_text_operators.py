@@ -575,6 +575,33 @@ def test_lower_bound_is_one():
     assert packing.least_bins(np.bincount([16] * 5, minlength=31)) == 5
 
 
+def test_exchange_makes_progress(spark):
+    """Sizes for which no packing reaches the bound: each round passes on half of its tokens at most, and equal rows lie apart."""
+    counts = {873: 2, 766: 333, 517: 261, 766 + 11: 32, 553: 4}
+    sizes = [s for s, c in counts.items() for _ in range(c)] + [766] * 151
+    rows = [(s, "x") for s in sizes * 16]
+    items = spark.createDataFrame(rows, "length long, name string")
+    out, proof = packing.certified(items, 2048, 700)
+    made = out.collect()
+    fill = collections.Counter()
+    places = collections.defaultdict(list)
+    for r in made:
+        fill[r["sequence_id"]] += r["length"]
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert collections.Counter(r["length"] for r in made) == collections.Counter(s for s, _ in rows) and max(fill.values()) <= 2048
+    for p in places.values():
+        p.sort()
+        assert [a for a, _ in p] == [sum(n for _, n in p[:k]) for k in range(len(p))]
+    by_round = collections.defaultdict(list)
+    for r in proof.collect():
+        assert r["gap"] == r["bins"] - r["bound"] >= 0
+        by_round[r["round"]].append(r)
+    tokens = sum(s for s, _ in rows)
+    assert 1 < len(by_round) <= len(by_round[0]).bit_length() + 1
+    assert len(by_round[max(by_round)]) == 1 and sum(r["handed"] for r in by_round[max(by_round)]) == 0
+    assert len(fill) <= -(-tokens // 2048) * 1.35
+
+
 # ---- 10 ----
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
