@@ -19,11 +19,13 @@ text each, so copies, common passages and rows that share an id never meet in on
 task: of a passage a task sees one row per group. Only rows that are equal in both
 lie together.
 
-Each distinct word of a group is hashed once, by 128 bits of BLAKE2b of its bytes,
-which no pair of different words is known to share. Anchors only pick candidates:
-sums of one half of their words' digests, cut to 48 bits. Windows are told apart by
-96 bits: 64 of sums of the one half, 32 of sums of the other. What is left to chance
-is that two different windows agree in all of these.
+A word's hash is its bytes as a polynomial at fixed places of four prime fields: two
+different words of n bytes agree in one field at n of its 2^31 places at most, and
+no form of word (as with sums that overflow) agrees at all. Two of the fields make
+one half of a window's hash, the other two the other. Anchors only pick candidates:
+sums of the one half, cut to 48 bits. Windows are told apart by 96 bits: 64 of sums
+of the one half, 32 of sums of the other. What is left to chance is that two
+different windows agree in all of these.
 
 Defined results: a null text has no words; a null doc_id counts as smaller than
 any other; rows that share a doc_id are not earlier than each other, except by a
@@ -35,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,25 +67,66 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Places(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+#: Primes below 2^31 and places of their fields, drawn at random once.
+FIELDS = ((2147483647, 1466739587), (2147483629, 870315311), (2147483587, 1929402263), (2147483579, 315470837))
+_PIECE = 1 << 20
+
+
+class Hasher:
+    """Hashes all words of a text at once: sums over the bytes up to each end, the part before the word taken off, and its place divided out."""
+
+    def __init__(self) -> None:
+        self.separator = np.zeros(256, bool)
+        self.separator[[9, 10, 11, 12, 13, 32]] = True
+        self.power = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in FIELDS]
+
+    def _grow(self, n: int) -> None:
+        def doubled(x: np.ndarray, base: int, p: int) -> np.ndarray:
+            while len(x) < n:
+                x = np.concatenate([x, x * np.uint64(pow(base, len(x), p)) % np.uint64(p)])
+            return x
+
+        self.power = [(doubled(up, b, p), doubled(back, pow(b, -1, p), p)) for (up, back), (p, b) in zip(self.power, FIELDS, strict=True)]
+
+    def words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word where it starts and two independent hashes, the same wherever the word stands."""
+        data, at, out = np.frombuffer(raw, np.uint8), 0, []
+        while at < len(data):
+            end = min(len(data), at + _PIECE)
+            while end < len(data) and not (gap := self.separator[data[end : end + 4096]]).any():
+                end = min(len(data), end + len(gap))
+            if end < len(data):
+                end += int(gap.argmax())
+            start, one, other = self._piece(data[at:end])
+            out.append((start + at, one, other))
+            at = end
+        none = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        return tuple(np.concatenate(c) for c in zip(*(out or none), strict=True))
+
+    def _piece(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        edge = np.diff(np.concatenate([[False], ~self.separator[data], [False]]).astype(np.int8))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if not len(start):
+            return start, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self._grow(len(data))
+        length, value, values = (end - start).astype(np.uint64), data.astype(np.uint64) + np.uint64(1), []
+        for (p, _), (up, back) in zip(FIELDS, self.power, strict=True):
+            # below 2^39 each: 2^25 of them cannot overflow; longer words are summed by parts
+            total = np.zeros(len(data) + 1, np.uint64)
+            if len(data) <= 1 << 24:
+                np.cumsum(value * up[: len(data)], out=total[1:])
+            else:
+                np.cumsum(value * up[: len(data)] % np.uint64(p), out=total[1:])
+            values.append((total[end] - total[start]) % np.uint64(p) * back[start] % np.uint64(p))
+        a, b, c, d = values
+        join = lambda x, y: _mix(((x << np.uint64(32)) | y) ^ (length * np.uint64(0x9E3779B97F4A7C15)))
+        return start, join(a, b), join(c, d)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """How many words each text has, and two independent hashes of each word of all texts, the same wherever a word stands."""
-    places, sizes, each = _Places(), [], []
-    for raw in texts:
-        found = raw.split()
-        sizes.append(len(found))
-        each.append(np.fromiter(map(places.__getitem__, found), np.int32, len(found)))
-    digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in places)
-    made = np.frombuffer(digests, np.uint64).reshape(-1, 2)
-    at = np.concatenate(each) if each else np.zeros(0, np.int32)
-    return sizes, made[at, 0], made[at, 1]
+@lru_cache(maxsize=1)
+def hasher() -> Hasher:
+    """A worker's hasher: its powers are worked out once."""
+    return Hasher()
 
 
 def _run(words: np.ndarray, at: np.ndarray, n: int, factor: int) -> np.ndarray:
@@ -115,8 +159,9 @@ class Group:
         for a, b in zip(order, order[1:], strict=False):
             if self.ids[a] == self.ids[b]:
                 self.rank[b] = self.rank[a] + (self.raw[a] != self.raw[b])
-        sizes, self.words, self.other = word_hashes(self.raw)
-        self.sizes = np.array(sizes, np.int64)
+        start, self.words, self.other = hasher().words(b"\n".join(self.raw))
+        ends = np.cumsum([len(r) + 1 for r in self.raw], dtype=np.int64)
+        self.sizes = np.diff(np.searchsorted(start, ends), prepend=0).astype(np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
