@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,6 +45,9 @@ _MARK = r'[.,;:!?%&$#*)"]'
 #: Stretches end before a single space between two other characters, and between a letter or digit and a mark. The first two forms are the common ones.
 _STRETCH = re.compile(rf" ?[^\W_]++(?={_MARK}| \S|\Z)|{_MARK}++(?= \S|\Z)|[\s\S]+?(?:(?<=\S)(?= \S)|(?<=[^\W_])(?={_MARK})|\Z)")
 
+#: A stretch that the byte-level split leaves in one piece, whatever the letters, and whose bytes stand for themselves but for the space.
+_LETTERS, _SPACE = re.compile(" ?[A-Za-z]+"), "\u0120"
+
 
 class Encoder(dict):
     """Ids of stretches of text by tokenizers, without the special tokens a model adds, as little-endian bytes.
@@ -51,8 +55,9 @@ class Encoder(dict):
     With a byte-level split and no normaliser a single space between two other
     characters always opens a new piece, as does a mark after a letter or digit,
     so a text is cut there and each stretch is encoded by tokenizers once for as
-    long as it is remembered: the ids are those of the whole text. With other
-    files a text is one stretch.
+    long as it is remembered: the ids are those of the whole text. A new stretch of
+    plain letters goes straight to the tokenizers model, as it is one piece. With
+    other files a text is one stretch.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,12 +69,18 @@ class Encoder(dict):
         spec = json.loads(Path(path).read_text())
         split, added = spec.get("pre_tokenizer") or {}, self.whole.get_added_tokens_decoder().values()
         plain = not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.model = self.whole.model
+        self.letters = plain and all(re.search("[^A-Za-z ]", t.content) for t in added)
         self.cuts = plain and not any(len(_STRETCH.findall(t.content)) > 1 or t.lstrip or t.rstrip or t.single_word for t in added)
 
     def __missing__(self, stretch: str) -> bytes:
         ids = self.older.get(stretch)
         if ids is None:
-            ids = np.array(self.whole.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+            if self.letters and _LETTERS.fullmatch(stretch):
+                found = [t.id for t in self.model.tokenize(stretch.replace(" ", _SPACE))]
+            else:
+                found = self.whole.encode(stretch, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(stretch) <= MEMORABLE:
             if len(self) >= MEMORY:
                 self.older = dict(self)
