@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolane.functions import cdr, sensors
+from chronolane.functions import message_text as text_of
 from chronolane.operators import asof, frames, gnss, inertial, stats
 from chronolane.plans.recording import C, M, messages, query, stamped, topic
 from chronolane.plans.shared import shared
@@ -180,3 +181,19 @@ def exact_fetch(spark, sf_dir):
 def declared_topics(spark, sf_dir):
     m = messages(spark, sf_dir)
     return stats.declared_counts(m, m.where("topic <> '/view' AND seq % 3 = 0"))
+
+
+_NOTE = "===\n".join(["std_msgs/Header header\nstring note\nint64[] numbers\nbool late\nfloat64 value\n", "MSG: std_msgs/Header\nbuiltin_interfaces/Time stamp\nstring frame_id\n"])
+
+
+@query(
+    f"WITH {M} SELECT topic, seq, 'header:' || chr(10) || '  stamp:' || chr(10) || '    sec: ' || timestamp_ns // 1000000000 || chr(10) || '    nanosec: ' || timestamp_ns % 1000000000 || chr(10) || '  frame_id: ''it''''s ' || topic || '''' || chr(10) "
+    "|| 'note: ''' || replace(coalesce(payload, ''), '''', '''''') || '''' || chr(10) || 'numbers: [' || CASE WHEN seq % 40 > 32 THEN '<' || seq % 40 || ' items>' ELSE coalesce(array_to_string(list_transform(range(seq % 40), lambda x: x * 7), ', '), '') END || ']' || chr(10) || 'late: ' || (seq % 3 = 0) || chr(10) || 'value: ' || CASE seq % 8 WHEN 0 THEN '0' WHEN 4 THEN '0.5' WHEN 2 THEN '0.25' WHEN 6 THEN '0.75' ELSE (seq % 8 * 0.125)::VARCHAR END || chr(10) AS text FROM m"
+)
+def message_text(spark, sf_dir):
+    """Messages with quotes, short, long and empty arrays, as text."""
+    seq = F.col("seq")
+    many = F.transform(F.sequence(F.lit(0), seq % 40), lambda x: x * 7)
+    m = F.struct(_header(F.concat(F.lit("it's "), "topic")).alias("header"), F.coalesce("payload", F.lit("")).alias("note"), F.slice(many, F.lit(1), (seq % 40).cast("int")).alias("numbers"), (seq % 3 == 0).alias("late"), ((seq % 8) * 0.125).cast("double").alias("value"))
+    sent = cdr.encoded(messages(spark, sf_dir).select("topic", "timestamp_ns", "seq", m.alias("message")), _NOTE)
+    return text_of.rendered(sent, _NOTE).select("topic", "seq", "text")
