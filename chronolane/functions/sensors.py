@@ -70,6 +70,29 @@ def transforms(decoded: DataFrame, static: list[str] = ("/tf_static",)) -> DataF
     return e.select(*_ROW, "pos", *at, F.col("topic").isin(*static).alias("is_static"), *_pose(moved["translation"], moved["rotation"]))
 
 
+def _transform_struct() -> Column:
+    """A row's transform (parent, child, stamp_ns and a pose) as the message has it."""
+    header = F.struct(F.struct(F.floor(F.col("stamp_ns") / 1_000_000_000).cast("int").alias("sec"), F.pmod("stamp_ns", F.lit(1_000_000_000)).alias("nanosec")).alias("stamp"), F.col("parent").alias("frame_id"))
+    vector = lambda prefix, axes: F.struct(*[F.col(f"{prefix}{a}").cast("double").alias(a) for a in axes])
+    return F.struct(header.alias("header"), F.col("child").alias("child_frame_id"), F.struct(vector("t", "xyz").alias("translation"), vector("q", "xyzw").alias("rotation")).alias("transform"))
+
+
+def moving_messages(rows: DataFrame, topic: str) -> DataFrame:
+    """topic, timestamp_ns, seq and payload: a transform message for each row (parent, child, stamp_ns, a pose, seq) of a trajectory, at its stamp."""
+    m = F.struct(F.array(_transform_struct()).alias("transforms"))
+    made = rows.select(F.lit(topic).alias("topic"), F.col("stamp_ns").alias("timestamp_ns"), F.col("seq").cast("long").alias("seq"), m.alias("message"))
+    return cdr.encoded(made, TF_MESSAGE)
+
+
+def static_message(edges: DataFrame, topic: str, at_ns: int) -> DataFrame:
+    """topic, timestamp_ns, seq and payload: one transform message with all edges of a static tree, by parent and child; none without edges."""
+    t = F.struct(F.col("parent").alias("a"), F.col("child").alias("b"), _transform_struct().alias("t"))
+    tree = edges.groupBy().agg(F.array_sort(F.collect_list(t), lambda x, y: F.when(F.struct(x["a"], x["b"]) < F.struct(y["a"], y["b"]), -1).when(F.struct(x["a"], x["b"]) > F.struct(y["a"], y["b"]), 1).otherwise(0)).alias("e")).where("size(e) > 0")
+    m = F.struct(F.transform("e", lambda x: x["t"]).alias("transforms"))
+    made = tree.select(F.lit(topic).alias("topic"), F.lit(at_ns).cast("long").alias("timestamp_ns"), F.lit(0).cast("long").alias("seq"), m.alias("message"))
+    return cdr.encoded(made, TF_MESSAGE)
+
+
 def poses(decoded: DataFrame) -> DataFrame:
     """stamp_ns, parent, child and the pose of stamped poses, with covariance or without, and of odometry; child and covariance are null where the message has none."""
     kind = decoded.schema["message"].dataType

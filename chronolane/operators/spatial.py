@@ -48,7 +48,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, rounds: in
     """idx, other, d2 and rank of the k nearest right points of each left point, by (distance, idx).
 
     Points that find fewer than k within the radius look again within twice the
-    radius, and so on until all have k or the radius covers everything.
+    radius, and so on until all have k. If some have not after so many rounds, as
+    points that are not finite never do, that is an error.
     """
     n = right.count()
     want, done, todo = min(k, n), None, left
@@ -62,9 +63,9 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, rounds: in
         done = found if done is None else done.unionByName(found)
         todo = todo.join(found.select("idx").distinct(), "idx", "left_anti").checkpoint()
         if todo.isEmpty():
-            break
+            return done
         radius *= 2
-    return done
+    raise ValueError(f"after {rounds} rounds some points lack neighbours within {radius}")
 
 
 def inliers(points: DataFrame, radius: float, least: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolane.functions import cdr, sensors
 from chronolane.operators import clouds, order
 from chronolane.plans.recording import M, P, messages, points, query
 from chronolane.plans.shared import shared, shared_path
@@ -73,6 +74,25 @@ def recording_in_time_order(spark, sf_dir):
     return r.withColumn("at", at).join(F.broadcast(ends), "shard").select("topic", "timestamp_ns", (F.col("before") + F.col("at")).alias("place"))
 
 
+@query(f"WITH {M} SELECT '/tf' AS topic, timestamp_ns, 'map' AS parent, 'base' AS child, value AS tx, publisher::DOUBLE AS ty, false AS is_static FROM m WHERE seq % 10 = 0 UNION ALL SELECT '/tf_static', (SELECT min(timestamp_ns) FROM m), r_name, n_name, n_nationkey::DOUBLE, 0, true FROM nation JOIN region ON n_regionkey = r_regionkey")
+def recording_with_tree(spark, sf_dir):
+    """A trajectory and a static tree embedded in a recording as topics, and read back."""
+    recording.register(spark)
+    m = messages(spark, sf_dir)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    rest = [*[zero.alias(c) for c in ("tz", "qx", "qy", "qz")], one.alias("qw")]
+    track = m.where("seq % 10 = 0").select("seq", F.col("timestamp_ns").alias("stamp_ns"), F.lit("map").alias("parent"), F.lit("base").alias("child"), F.col("value").alias("tx"), F.col("publisher").alias("ty"), *rest)
+    n, r = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    low = m.agg(F.min("timestamp_ns")).first()[0]
+    tree = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.lit(low).alias("stamp_ns"), F.col("r_name").alias("parent"), F.col("n_name").alias("child"), F.col("n_nationkey").alias("tx"), zero.alias("ty"), *rest)
+    path = shared_path(spark, "embedded")
+    added = sensors.moving_messages(track, "/tf").unionByName(sensors.static_message(tree, "/tf_static", low))
+    recording.embed(m.withColumn("payload", F.encode(F.coalesce("payload", F.lit("")), "UTF-8")), added, path)
+    back = spark.read.format("recording").load(path).where(F.col("topic").isin("/tf", "/tf_static"))
+    found = sensors.transforms(cdr.decoded(back, sensors.TF_MESSAGE))
+    return found.select("topic", "timestamp_ns", "parent", "child", "tx", "ty", "is_static")
+
+
 _T0 = 1_700_000_000
 
 

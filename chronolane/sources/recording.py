@@ -369,3 +369,17 @@ def write_in_time_order(messages: DataFrame, path: str, reserved: Column | None
 
     sorted_ = order.in_time(messages, reserved, partitions)
     sorted_.select("topic", "timestamp_ns", "seq", F.lit(0).alias("shard"), "payload").write.format("recording").mode("append").options(**options).save(path)
+
+
+def embed(messages: DataFrame, added: DataFrame, path: str, replace: bool = False, **options: str) -> None:
+    """Write a recording's messages with others among them (topic, timestamp_ns, seq, payload), in time order; of equal stamps the added go first.
+
+    A topic of the added that the recording has messages of already is an error, or
+    is replaced by the added ones.
+    """
+    names = added.select("topic").distinct()
+    if not replace and (known := messages.join(names, "topic", "left_semi").select("topic").first()):
+        raise ValueError(f"the recording has messages of {known['topic']} already")
+    columns = ["topic", "timestamp_ns", "seq", "payload"]
+    kept = messages.join(names, "topic", "left_anti").select(*columns, F.lit(False).alias("_added"))
+    write_in_time_order(kept.unionByName(added.select(*columns, F.lit(True).alias("_added"))), path, F.col("_added"), **options)

@@ -147,3 +147,27 @@ def test_transform_as_json(spark):
     got = json.loads(df.select(frames.transform_json("map", "cam")).first()[0])
     assert (got["of"], got["ref"], got["translation"]) == ("cam", "map", {"x": 1.0, "y": 2.0, "z": 3.0})
     assert math.isclose(got["rotation"]["rpy_deg"]["yaw"], 90.0) and math.isclose(got["rotation"]["rpy_rad"]["yaw"], math.pi / 2) and got["rotation"]["quaternion"]["w"] == half
+
+
+def test_embedded_topics(spark, tmp_path):
+    from chronolane.sources import recording
+
+    recording.register(spark)
+    old = spark.createDataFrame([("/x", k, k, b"x") for k in range(10)] + [("/tf", 4, 10, b"old")], "topic string, timestamp_ns long, seq long, payload binary")
+    pose = "parent string, child string, stamp_ns long, seq long, tx double, ty double, tz double, qx double, qy double, qz double, qw double"
+    track = spark.createDataFrame([("map", "base", t, k, float(k), 0.0, 0.0, 0.0, 0.0, 0.0, 1.0) for k, t in enumerate([3, 3, 7, 12, 1_500_000_000])], pose)
+    made = sensors.moving_messages(track, "/tf")
+    with pytest.raises(ValueError, match="/tf already"):
+        recording.embed(old, made, str(tmp_path / "a"))
+    recording.embed(old, made, str(tmp_path / "b"), replace=True)
+    rows = spark.read.format("recording").load(str(tmp_path / "b")).orderBy("shard", "seq").collect()
+    assert [(r["topic"], r["timestamp_ns"]) for r in rows] == [("/x", 0), ("/x", 1), ("/x", 2), ("/tf", 3), ("/tf", 3), *[("/x", t) for t in range(3, 7)], ("/tf", 7), *[("/x", t) for t in range(7, 10)], ("/tf", 12), ("/tf", 1_500_000_000)]
+    back = spark.read.format("recording").load(str(tmp_path / "b")).where("topic = '/tf'")
+    got = sensors.transforms(cdr.decoded(back, sensors.TF_MESSAGE)).orderBy("tx").collect()
+    assert [(r["stamp_ns"], r["parent"], r["child"], r["tx"], r["is_static"]) for r in got] == [(t, "map", "base", float(k), False) for k, t in enumerate([3, 3, 7, 12, 1_500_000_000])]
+    tree = sensors.static_message(track.withColumn("child", F.concat("child", F.col("seq"))), "/tf_static", 5)
+    (one,) = tree.collect()
+    assert (one["topic"], one["timestamp_ns"]) == ("/tf_static", 5)
+    names = [r["child"] for r in sensors.transforms(cdr.decoded(tree, sensors.TF_MESSAGE)).orderBy("pos").collect()]
+    assert names == [f"base{k}" for k in range(5)]
+    assert sensors.static_message(track.where("false"), "/tf_static", 5).count() == 0
