@@ -7,6 +7,7 @@ import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,6 +200,51 @@ def encode(schema_text: str, value: dict) -> bytes:
     return bytes(w.out)
 
 
+def read(payloads: pa.Array, defs: dict[str, list[Field]], kind: T.StructType, arrow: pa.StructType) -> tuple[pa.Array, pa.Array]:
+    """Messages, and errors: all at once where that can be, the rest one by one."""
+    import decimal
+
+    from chronolane.functions import columns
+
+    def fit(v, t):
+        if isinstance(t, T.StructType):
+            return {f.name: fit(v[f.name], f.dataType) for f in t.fields}
+        if isinstance(t, T.ArrayType):
+            return [fit(x, t.elementType) for x in v]
+        return decimal.Decimal(v) if isinstance(t, T.DecimalType) else v
+
+    made, rows = columns.read(payloads, defs, arrow)
+    rest = np.setdiff1d(np.arange(len(payloads)), rows)
+    values, errors = [], []
+    for x in payloads.take(pa.array(rest)).to_pylist():
+        try:
+            values.append(fit(Reader(x or b"").message(defs), kind))
+            errors.append(None)
+        except (ValueError, struct.error) as e:
+            values.append(None)
+            errors.append(str(e))
+    order = pa.array(np.argsort(np.concatenate([rows, rest]), kind="stable"))
+    return pa.concat_arrays([made, pa.array(values, arrow)]).take(order), pa.concat_arrays([pa.nulls(len(rows), pa.string()), pa.array(errors, pa.string())]).take(order)
+
+
+def written(values: pa.Array, defs: dict[str, list[Field]]) -> pa.Array:
+    """Payloads of a column of messages; null ones are null."""
+    from chronolane.functions import columns
+
+    there = values.is_valid()
+    try:
+        made = columns.write(values.filter(there), defs)
+    except columns.TooMany:
+        out = []
+        for value in values.filter(there).to_pylist():
+            w = Writer()
+            w.message(defs, value)
+            out.append(bytes(w.out))
+        made = pa.array(out, pa.binary())
+    at = np.cumsum(there.to_numpy(zero_copy_only=False)) - 1
+    return made.take(pa.array(at, mask=~there.to_numpy(zero_copy_only=False)))
+
+
 def decoded(messages: DataFrame, schema_text: str) -> DataFrame:
     """topic, timestamp_ns, seq, message (typed after the schema) and error (why a payload could not be read)."""
     defs = parse(schema_text)
@@ -209,24 +255,10 @@ def decoded(messages: DataFrame, schema_text: str) -> DataFrame:
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import decimal
-
-        def fit(v, t):
-            if isinstance(t, T.StructType):
-                return {f.name: fit(v[f.name], f.dataType) for f in t.fields}
-            if isinstance(t, T.ArrayType):
-                return [fit(x, t.elementType) for x in v]
-            return decimal.Decimal(v) if isinstance(t, T.DecimalType) else v
-
         for batch in batches:
-            rows = []
-            for topic, t, seq, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    rows.append({"topic": topic, "timestamp_ns": t, "seq": seq, "message": fit(Reader(payload or b"").message(defs), kind), "error": None})
-                except (ValueError, struct.error) as e:
-                    rows.append({"topic": topic, "timestamp_ns": t, "seq": seq, "message": None, "error": str(e)})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            if batch.num_rows:
+                values, errors = read(batch.column(3), defs, kind, arrow.field("message").type)
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns[:3], arrow, strict=False)), values, errors], schema=arrow)
 
     return messages.select("topic", "timestamp_ns", "seq", "payload").mapInArrow(run, out)
 
@@ -255,13 +287,7 @@ def encoded(rows: DataFrame, schema_text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for value in batch.column(batch.num_columns - 1).to_pylist():
-                w = Writer()
-                if value is not None:
-                    w.message(defs, value)
-                out.append(None if value is None else bytes(w.out))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], [*others, "payload"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], written(batch.column(batch.num_columns - 1), defs)], [*others, "payload"])
 
     kind = T.StructType([*rows.select(*others).schema.fields, T.StructField("payload", T.BinaryType())])
     return rows.select(*others, "message").mapInArrow(run, kind)

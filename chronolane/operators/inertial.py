@@ -8,6 +8,8 @@ sums of stretches are put in a row, and each stretch adds what lies before it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,11 +42,14 @@ def composed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([product(q, b[:, :4]), v + turned(q, b[:, 4:7]), p + v * t + turned(q, b[:, 7:10]), a[:, 10:] + t], axis=1)
 
 
-def running(steps: np.ndarray) -> np.ndarray:
-    """Each row's step with all before it, by doubling."""
+def running(steps: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """Each row's step with all before it, by doubling; `first` marks where to begin anew."""
+    n = np.arange(len(steps))
+    since = n if first is None else n - np.maximum.accumulate(np.where(first, n, 0))
     out, by = steps.copy(), 1
-    while by < len(out):
-        out[by:] = composed(out[:-by], out[by:])
+    while by <= since.max(initial=0):
+        rows = np.nonzero(since >= by)[0]
+        out[rows] = composed(out[rows - by], out[rows])
         by *= 2
     return out
 
@@ -61,7 +66,7 @@ def propagated(samples: DataFrame, boundary: DataFrame, gravity: tuple[float, fl
     counts (the first after it, the last before it); samples at the boundary's
     stamp, of topics without a boundary or with nulls go.
 
-    A stretch's samples are in one task, a row for each stretch and topic in another.
+    A stretch's samples go through one task a batch at a time; a row for each stretch of a topic is in memory in another.
     """
     b = boundary.select("topic", F.col("timestamp_ns").alias("_at"), *[F.col(f"b{k}{a}").alias(f"_b{k}{a}") for k in "wa" for a in "xyz"])
     s = samples.select("topic", "seq", "timestamp_ns", *[f"{k}{a}" for k in "wa" for a in "xyz"]).dropna().join(b, "topic").where("timestamp_ns <> _at")
@@ -70,20 +75,41 @@ def propagated(samples: DataFrame, boundary: DataFrame, gravity: tuple[float, fl
     order = Window.partitionBy("topic", "way").orderBy("part")  # a row for each stretch
     ends = s.groupBy("topic", "way", "part").agg(F.max("tau").alias("_last")).withColumn("since", F.coalesce(F.lag("_last").over(order), F.lit(0))).drop("_last")
 
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        way = int(pdf["way"].iloc[0])
-        pdf = pdf.assign(_s=pdf["seq"] * way).sort_values(["tau", "_s"]).drop_duplicates("tau").drop(columns="_s")
-        h = way * np.diff(pdf["tau"].to_numpy(), prepend=pdf["since"].iloc[0])[:, None] / 1e9
-        turn = exp(pdf[["wx", "wy", "wz"]].to_numpy() * h)
-        a = pdf[["ax", "ay", "az"]].to_numpy()
-        a = a if way > 0 else turned(turn, a)
-        steps = running(np.concatenate([turn, a * h, a * h * h / 2, h], axis=1))
-        out = pdf[["topic", "way", "part", "seq", "timestamp_ns", "tau"]].copy()
-        out[list(_STEP)] = steps
-        return out
+    def inside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows in the order of key, tau and side. What a stretch has come to is carried from batch to batch, so a stretch may be of any length."""
+        last = None  # key, tau and steps of the last row
+        for pdf in frames:
+            if pdf.empty:
+                continue
+            key = list(zip(pdf["topic"], pdf["way"], pdf["part"], strict=True))
+            tau = pdf["tau"].to_numpy()
+            first = np.array([True] + [key[k] != key[k - 1] for k in range(1, len(key))])
+            again = np.concatenate([[False], tau[1:] == tau[:-1]]) & ~first
+            if last and last[0] == key[0]:
+                first[0], again[0] = False, tau[0] == last[1]
+            pdf, tau, first = pdf[~again], tau[~again], first[~again]
+            if pdf.empty:
+                continue
+            before = np.concatenate([[last[1] if last else 0], tau[:-1]])
+            way = pdf["way"].to_numpy()
+            h = (way * (tau - np.where(first, pdf["since"].to_numpy(), before)))[:, None] / 1e9
+            turn = exp(pdf[["wx", "wy", "wz"]].to_numpy() * h)
+            a = pdf[["ax", "ay", "az"]].to_numpy()
+            a = np.where(way[:, None] > 0, a, turned(turn, a))
+            steps = np.concatenate([turn, a * h, a * h * h / 2, h], axis=1)
+            if not first[0]:
+                steps[:1] = composed(last[2], steps[:1])
+            steps = running(steps, first)
+            end = pdf.iloc[-1]
+            last = (end["topic"], end["way"], end["part"]), tau[-1], steps[-1:]
+            out = pdf[["topic", "way", "part", "seq", "timestamp_ns", "tau"]].copy()
+            out[list(_STEP)] = steps
+            yield out
 
     numbers = ", ".join(f"{c} double" for c in _STEP)
-    local = s.join(ends, ["topic", "way", "part"]).groupBy("topic", "way", "part").applyInPandas(inside, f"topic string, way int, part long, seq long, timestamp_ns long, tau long, {numbers}").checkpoint()
+    key = ["topic", "way", "part"]
+    sorted_ = s.join(ends, key).repartition(*key).sortWithinPartitions(*key, "tau", F.col("seq") * F.col("way"))
+    local = sorted_.mapInPandas(inside, f"topic string, way int, part long, seq long, timestamp_ns long, tau long, {numbers}").checkpoint()
 
     def in_a_row(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part")

@@ -108,12 +108,15 @@ def test_inertial_steps_against_a_walk(spark):
     samples = spark.createDataFrame([("/imu", k, int(times[k]), *map(float, w[k]), *map(float, a[k])) for k in range(300)] + [("/imu", 999, 5, None, *[0.0] * 5), ("/none", 0, 5, *[0.0] * 6)], "topic string, seq long, timestamp_ns long, wx double, wy double, wz double, ax double, ay double, az double")
     names = [*inertial.STATE, "bwx", "bwy", "bwz", "bax", "bay", "baz"]
     boundary = spark.createDataFrame([("/imu", at, *map(float, [*p0, *q, *v0, *bias]))], "topic string, timestamp_ns long, " + ", ".join(f"{c} double" for c in names))
-    got = {r["seq"]: r for r in inertial.propagated(samples, boundary, tuple(gravity), 1_000_000_000).collect()}
-    assert set(got) == set(want) | {None}
-    for k, (p, v, turn) in want.items():
-        r = got[k]
-        assert np.allclose([r["tx"], r["ty"], r["tz"]], p) and np.allclose([r["vx"], r["vy"], r["vz"]], v)
-        assert np.allclose(_turn([r["qx"], r["qy"], r["qz"], r["qw"]]), turn)
+    for rows, stretch in ((10_000, 1_000_000_000), (7, 1_000_000_000), (3, 100_000_000_000)):  # stretches inside a batch and over many
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        got = {r["seq"]: r for r in inertial.propagated(samples, boundary, tuple(gravity), stretch).collect()}
+        assert set(got) == set(want) | {None}
+        for k, (p, v, turn) in want.items():
+            r = got[k]
+            assert np.allclose([r["tx"], r["ty"], r["tz"]], p) and np.allclose([r["vx"], r["vy"], r["vz"]], v)
+            assert np.allclose(_turn([r["qx"], r["qy"], r["qz"], r["qw"]]), turn)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 EDGES = "topic string, parent string, child string, stamp_ns long, is_static boolean, tx double, ty double, tz double, qx double, qy double, qz double, qw double"
