@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolane.functions import cdr, sensors
+from chronolane.functions import cdr, message_from_text, sensors
 from chronolane.functions import message_text as text_of
 from chronolane.operators import asof, frames, gnss, inertial, stats
 from chronolane.plans.recording import C, M, messages, query, stamped, topic
@@ -197,3 +197,22 @@ def message_text(spark, sf_dir):
     m = F.struct(_header(F.concat(F.lit("it's "), "topic")).alias("header"), F.coalesce("payload", F.lit("")).alias("note"), F.slice(many, F.lit(1), (seq % 40).cast("int")).alias("numbers"), (seq % 3 == 0).alias("late"), ((seq % 8) * 0.125).cast("double").alias("value"))
     sent = cdr.encoded(messages(spark, sf_dir).select("topic", "timestamp_ns", "seq", m.alias("message")), _NOTE)
     return text_of.rendered(sent, _NOTE).select("topic", "seq", "text")
+
+
+_ENTRY = "===\n".join(["std_msgs/Header header\nint8 small\nfloat64 value\nstring note\nint64[<=4] numbers\n", "MSG: std_msgs/Header\nbuiltin_interfaces/Time stamp\nstring frame_id\n"])
+
+
+@query(f"""WITH {M} SELECT topic, seq, timestamp_ns // 1000000000 AS sec, timestamp_ns % 1000000000 AS nanosec, seq % 200 - 60 AS small, value, 'it''s ' || topic AS note, seq % 6 AS n, NULL AS error FROM m WHERE seq % 200 < 188 AND seq % 6 <= 4 AND seq % 7 <> 3
+UNION ALL SELECT topic, seq, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN seq % 200 >= 188 THEN 'small: out of the range of int8' WHEN seq % 7 = 3 THEN 'value: missing' ELSE 'numbers: holds more than 4' END FROM m WHERE NOT (seq % 200 < 188 AND seq % 6 <= 4 AND seq % 7 <> 3)""")
+def text_to_message(spark, sf_dir):
+    """Texts of the messages become payloads stamped with their times; some do not fit, and say where."""
+    shared(spark)
+    seq, n = F.col("seq"), (F.col("seq") % 6).cast("int")
+    number = F.when(seq % 7 == 3, "").otherwise(F.concat(F.lit("value: "), F.col("value").cast("string"), F.lit("\n")))
+    many = F.concat_ws(", ", F.slice(F.array(*[F.lit(str(k)) for k in range(6)]), F.lit(1), n))
+    text = F.concat(F.lit("# entry\nheader:\n  frame_id: map\nsmall: "), (seq % 200 - 60).cast("string"), F.lit("\n"), number, F.lit("note: 'it''s "), "topic", F.lit("'\nnumbers: ["), many, F.lit("]\n"))
+    made = message_from_text.encoded(messages(spark, sf_dir).select("topic", "timestamp_ns", "seq", text.alias("text")), _ENTRY, sync_stamps=True).checkpoint()  # read twice below
+    m = F.col("message")
+    stamp = m["header"]["stamp"]
+    good = cdr.decoded(made.where("payload IS NOT NULL"), _ENTRY).select("topic", "seq", stamp["sec"].cast("long").alias("sec"), stamp["nanosec"].cast("long").alias("nanosec"), m["small"].cast("long").alias("small"), m["value"].alias("value"), m["note"].alias("note"), F.size(m["numbers"]).cast("long").alias("n"), F.lit(None).cast("string").alias("error"))
+    return good.unionByName(made.where("payload IS NULL").select("topic", "seq", "error"), allowMissingColumns=True)

@@ -351,8 +351,26 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([row], "start_ns long, end_ns long, n_messages long, per_topic map<string,long>, trusted boolean")
 
 
-def repack(source: DataFrame, path: str, storage_: str = "mcap", shards_: int = 1) -> None:
-    """Write messages as a recording, in time order: a shard for each of `shards_` ranges of time."""
+def inherited(reference: str, path: str) -> str:
+    """The storage of an output: by the output's own ending, else that of the recording it is made from.
+
+    A recording whose files are compressed whole has none to pass on: outputs are not compressed so, and it raises.
+    """
+    for suffix, name in ((".mcap", "mcap"), (".db3", "sqlite3")):
+        if path.endswith(suffix):
+            return name
+    first = shards(reference)[0]
+    if first.endswith(".zst"):
+        raise ValueError(f"{reference} is compressed whole: name the storage of the output")
+    return storage(first)
+
+
+def repack(source: DataFrame, path: str, storage_: str | None = None, shards_: int = 1, reference: str | None = None) -> None:
+    """Write messages as a recording, in time order: a shard for each of `shards_` ranges of time.
+
+    The storage is the one named, else that of the reference (`inherited`), else mcap.
+    """
+    storage_ = storage_ or (inherited(reference, path) if reference else "mcap")
     ordered = source.select("topic", "timestamp_ns", "payload", F.col("seq"))
     dealt = ordered.repartitionByRange(shards_, "timestamp_ns").sortWithinPartitions("timestamp_ns", "seq")
     dealt.select("topic", "timestamp_ns", "payload").write.format("recording").option("storage", storage_).mode("append").save(path)

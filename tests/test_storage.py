@@ -198,3 +198,22 @@ def test_time_order_with_reservations(spark, tmp_path, storage):
     assert [(x["topic"], x["timestamp_ns"], bytes(x["payload"])) for x in back] == [(x["topic"], x["timestamp_ns"], bytes(x["payload"])) for x in got]
     assert back[-1]["shard"] > 3
     assert order.placed(df.where("false")).count() == 0
+
+
+def test_an_output_takes_over_the_storage(spark, tmp_path):
+    recording.register(spark)
+    df = spark.createDataFrame([("/x", k, k, b"x") for k in range(5)], "topic string, timestamp_ns long, seq long, payload binary")
+    for name in ("mcap", "sqlite3"):
+        source, out = str(tmp_path / name), str(tmp_path / f"{name}-out")
+        recording.repack(df, source, name)
+        recording.repack(spark.read.format("recording").load(source), out, reference=source)
+        assert recording.storage(recording.shards(out)[0]) == name
+        assert spark.read.format("recording").load(out).count() == 5
+        assert recording.inherited(source, "/out/a.db3") == "sqlite3" and recording.inherited(source, "/out/a.mcap") == "mcap"
+    packed = tmp_path / "packed"
+    packed.mkdir()
+    (packed / "a_0.mcap.zst").write_bytes(b"")
+    with pytest.raises(ValueError, match="compressed whole"):
+        recording.inherited(str(packed), "/out/folder")
+    with pytest.raises(ValueError):
+        recording.inherited(str(tmp_path), "/out/folder")
