@@ -101,3 +101,11 @@ def test_bytes_by_hand(order):
     assert len(columns.read(pa.array(payloads, pa.binary()), defs, to_arrow_type(kind))[1]) == 9
     if order == "<":
         assert cdr.written(got, defs).to_pylist() == payloads
+
+
+def test_empty_and_null_columns():
+    assert cdr.written(pa.array([], ARROW), DEFS).to_pylist() == []
+    assert cdr.written(pa.array([None, None], ARROW), DEFS).to_pylist() == [None, None]
+    assert cdr.read(pa.array([], pa.binary()), DEFS, KIND, ARROW)[0].to_pylist() == []
+    got, errors = cdr.read(pa.array([None, b"", b"\0\1"], pa.binary()), DEFS, KIND, ARROW)
+    assert got.to_pylist() == [None] * 3 and errors.to_pylist() == ["not a plain CDR payload"] * 3
