@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from chronolane.functions import cdr
 from chronolane.functions import geometry as G
-from chronolane.operators import asof
+from chronolane.operators import asof, spatial
 from chronolane.operators.frames import POSE, pose
 
 #: Point field kinds of the message format: fixed values.
@@ -102,6 +102,19 @@ def world(exploded: DataFrame, trajectory: DataFrame) -> DataFrame:
     return out.withColumns(dict(zip("xyz", moved, strict=True))).drop(*[f"p{c}" for c in POSE])
 
 
+def mapped(exploded: DataFrame, trajectory: DataFrame, size: float) -> DataFrame:
+    """A voxel map (`spatial.voxels`) of the points carried into the trajectory's frame; points outside its span, ends included, go.
+
+    Points meet poses stretch by stretch, and a voxel's sums are made before the
+    shuffle, so neither a topic nor a crowded voxel lies in one task. A trajectory
+    without poses gives no voxels.
+    """
+    span = trajectory.agg(F.min("timestamp_ns").alias("_low"), F.max("timestamp_ns").alias("_high"))  # one row
+    names = exploded.columns
+    inside = exploded.join(F.broadcast(span), F.col("timestamp_ns").between(F.col("_low"), F.col("_high"))).select(*names)
+    return spatial.voxels(world(inside, trajectory), size)
+
+
 def deskewed(exploded: DataFrame, trajectory: DataFrame, extrinsic: tuple[float, ...] = (0, 0, 0, 0, 0, 0, 1)) -> DataFrame:
     """Points as if all were taken at the header stamp: E^-1 (T_ref^-1 T_i) E p; points without a time or a finite place stay."""
     timed = stamped(exploded)

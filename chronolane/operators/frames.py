@@ -86,17 +86,22 @@ def bad_values(edges: DataFrame) -> DataFrame:
 
 
 def path_between(edges: DataFrame, ref: str, of: str) -> tuple[list[str], list[str]]:
-    """Frames from `of` up to the common ancestor and from `ref` up to it: a walk up to the root, or to a frame that was met."""
+    """Frames from `of` up to the common ancestor and from `ref` up to it.
 
-    def up(frame: str) -> list[str]:
-        out = [frame]
-        while True:
-            r = edges.where(F.col("child") == out[-1]).select("parent").limit(1).collect()
-            if not r or r[0]["parent"] in out:
-                return out
-            out.append(r[0]["parent"])
-
-    a, b = up(ref), up(of)
+    The distinct edges are made once; both walks go up a level with each look at
+    them, to a root or to a frame that was met. Of several parents the first by name.
+    """
+    links = edges.groupBy("child").agg(F.min("parent").alias("parent")).checkpoint()
+    ways = {f: [f] for f in (ref, of)}
+    while True:
+        heads = {way[-1] for way in ways.values()}
+        above = {r["child"]: r["parent"] for r in links.where(F.col("child").isin(*heads)).collect()}  # two rows at most
+        moved = [way for way in ways.values() if above.get(way[-1]) is not None and above[way[-1]] not in way]
+        for way in moved:
+            way.append(above[way[-1]])
+        if not moved:
+            break
+    a, b = ways[ref], ways[of]
     common = next((f for f in b if f in a), None)
     if common is None:
         raise ValueError(f"no path between {ref!r} and {of!r}")
@@ -124,48 +129,88 @@ def pose(prefix: str = "") -> tuple[tuple[Column, ...], tuple[Column, ...]]:
     return tuple(c[:3]), tuple(c[3:])
 
 
-def looked_up(stamps: DataFrame, edges: DataFrame, ref: str, of: str) -> DataFrame:
-    """timestamp_ns and the pose of `of` in `ref`: static edges as they are, moving ones interpolated; stamps outside a moving edge's span go."""
+def _on_way(edges: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
+    """The edges (child, parent) of a way, with their place on it."""
+    place = F.lit(None).cast("int")
+    for k, (child, parent) in enumerate(steps):
+        place = F.when((F.col("child") == child) & (F.col("parent") == parent), k).otherwise(place)
+    return edges.withColumn("_k", place).where("_k IS NOT NULL")
+
+
+def sampled(stamps: DataFrame, edges: DataFrame, ref: str, of: str, way: tuple[list[str], list[str]] | None = None) -> DataFrame:
+    """timestamp_ns, the pose of `of` in `ref`, reason and frame: a row for each stamp, with a pose or with why it has none.
+
+    Static edges are as they last were; an edge is static if anything publishes it
+    as such. Moving ones are interpolated. reason is "before the first transform"
+    or "after the last transform", frame the child of the first edge, from `of` up
+    and then down to `ref`, that has no transform there; null stamps go. All moving
+    edges are looked up in one pass, keyed by their place on the way. Of transforms
+    of one stamp the highest seq counts, where edges have one, for what comes after
+    it, the lowest for what comes before. way: what `path_between` gave, where it is known.
+    """
     from chronolane.functions import geometry as G
     from chronolane.operators import asof
 
-    down, across = path_between(edges, ref, of)
-    zero, one = F.lit(0.0), F.lit(1.0)
-    out = stamps.select("timestamp_ns")
-    for k, c in enumerate(POSE):
-        out = out.withColumn(f"_{c}", one if k == 6 else zero)
-
-    def edge_pose(out: DataFrame, child: str) -> tuple[DataFrame, tuple]:
-        own = edges.where(F.col("child") == child)
-        r = own.orderBy("stamp_ns").first()  # one edge
-        if r["is_static"]:
-            last = own.orderBy(F.col("stamp_ns").desc()).first()
-            v = [F.lit(float(last[c])) for c in POSE]
-            return out, (tuple(v[:3]), tuple(v[3:]))
-        series = own.select(F.col("stamp_ns").alias("timestamp_ns"), F.col("stamp_ns").alias("seq"), *POSE)
-        out = asof.neighbours(out, series, list(POSE)).where("prev IS NOT NULL AND next IS NOT NULL")
-        f = F.when(F.col("next.timestamp_ns") == F.col("prev.timestamp_ns"), zero).otherwise((F.col("timestamp_ns") - F.col("prev.timestamp_ns")) / (F.col("next.timestamp_ns") - F.col("prev.timestamp_ns")))
+    down, across = way or path_between(edges, ref, of)
+    up = list(zip(down, down[1:], strict=False))
+    back = list(zip(across, across[1:], strict=False))[::-1]
+    own = _on_way(edges, up + back)
+    still = F.when(F.col("is_static"), F.struct(F.col("stamp_ns"), *POSE))
+    fixed = {r["_k"]: r["last"] for r in own.groupBy("_k").agg(F.max(still).alias("last")).collect()}  # a row for each edge of the way
+    moving = [k for k in sorted(fixed) if fixed[k] is None]
+
+    wanted = stamps.where("timestamp_ns IS NOT NULL").groupBy("timestamp_ns").agg(F.count("*").alias("_n"))
+    if moving:
+        asked = wanted.select("timestamp_ns", "_n", F.explode(F.array(*map(F.lit, moving))).alias("_k"))
+        order = F.col("seq") if "seq" in edges.columns else F.col("stamp_ns")
+        series = own.where(F.col("_k").isin(moving)).select("_k", F.col("stamp_ns").alias("timestamp_ns"), order.cast("long").alias("seq"), *POSE)
+        found = asof.neighbours(asked, series, list(POSE), ["_k"])
+        a, b, t = F.col("prev.timestamp_ns"), F.col("next.timestamp_ns"), F.col("timestamp_ns")
+        f = F.when(a == b, 0.0).otherwise((t - a) / (b - a))
         (ta, qa), (tb, qb) = pose("prev."), pose("next.")
-        t, q = tuple(a + (b - a) * f for a, b in zip(ta, tb, strict=True)), G.slerp(qa, qb, f)
-        cols = {f"_e{k}": c for k, c in enumerate([*t, *q])}
-        out = out.withColumns(cols).drop("prev", "next")
-        e = [F.col(f"_e{k}") for k in range(7)]
-        return out, (tuple(e[:3]), tuple(e[3:]))
-
-    def put(out: DataFrame, t: tuple, q: tuple) -> DataFrame:
-        keep = [f"_{c}" for c in POSE]
-        return out.select("timestamp_ns", *[c.alias(k) for k, c in zip(keep, [*t, *q], strict=True)])
-
-    for child in down[:-1]:  # from `of` up: the parent's edge applies after what is there
-        out, (t, q) = edge_pose(out, child)
-        out = put(out, *G.compose(t, q, *pose("_")))
-    ways = []
-    for child in across[:-1]:
-        ways.append(child)
-    for child in reversed(ways):  # from the common frame down to ref
-        out, (t, q) = edge_pose(out, child)
-        out = put(out, *G.compose(*G.inverse(t, q), *pose("_")))
-    return out.select("timestamp_ns", *[F.col(f"_{c}").alias(c) for c in POSE])
+        values = [*[u + (v - u) * f for u, v in zip(ta, tb, strict=True)], *G.slerp(qa, qb, f)]
+        why = F.when(F.col("prev").isNull(), "before the first transform").when(F.col("next").isNull(), "after the last transform")
+        at = found.select("timestamp_ns", "_n", "_k", why.alias("_why"), F.struct(*[v.alias(c) for c, v in zip(POSE, values, strict=True)]).alias("_v"))
+        failed = F.min(F.when(F.col("_why").isNotNull(), F.struct("_k", "_why")))
+        wanted = at.groupBy("timestamp_ns", "_n").agg(failed.alias("_f"), *[F.first(F.when(F.col("_k") == k, F.col("_v")), ignorenulls=True).alias(f"_e{k}") for k in moving])
+    else:
+        wanted = wanted.withColumn("_f", F.lit(None).cast("struct<_k:int,_why:string>"))
+
+    zero, one = F.lit(0.0), F.lit(1.0)
+    mine = [f"_{c}" for c in POSE]
+    out = wanted.select("*", *[(one if c == "_qw" else zero).alias(c) for c in mine])
+    kept = out.columns[: -len(mine)]
+    for k in range(len(up) + len(back)):
+        t, q = pose(f"_e{k}.") if k in moving else (tuple(F.lit(float(fixed[k][c])) for c in POSE[:3]), tuple(F.lit(float(fixed[k][c])) for c in POSE[3:]))
+        t, q = G.compose(*((t, q) if k < len(up) else G.inverse(t, q)), *pose("_"))
+        out = out.select(*kept, *[c.alias(n) for n, c in zip(mine, [*t, *q], strict=True)])
+    names = F.array(*[F.lit(child) for child, _ in up + back]) if up + back else F.array().cast("array<string>")
+    good = F.col("_f").isNull()
+    out = out.select("timestamp_ns", *[F.when(good, F.col(n)).alias(c) for n, c in zip(mine, POSE, strict=True)], F.col("_f._why").alias("reason"), F.get(names, F.col("_f._k")).alias("frame"), F.explode(F.sequence(F.lit(1), "_n")).alias("_"))
+    return out.drop("_")
+
+
+def looked_up(stamps: DataFrame, edges: DataFrame, ref: str, of: str) -> DataFrame:
+    """timestamp_ns and the pose of `of` in `ref`, as `sampled`; stamps without a pose go."""
+    return sampled(stamps, edges, ref, of).where("reason IS NULL").select("timestamp_ns", *POSE)
+
+
+def skipped(samples: DataFrame) -> DataFrame:
+    """reason, frame, n_skipped, first_ns and last_ns of the samples without a pose."""
+    lost = samples.where("reason IS NOT NULL").groupBy("reason", "frame")
+    return lost.agg(F.count("*").alias("n_skipped"), F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"))
+
+
+def static_extrinsic(edges: DataFrame, ref: str, of: str) -> tuple[float, ...]:
+    """The pose (tx .. qw) of `of` in `ref` over static edges; KeyError with the frames that no static edge names, ValueError where there is no way."""
+    still = edges.where("is_static")
+    named = still.select(F.explode(F.array("parent", "child")).alias("f")).where(F.col("f").isin(ref, of)).distinct()
+    known = {r["f"] for r in named.collect()}  # two rows at most
+    missing = [f for f in dict.fromkeys((ref, of)) if f not in known]
+    if missing:
+        raise KeyError(*missing)
+    r = looked_up(edges.sparkSession.range(1).select(F.col("id").alias("timestamp_ns")), still, ref, of).first()
+    return tuple(r[c] for c in POSE)
 
 
 def edge_sets(transforms: DataFrame) -> DataFrame:
@@ -185,7 +230,7 @@ def tree_faults(edges: DataFrame) -> DataFrame:
 
 
 def trajectory(edges: DataFrame, topic: str, ref: str, of: str) -> DataFrame:
-    """timestamp_ns and the pose of `of` in `ref` at the stamps of the topic's edges that lie on the way; without a pose where an edge has none at that time.
+    """As `sampled`, at the stamps of the topic's edges that lie on the way.
 
     edges: topic, parent, child, stamp_ns, is_static and the pose. Raises where the
     topic has no edge, there is no way, or none of the topic's edges is on it.
@@ -193,11 +238,11 @@ def trajectory(edges: DataFrame, topic: str, ref: str, of: str) -> DataFrame:
     own = edges.where(F.col("topic") == topic)
     if own.isEmpty():
         raise ValueError(f"{topic!r} holds no transforms")
-    down, across = path_between(edges.select("parent", "child").distinct(), ref, of)
-    stamps = own.where(F.col("child").isin(down[:-1] + across[:-1])).select(F.col("stamp_ns").alias("timestamp_ns")).distinct()
+    way = path_between(edges, ref, of)
+    stamps = own.where(F.col("child").isin(way[0][:-1] + way[1][:-1])).select(F.col("stamp_ns").alias("timestamp_ns")).distinct()
     if stamps.isEmpty():
         raise ValueError(f"{topic!r} has no stamps between {ref!r} and {of!r}")
-    return stamps.join(looked_up(stamps, edges, ref, of), "timestamp_ns", "left")
+    return sampled(stamps, edges, ref, of, way)
 
 
 def transform_json(ref: str, of: str) -> Column:

@@ -165,3 +165,25 @@ def chunk_plan(messages: DataFrame, start: int, end: int, dropped: Column, renam
 def arrival_index(messages: DataFrame) -> DataFrame:
     """Adds the message's number within its topic, from 0."""
     return order.numbered(messages, ["topic"], "seq", "topic_index")
+
+
+#: The ending of a static transform topic's name, and the type of transform topics.
+STATIC_ENDING, TRANSFORMS = "tf_static", "tf2_msgs/msg/TFMessage"
+
+
+def tree_topics(catalogue: DataFrame, requested: list[str]) -> DataFrame:
+    """topic and is_static of the transform topics (topic, type) asked for, by name, "static" or "dynamic", with the place of the first request that meets each.
+
+    Raises where a name is no transform topic of the recording. At most as many
+    rows as requests are looked at on the driver.
+    """
+    own = catalogue.where(F.col("type") == TRANSFORMS).select("topic", F.col("topic").endswith(STATIC_ENDING).alias("is_static")).distinct()
+    names = [r for r in requested if r not in ("static", "dynamic")]
+    known = {r["topic"] for r in own.where(F.col("topic").isin(*names)).select("topic").collect()} if names else set()
+    if unknown := [n for n in names if n not in known]:
+        raise ValueError(f"no transform topics, nor static or dynamic: {', '.join(unknown)}")
+    place = F.lit(None).cast("int")
+    for k, r in reversed(list(enumerate(requested))):
+        meets = F.col("is_static") if r == "static" else ~F.col("is_static") if r == "dynamic" else F.col("topic") == r
+        place = F.when(meets, k).otherwise(place)
+    return own.withColumn("place", place).where("place IS NOT NULL")

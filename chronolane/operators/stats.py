@@ -109,3 +109,8 @@ def declared_counts(topics: DataFrame, messages: DataFrame) -> DataFrame:
     """topic and n for every declared topic, 0 where it has no messages."""
     n = messages.groupBy("topic").agg(F.count("*").alias("n"))
     return topics.select("topic").distinct().join(n, "topic", "left").select("topic", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def topic_counts(messages: DataFrame, topics: list[str]) -> DataFrame:
+    """topic and n_messages of the topics named; those without messages have no row."""
+    return messages.where(F.col("topic").isin(*topics)).groupBy("topic").agg(F.count("*").alias("n_messages"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolane.functions import text
+from chronolane.sources.calibration import mapping
 
 TREE_KEYS = ("x", "y", "z", "roll", "pitch", "yaw")
 
@@ -123,15 +124,6 @@ def static_tree(value: dict, depth: int = 32) -> list[tuple[str, str, float, flo
 
 def read_static_tree(spark: SparkSession, path: str) -> DataFrame:
     """Edges of a calibration file (YAML, or JSON where no YAML library is there)."""
-    import importlib.util
-    import json
-
     with open(path) as f:
-        raw = f.read()
-    if importlib.util.find_spec("yaml"):
-        import yaml
-
-        value = yaml.safe_load(raw)
-    else:
-        value = json.loads(raw)
+        value = mapping(f.read())
     return spark.createDataFrame(static_tree(value), "parent string, child string, x double, y double, z double, roll double, pitch double, yaw double")
