@@ -9,17 +9,21 @@ emitted role finds the repair of the least total cost; of equal ones, the states
 that come first in the order assistant, user, system.
 
 A turn's step is a matrix of least costs between states that depends on its role
-only. So a conversation is cut into stretches of STRETCH turn numbers: stretches
-yield matrices, their min-plus products give the least cost up to each cut, a
-walk back over the cuts fixes the states there, and each stretch is traced by
-itself. Partitions are read as sorted streams, one stretch in memory at a time,
-so a conversation may hold any share of all rows.
+only. So a conversation is cut into stretches of STRETCH turn numbers; where one
+holds more than twice as many rows (turn numbers that repeat or are null), its
+rows are sorted and cut by their count. Stretches yield matrices, their min-plus
+products give the least cost up to each cut, a walk back over the cuts fixes the
+states there, and each stretch is traced by itself. Partitions are read as sorted
+streams, one stretch of at most 2 * STRETCH rows in memory at a time, so a
+conversation, or one turn number of it, may hold any share of all rows. The walk
+back holds 16 numbers for each stretch of one conversation.
 
 Each turn yields a fragment; a conversation's fragments in order are its
 rendering, closing marks and inserted turns included.
 
 Defined results: a null role is unknown; a null text is empty; null turn numbers
-come first, ties in turn number go by role and text; a null conv_id is one
+come first, ties in turn number go by the role's first 64 characters and then by a
+digest of role and text, so that no key of the sort is long; a null conv_id is one
 conversation; repeated rows are turns of their own (and merge); an empty table
 gives no rows; extra columns are ignored.
 """
@@ -32,7 +36,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolane.llm.common import materialise, table
@@ -153,6 +157,31 @@ def _fragment(state: int, what: str, put: tuple[int, ...], text: str, first: boo
     return ("" if first else CLOSE) + turns + OPEN.format(role=ROLES[state - 1]) + text
 
 
+def _cut(slim: DataFrame, stretch: int) -> DataFrame:
+    """The turns with `sub`, the place of their cut within `part`: 0 where a part holds at most 2 * stretch rows, else by the rows' count in sorted order.
+
+    Equal rows change nothing in which order they come, so a number given once, in
+    a written table, tells them apart: ranges may part them, and no task holds all.
+    A row's place is its place in its range after the rows of the ranges before, so
+    the cuts do not depend on the ranges.
+    """
+    full = slim.groupBy("conv_id", "part").agg(F.count("*").alias("n")).where(F.col("n") > 2 * stretch).select(F.col("conv_id").alias("c"), F.col("part").alias("p"))
+    full = materialise(full, "full")
+    if full.isEmpty():
+        return slim.withColumn("sub", F.lit(0).cast("long"))
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))
+    crowded = materialise(slim.join(full, same, "left_semi").withColumn("tie", F.monotonically_increasing_id()), "crowded")
+    order = ["conv_id", "part", "turn", "lead", "mark", "tie"]
+    ranged = crowded.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(ranged.withColumn("id", F.monotonically_increasing_id()), "placed").withColumn("range", F.shiftright("id", 33))
+    ends = placed.groupBy("conv_id", "part", "range").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("conv_id", "part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ends = ends.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("range").alias("r"), (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    cut = placed.join(ends, same & (F.col("range") == F.col("r"))).withColumn("sub", F.expr(f"(id + shift) div {int(stretch)}")).select(*slim.columns, "sub")
+    cut = materialise(cut, "cut")
+    return slim.join(full, same, "left_anti").withColumn("sub", F.lit(0).cast("long")).unionByName(cut)
+
+
 def repair(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """conv_id, turn, role, new_role, action (keep, relabel or merge), n_inserted (before the turn, and after the last one) and fragment."""
     code = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")), F.lit(0)).cast("int")
@@ -164,43 +193,46 @@ def repair(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
         code.alias("code"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    slim = slim.withColumn("lead", F.left("role", F.lit(64))).withColumn("mark", F.xxhash64("role", "text"))
+    slim = _cut(slim, stretch)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((g[0][0], g[0][1], stretch_matrix([r[2] for r in g]).ravel().tolist()) for g in _streams(batches, 2))
-        yield from _in_batches(rows, pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("m", pa.list_(pa.int64()))]))
+        rows = ((*g[0][:3], stretch_matrix([r[3] for r in g]).ravel().tolist()) for g in _streams(batches, 3))
+        yield from _in_batches(rows, pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("sub", pa.int64()), ("m", pa.list_(pa.int64()))]))
 
     def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for g in _streams(batches, 1):
-                found = cut_states([np.array(r[2]).reshape(4, 4) for r in g])
+                found = cut_states([np.array(r[3]).reshape(4, 4) for r in g])
                 for k, (r, (a, b)) in enumerate(zip(g, found, strict=True)):
-                    yield r[0], r[1], a, b, k == len(g) - 1
+                    yield *r[:3], a, b, k == len(g) - 1
 
-        yield from _in_batches(rows(), pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("last", pa.bool_())]))
+        yield from _in_batches(rows(), pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("sub", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("last", pa.bool_())]))
 
     schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("action", pa.string()), ("n_inserted", pa.int32()), ("fragment", pa.string())])
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for g in _streams(batches, 2):
-                _, _, _, _, _, _, before, after, last = g[0]
-                for k, (r, (state, what, put)) in enumerate(zip(g, trace([r[4] for r in g], before, after), strict=True)):
-                    text, n = _fragment(state, what, put, r[5], first=k == 0 and before == START), len(put)
+            for g in _streams(batches, 3):
+                before, after, last = g[0][7:]
+                for k, (r, (state, what, put)) in enumerate(zip(g, trace([r[5] for r in g], before, after), strict=True)):
+                    text, n = _fragment(state, what, put, r[6], first=k == 0 and before == START), len(put)
                     if last and k == len(g) - 1:
                         end = _WAYS[state, ASSISTANT]
                         text += CLOSE + "".join(OPEN.format(role=ROLES[p - 1]) + CLOSE for p in end)
                         n += len(end)
-                    yield r[0], r[2], r[3], ROLES[state - 1], what, n, text
+                    yield r[0], r[3], r[4], ROLES[state - 1], what, n, text
 
         yield from _in_batches(rows(), schema)
 
-    order = ["conv_id", "part", "turn", "role", "text"]
-    dealt = slim.select("conv_id", "part", "code", "turn", "role", "text").repartition("conv_id", "part").sortWithinPartitions(*order).select("conv_id", "part", "code")
-    made = dealt.mapInArrow(matrices, "conv_id long, part long, m array<long>")
-    states = made.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(cuts, "conv_id long, part long, before int, after int, last boolean")
-    states = materialise(states, "cuts").select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "before", "after", "last")
-    joined = slim.join(states, slim["conv_id"].eqNullSafe(states["c"]) & (slim["part"] == states["p"])).drop("c", "p")
-    joined = joined.select("conv_id", "part", "turn", "role", "code", "text", "before", "after", "last").repartition("conv_id", "part").sortWithinPartitions(*order)
+    order = ["conv_id", "part", "sub", "turn", "lead", "mark"]
+    keys = order[:3]
+    dealt = slim.select("code", *order).repartition(*keys).sortWithinPartitions(*order).select(*keys, "code")
+    made = dealt.mapInArrow(matrices, "conv_id long, part long, sub long, m array<long>")
+    states = made.repartition("conv_id").sortWithinPartitions(*keys).mapInArrow(cuts, "conv_id long, part long, sub long, before int, after int, last boolean")
+    states = materialise(states, "cuts").select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("sub").alias("s"), "before", "after", "last")
+    joined = slim.join(states, slim["conv_id"].eqNullSafe(states["c"]) & (slim["part"] == states["p"]) & (slim["sub"] == states["s"])).drop("c", "p", "s")
+    joined = joined.select("conv_id", "part", "sub", "turn", "role", "code", "text", "lead", "mark", "before", "after", "last").repartition(*keys).sortWithinPartitions(*order).drop("lead", "mark")
     return joined.mapInArrow(traced, "conv_id long, turn long, role string, new_role string, action string, n_inserted int, fragment string")
 
 

@@ -13,8 +13,8 @@ refer to.
 
 Payloads travel once, dealt by their digest to as many archives as their bytes
 ask for (ARCHIVE_BYTES and ARCHIVE_ROWS each). Digests with more than one of
-HOT_PART rows, which are fewer than HOT_PART, are broadcast instead; their rows
-go anywhere, and all but the first without their payload.
+HOT_PART rows, which are fewer than HOT_PART (some 10 MB), are broadcast instead;
+their rows go anywhere, and all but the first without their payload.
 
 The reader takes whole files and walks from record to record. A record counts
 when its member, its version line, its header, its length, its closing lines and
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from chronolane.llm.common import materialise, partitions, remove, shared_path, table
 
-ARCHIVE_ROWS, ARCHIVE_BYTES, HOT_PART = 50_000, 1 << 27, 1000
+ARCHIVE_ROWS, ARCHIVE_BYTES, HOT_PART = 50_000, 1 << 27, 100_000
 END = b"\r\n\r\n"
 _PAGE = "urn:page:"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"

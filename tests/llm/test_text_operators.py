@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronolane.llm import chat, common, fingerprint, packing, pii, quality, registry, rules, sentencepiece_scan, simhash, substring, warc
 
@@ -333,6 +334,26 @@ def test_chat_odd_rows(spark):
     assert chat.repair(df).count() == 5 and chat.repair(df.where("false")).count() == 0
 
 
+def test_chat_of_one_turn_number(spark):
+    """Turn numbers that are null, or one for all, equal rows among them: cut by count, no list is longer, the cost is the least."""
+    rng = np.random.default_rng(9)
+    names = [None, "system", "user", "assistant"]
+    rows = [(c, None if c else 7, names[r], f"t{rng.integers(0, 6)}") for c in (None, 0, 1) for r in rng.choice([0, 1, 2, 3], 300)]
+    rows += [(5, 7, "user", "x")] * 100 + [(6, k, "user", "y") for k in range(20)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    sizes = chat._cut(df.select("conv_id", F.lit(0).cast("long").alias("part"), "turn", F.col("role").alias("lead"), F.xxhash64("role", "text").alias("mark"), "role", "text"), 8).groupBy("conv_id", "sub").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 8 and sizes.agg(F.sum("count")).first()[0] == len(rows)
+    out = chat.repair(df, 8).collect()
+    assert collections.Counter((r["conv_id"], r["turn"], r["role"]) for r in out) == collections.Counter(r[:3] for r in rows)
+    for c in {r[0] for r in rows}:
+        own = [r for r in out if r["conv_id"] == c]
+        label = [0 if r["role"] == r["new_role"] else chat.RELABEL if r["role"] in chat.ROLES else chat.UNKNOWN for r in own]
+        codes = [names.index(r) for r in sorted((r[2] for r in rows if r[0] == c), key=lambda r: r or "")]
+        assert sum(label) + sum(chat.MERGE * (r["action"] == "merge") + chat.INSERT * r["n_inserted"] for r in own) == least_cost(codes)
+    assert collections.Counter(out) == collections.Counter(chat.repair(df.repartition(9), 8).collect())  # however the rows were dealt
+
+
+
 # ---- 7 ----
 
 
