@@ -10,10 +10,13 @@ from chronolane.plans.shared import shared, shared_path
 from chronolane.sources import calibration
 
 _DAY = 86_400_000_000_000
-_REST = [*[F.lit(0.0).alias(c) for c in ("qx", "qy", "qz")], F.lit(1.0).alias("qw")]
 _ARM = f"(SELECT min(timestamp_ns) FROM m) + {2 * _DAY} AND (SELECT min(timestamp_ns) FROM m) + {10 * _DAY}"
 
 
+def _unturned():
+    return [*[F.lit(0.0).alias(c) for c in ("qx", "qy", "qz")], F.lit(1.0).alias("qw")]
+
+
 def _edges(spark, sf_dir):
     """map to base from clicks, base to arm from some days' views, arm to cam static: moved by (1, 2, 3) and turned by a quarter."""
     m = messages(spark, sf_dir)
@@ -21,7 +24,7 @@ def _edges(spark, sf_dir):
 
     def moving(rows, name, parent, child):
         at = rows.groupBy(F.col("timestamp_ns").alias("stamp_ns")).agg(F.max("value").alias("tx"), F.max("publisher").cast("double").alias("ty"))
-        return at.select(F.lit(name).alias("topic"), F.lit(parent).alias("parent"), F.lit(child).alias("child"), "stamp_ns", F.lit(False).alias("is_static"), "tx", "ty", F.lit(0.0).alias("tz"), *_REST)
+        return at.select(F.lit(name).alias("topic"), F.lit(parent).alias("parent"), F.lit(child).alias("child"), "stamp_ns", F.lit(False).alias("is_static"), "tx", "ty", F.lit(0.0).alias("tz"), *_unturned())
 
     odometry = moving(topic(m, "/click"), "/odom", "map", "base")
     arm = moving(topic(m, "/view").where(F.col("timestamp_ns").between(low + 2 * _DAY, low + 10 * _DAY)), "/arm", "base", "arm")
@@ -62,7 +65,7 @@ def voxel_map(spark, sf_dir):
     c = topic(messages(spark, sf_dir), "/click").groupBy("timestamp_ns").agg(F.max("value").alias("tx"), F.max("publisher").cast("double").alias("ty"))
     low = c.agg(F.min("timestamp_ns")).first()[0]
     p = points(spark, sf_dir).withColumn("timestamp_ns", F.lit(low) + (F.col("idx") - 60) * 60_000_000_000)
-    out = clouds.mapped(p.select("idx", "timestamp_ns", "x", "y", "z"), c.select("*", F.lit(0.0).alias("tz"), *_REST), 50.0)
+    out = clouds.mapped(p.select("idx", "timestamp_ns", "x", "y", "z"), c.select("*", F.lit(0.0).alias("tz"), *_unturned()), 50.0)
     return out.withColumns({a: F.round(a, 4) + 0 for a in "xyz"})
 
 

@@ -41,3 +41,10 @@ def test_query_has_rows(spark, name):
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 5
     assert set(registry.queries()) <= set(entry_point.queries())
+
+
+def test_registering_needs_no_session():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], check=True, timeout=120)
