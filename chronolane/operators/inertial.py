@@ -36,10 +36,15 @@ def turned(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return v + q[:, 3:] * u + np.cross(q[:, :3], u)
 
 
+def unit(q: np.ndarray) -> np.ndarray:
+    """Quaternions that are all but of length 1, at length 1: else rounding errors of the length add up over a long recording."""
+    return q * (1.5 - (q * q).sum(axis=1, keepdims=True) / 2)
+
+
 def composed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Steps a, then b, a row each, in the columns of _STEP."""
     q, v, p, t = a[:, :4], a[:, 4:7], a[:, 7:10], b[:, 10:]
-    return np.concatenate([product(q, b[:, :4]), v + turned(q, b[:, 4:7]), p + v * t + turned(q, b[:, 7:10]), a[:, 10:] + t], axis=1)
+    return np.concatenate([unit(product(q, b[:, :4])), v + turned(q, b[:, 4:7]), p + v * t + turned(q, b[:, 7:10]), a[:, 10:] + t], axis=1)
 
 
 def running(steps: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
@@ -93,7 +98,7 @@ def propagated(samples: DataFrame, boundary: DataFrame, gravity: tuple[float, fl
             before = np.concatenate([[last[1] if last else 0], tau[:-1]])
             way = pdf["way"].to_numpy()
             h = (way * (tau - np.where(first, pdf["since"].to_numpy(), before)))[:, None] / 1e9
-            turn = exp(pdf[["wx", "wy", "wz"]].to_numpy() * h)
+            turn = unit(exp(pdf[["wx", "wy", "wz"]].to_numpy() * h))
             a = pdf[["ax", "ay", "az"]].to_numpy()
             a = np.where(way[:, None] > 0, a, turned(turn, a))
             steps = np.concatenate([turn, a * h, a * h * h / 2, h], axis=1)
@@ -108,12 +113,13 @@ def propagated(samples: DataFrame, boundary: DataFrame, gravity: tuple[float, fl
 
     numbers = ", ".join(f"{c} double" for c in _STEP)
     key = ["topic", "way", "part"]
-    sorted_ = s.join(ends, key).repartition(*key).sortWithinPartitions(*key, "tau", F.col("seq") * F.col("way"))
+    # by a hash: a shuffle by the join's own key would be left out, and where the join then turns into a broadcast a stretch's rows lie in many tasks
+    sorted_ = s.join(ends, key).repartition(F.xxhash64(*key)).sortWithinPartitions(*key, "tau", F.col("seq") * F.col("way"))
     local = sorted_.mapInPandas(inside, f"topic string, way int, part long, seq long, timestamp_ns long, tau long, {numbers}").checkpoint()
 
     def in_a_row(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part")
-        steps = running(pdf[list(_STEP)].to_numpy())
+        steps = running(pdf[list(_STEP)].to_numpy().astype(np.longdouble)).astype(float)  # a stretch's sum is rounded once
         none = np.array([[0, 0, 0, 1.0, *[0.0] * 7]])
         out = pdf[["topic", "way", "part"]].copy()
         out[[f"_{c}" for c in _STEP]] = np.concatenate([none, steps[:-1]])

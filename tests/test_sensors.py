@@ -119,6 +119,33 @@ def test_inertial_steps_against_a_walk(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_stretches_stay_whole_when_a_join_turns_into_a_broadcast(spark):
+    """At size the join with the stretches' ends is planned as a sorted one, and turned into a broadcast as it runs."""
+    rows = [("/imu", k, k * 10_000_000, 0.0, 0.0, (k % 10 - 4.5) / 10, 0.001 * (k % 7), 0.0, 0.0) for k in range(1, 4001)]
+    samples = spark.createDataFrame(rows, "topic string, seq long, timestamp_ns long, wx double, wy double, wz double, ax double, ay double, az double").repartition(8)
+    names = [*inertial.STATE, "bwx", "bwy", "bwz", "bax", "bay", "baz"]
+    boundary = spark.createDataFrame([("/imu", 0, *[0.0] * 6, 1.0, *[0.0] * 9)], "topic string, timestamp_ns long, " + ", ".join(f"{c} double" for c in names))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "1000", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r["seq"]: r["qz"] for r in inertial.propagated(samples, boundary, (0.0, 0.0, 0.0), 2_000_000_000).where("seq IS NOT NULL").collect()}
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    turn = np.cumsum([r[5] * 0.01 for r in rows])
+    assert np.allclose([got[r[1]] for r in rows], np.sin(turn / 2), atol=1e-12)
+
+
+def test_turns_keep_their_length_over_many_steps():
+    n = 200_000
+    phi = np.zeros((n, 3))
+    phi[:, 2] = 0.0021
+    q = inertial.running(np.concatenate([inertial.exp(phi), np.zeros((n, 6)), np.full((n, 1), 0.05)], axis=1))[:, :4]
+    assert np.abs((q**2).sum(axis=1) - 1).max() < 1e-14
+    assert np.abs(q[:, 2] - np.sin(np.arange(1, n + 1) * np.longdouble(0.0021) / 2)).max() < 5e-13
+
+
 EDGES = "topic string, parent string, child string, stamp_ns long, is_static boolean, tx double, ty double, tz double, qx double, qy double, qz double, qw double"
 
 
