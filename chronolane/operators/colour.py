@@ -11,7 +11,8 @@ CHANNELS = ("r", "g", "b")
 
 
 def luminance():
-    return 0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")
+    """In thousandths: whole numbers, so colours of equal luminance are equal to each other."""
+    return 299 * F.col("r") + 587 * F.col("g") + 114 * F.col("b")
 
 
 def robust(observations: DataFrame, trim: int = 48) -> DataFrame:

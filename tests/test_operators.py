@@ -214,6 +214,13 @@ def test_observation_weight(spark):
     assert df.select(G.observation_weight(c("z"), F.lit(1.0), c("g"), c("b"), 10.0, 0.0, 0.0)).first()[0] == 1.0
 
 
+def test_equal_luminance_goes_by_camera(spark):
+    """Both colours come to 22,386 thousandths, which sums of fractions tell apart."""
+    rows = [(1, 1, 0, 60, 0, 39, 1.0), (1, 0, 1, 0, 36, 11, 1.0)]
+    df = spark.createDataFrame(rows, "point_idx int, camera int, image_seq long, r long, g long, b long, weight double")
+    assert colour.robust(df).select("r", "g", "b").first() == (60, 0, 39)
+
+
 def test_gains_against_the_first_camera(spark):
     rows = [(p, k, 2 * v if k else v, v, v, 1.0) for p in range(100) for k, v in ((0, 40 + p), (1, 40 + p))]
     rows += [(p, 2, 200, 200, 200, 1.0) for p in range(10)] + [(500, 1, 100, 100, 100, 2.0), (501, 1, 7, 7, 7, 0.0)]
