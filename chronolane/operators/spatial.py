@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,28 +46,183 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return l.join(r, ["vx", "vy", "vz"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("idx", "other", "d2")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, rounds: int = 40) -> DataFrame:
-    """idx, other, d2 and rank of the k nearest right points of each left point, by (distance, idx).
+#: A leaf of the tree holds at most so many places (points with the same coordinates are one place); a task takes at most so many searching points of a leaf at once.
+LEAF, SEARCHING, WAYS = 2048, 8192, 8
 
-    Points that find fewer than k within the radius look again within twice the
-    radius, and so on until all have k. If some have not after so many rounds, as
-    points that are not finite never do, that is an error.
+
+def _finite(points: DataFrame) -> DataFrame:
+    return points.where(" AND ".join(f"{a} IS NOT NULL AND NOT isnan({a}) AND abs({a}) < double('Infinity')" for a in AXES))
+
+
+def _dealt(nodes: dict, x: np.ndarray) -> np.ndarray:
+    """The leaf of each row of x."""
+    out, todo = np.zeros(len(x), np.int64), [(0, np.arange(len(x)))]
+    while todo:
+        at, rows = todo.pop()
+        if "cuts" not in nodes[at]:
+            out[rows] = at
+            continue
+        k = np.searchsorted(nodes[at]["cuts"], x[rows, nodes[at]["axis"]], side="right")
+        todo += [(c, rows[k == j]) for j, c in enumerate(nodes[at]["children"]) if (k == j).any()]
+    return out
+
+
+def _apart(x: np.ndarray, low: np.ndarray, high: np.ndarray, most: bool = False) -> np.ndarray:
+    """The least (or the largest) squared distance to points of a box: summed up like a distance, so rounding keeps it a bound."""
+    d = np.maximum(np.abs(x - low), np.abs(x - high)) if most else np.maximum(np.maximum(low - x, x - high), 0)
+    return (d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]) + d[:, 2] * d[:, 2]
+
+
+def _homes(nodes: dict, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A leaf near each row of x, and a squared distance within which k points lie for sure."""
+    home, bound, todo = np.zeros(len(x), np.int64), np.full(len(x), np.inf), [(0, np.arange(len(x)))]
+    while todo:
+        at, rows = todo.pop()
+        n = nodes[at]
+        if n["n"] >= k:
+            bound[rows] = np.minimum(bound[rows], _apart(x[rows], n["low"], n["high"], True))
+        if "cuts" not in n:
+            home[rows] = at
+            continue
+        best = np.argmin([_apart(x[rows], nodes[c]["low"], nodes[c]["high"]) for c in n["children"]], axis=0)
+        todo += [(c, rows[best == j]) for j, c in enumerate(n["children"]) if (best == j).any()]
+    return home, bound
+
+
+def _reached(nodes: dict, x: np.ndarray, bound: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Leaves with the rows of x that may have a point there within their bound."""
+    todo = [(0, np.arange(len(x)))]
+    while todo:
+        at, rows = todo.pop()
+        rows = rows[_apart(x[rows], nodes[at]["low"], nodes[at]["high"]) <= bound[rows]]
+        if len(rows) and "cuts" in nodes[at]:
+            todo += [(c, rows) for c in nodes[at]["children"]]
+        elif len(rows):
+            yield at, rows
+
+
+def _tree(points: DataFrame) -> tuple[dict, DataFrame]:
+    """A tree over the points by rounds of approximate quantiles along the longest axis, and the points with their leaf; empty without points.
+
+    A node knows the number of its points and their box: a row for each node comes to the driver. Cuts decide only how
+    evenly points are dealt, never what is found.
+    """
+    from pyspark.sql import types as T
+
+    nodes: dict = {}
+    names = points.columns
+
+    def leaves(tree: dict) -> DataFrame:
+        at = F.pandas_udf(lambda x, y, z: pd.Series(_dealt(tree, np.column_stack([x, y, z]).astype(float))), T.LongType())
+        return points.select(*names, at(*[F.col(a).cast("double") for a in AXES]).alias("_at"))
+
+    open_, found = [0], points.select(*names, F.lit(0).cast("long").alias("_at"))
+    while open_:
+        quantiles = lambda a: F.percentile_approx(a, [k / WAYS for k in range(1, WAYS)], 1000).alias(f"q{a}")
+        stats = found.where(F.col("_at").isin(open_)).groupBy("_at").agg(F.count("*").alias("n"), F.sum(F.col("_first").cast("long")).alias("places"), *[f(a).alias(f"{f.__name__}{a}") for a in AXES for f in (F.min, F.max)], *[quantiles(a) for a in AXES])
+        open_ = []
+        for r in stats.collect():
+            low, high = (np.array([float(r[f"{f}{a}"]) for a in AXES]) for f in ("min", "max"))
+            node = nodes[r["_at"]] = {"n": r["n"], "low": low, "high": high}
+            wide = int(np.argmax(high / 2 - low / 2))
+            if r["places"] <= LEAF or not high[wide] > low[wide]:
+                continue
+            cuts = sorted({float(c) for c in r[f"q{AXES[wide]}"] if c > low[wide]})
+            middle = low[wide] / 2 + high[wide] / 2
+            node |= {"axis": wide, "cuts": np.array(cuts or [middle if middle > low[wide] else high[wide]])}
+            open_.append(r["_at"])
+        grown, given = [], max(nodes, default=0) + 1
+        for at in open_:
+            node = nodes[at]
+            node["children"] = list(range(given, given + len(node["cuts"]) + 1))
+            given += len(node["children"])
+            grown += node["children"]
+            for c in node["children"]:
+                nodes[c] = {"n": 0, "low": np.full(3, np.inf), "high": np.full(3, -np.inf)}
+        open_ = grown
+        if open_:
+            found = leaves(nodes)
+    return nodes, found
+
+
+def _meet(searching: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """idx, other and d2 of the k best points in the leaf that each searching point (idx, x, y, z, bound, _at) names, within its bound."""
+    many = {r["_at"]: -(-r["count"] // SEARCHING) for r in searching.groupBy("_at").count().where(F.col("count") > SEARCHING).collect()}  # crowded leaves only
+    parts = F.coalesce(F.element_at(F.create_map(*[F.lit(v).cast("long") for p in many.items() for v in p]), F.col("_at")), F.lit(1)) if many else F.lit(1)
+    left = searching.withColumn("_part", F.pmod(F.xxhash64("idx", *AXES), parts))
+    right = found.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
+
+    def best(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
+        r = r.sort_values("other", kind="stable")
+        other, at, out = r["other"].to_numpy(), r[list(AXES)].to_numpy(float), []
+        step = max(1, 2_000_000 // max(1, len(r)))
+        for start in range(0, len(l) if len(r) else 0, step):
+            some = l.iloc[start : start + step]
+            x = some[list(AXES)].to_numpy(float)
+            dx, dy, dz = (x[:, j, None] - at[:, j] for j in range(3))
+            d2 = (dx * dx + dy * dy) + dz * dz
+            reach = some["bound"].to_numpy()
+            if len(r) > k:
+                reach = np.minimum(reach, np.partition(d2, k - 1, axis=1)[:, k - 1])
+            row, col = np.nonzero(d2 <= reach[:, None])  # by row, then by other
+            near = d2[row, col]
+            by = np.lexsort((col, near, row))
+            row, col, near = row[by], col[by], near[by]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append(pd.DataFrame({"idx": some["idx"].to_numpy()[row[keep]], "other": other[col[keep]], "d2": near[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"idx": [], "other": [], "d2": []})
+
+    return left.groupBy("_at", "_part").cogroup(right.groupBy("_at", "_part")).applyInPandas(best, "idx long, other long, d2 double")
+
+
+def _search(left: DataFrame, right: DataFrame, k: int, radius: float | None = None) -> DataFrame:
+    """idx, other, d2 and rank of the k nearest right points (all of them, if fewer) within the radius of each finite left point, by (distance, idx).
+
+    Each left point first meets one leaf of a tree over the right points, and then
+    the leaves that may hold nearer ones, so what is shuffled grows with the
+    points, however dense they lie. Of one place the k lowest right idx are enough.
+    """
+    place = Window.partitionBy(*AXES).orderBy("other")
+    r = _finite(right).select(F.col("idx").cast("long").alias("other"), *[F.col(a).cast("double").alias(a) for a in AXES])
+    r = r.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k).withColumn("_first", F.col("_n") == 1).drop("_n").checkpoint()
+    l = _finite(left).select(F.col("idx").cast("long").alias("idx"), *[F.col(a).cast("double").alias(a) for a in AXES])  # noqa: E741
+    nodes, found = _tree(r)
+    found = found.drop("_first")
+    limit = float("inf") if radius is None else radius * radius
+    columns = "idx long, x double, y double, z double, bound double, _at long"
+    if not nodes:
+        return l.limit(0).select("idx", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("d2"), F.lit(1).alias("rank"))
+
+    def starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            home, bound = _homes(nodes, pdf[list(AXES)].to_numpy(float), k)
+            yield pdf.assign(bound=np.minimum(bound, limit), _at=home)
+
+    def onward(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            x, home = pdf[list(AXES)].to_numpy(float), pdf["_at"].to_numpy()
+            for at, rows in _reached(nodes, x, pdf["bound"].to_numpy()):
+                rows = rows[home[rows] != at]
+                yield pdf.iloc[rows].assign(_at=at)
+
+    first = l.mapInPandas(starts, columns).checkpoint()
+    near = _meet(first, found, k).checkpoint()
+    kth = near.groupBy("idx").agg(F.count("*").alias("_n"), F.max("d2").alias("_kth"))
+    closer = first.join(kth, "idx", "left").withColumn("bound", F.when(F.col("_n") >= k, F.least("bound", "_kth")).otherwise(F.col("bound"))).drop("_n", "_kth")
+    rest = _meet(closer.mapInPandas(onward, columns).checkpoint(), found, k)
+    rank = F.row_number().over(Window.partitionBy("idx").orderBy("d2", "other"))
+    return near.unionByName(rest).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, radius: float | None = None) -> DataFrame:
+    """idx, other, d2 and rank of the k nearest right points of each left point, by (distance, idx); `radius` is no longer needed.
+
+    Left points that are not finite, or fewer finite right points than min(k, all), are an error.
     """
-    n = right.count()
-    want, done, todo = min(k, n), None, left
-    if not want:
-        return within(left, right, radius).withColumn("rank", F.lit(1)).limit(0)
-    for _ in range(rounds):
-        pairs = within(todo, right, radius)
-        w = Window.partitionBy("idx")
-        ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy("d2", "other"))).withColumn("_n", F.count("*").over(w))
-        found = ranked.where((F.col("_n") >= want) & (F.col("rank") <= want)).drop("_n").checkpoint()
-        done = found if done is None else done.unionByName(found)
-        todo = todo.join(found.select("idx").distinct(), "idx", "left_anti").checkpoint()
-        if todo.isEmpty():
-            return done
-        radius *= 2
-    raise ValueError(f"after {rounds} rounds some points lack neighbours within {radius}")
+    want = min(k, right.count())
+    if want and (left.count() > _finite(left).count() or _finite(right).count() < want):
+        raise ValueError("some points lack neighbours: not all are finite")
+    return _search(left, right, max(want, 1))
 
 
 def inliers(points: DataFrame, radius: float, least: int) -> DataFrame:
@@ -76,7 +233,7 @@ def inliers(points: DataFrame, radius: float, least: int) -> DataFrame:
 
 def propagated(points: DataFrame, known: DataFrame, columns: list[str], radius: float) -> DataFrame:
     """idx and the columns of the nearest known point within the radius (of equally near the lowest idx), else null."""
-    best = within(points, known, radius).groupBy("idx").agg(F.min_by("other", F.struct("d2", "other")).alias("other"))
+    best = _search(points, known, 1, radius).select("idx", "other")
     value = known.select(F.col("idx").alias("other"), *columns)
     return points.select("idx").join(best.join(value, "other"), "idx", "left").select("idx", *columns)
 

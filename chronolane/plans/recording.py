@@ -384,6 +384,7 @@ def radius_outliers(spark, sf_dir):
 
 @query(f"WITH {P}, d AS (SELECT a.idx, b.label, row_number() OVER (PARTITION BY a.idx ORDER BY {_D2}, b.idx) AS r FROM p a, p b WHERE b.idx % 4 = 0 AND {_D2} <= 1) SELECT p.idx, d.label FROM p LEFT JOIN d ON p.idx = d.idx AND d.r = 1")
 def colour_propagation(spark, sf_dir):
+    shared(spark)
     p = points(spark, sf_dir)
     return spatial.propagated(p, p.where("idx % 4 = 0"), ["label"], 1.0)
 

@@ -199,6 +199,28 @@ def test_names_of_files_and_topics(spark):
     assert got["/a/b/image_rect_color"][0] == "__a__b__image_rect_color" and got["cam"][0] == "cam"
 
 
+def test_nearest_points_without_all_pairs(spark, monkeypatch):
+    """Many small leaves, crowded places, a far point and a row of points: as brute force, and never all pairs within a radius."""
+    def refused(*_):
+        raise AssertionError("all pairs within a radius")
+
+    monkeypatch.setattr(spatial, "within", refused)
+    monkeypatch.setattr(spatial, "LEAF", 20)
+    monkeypatch.setattr(spatial, "SEARCHING", 50)
+    rng = random.Random(5)
+    at = [tuple(rng.gauss(0, 1) for _ in range(3)) for _ in range(250)] + [tuple(rng.gauss(9, 0.001) for _ in range(3)) for _ in range(100)]
+    at += [(0.5, 0.5, 0.5)] * 60 + [(float(k), 0.0, 0.0) for k in range(60)] + [(1e9, -1e9, 0.0)]
+    rows = [(k, *p) for k, p in enumerate(at)]
+    p = spark.createDataFrame(rows, "idx long, x double, y double, z double")
+    known = rows[::4]
+    d2 = lambda a, b: (a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2]) + (a[3] - b[3]) * (a[3] - b[3])
+    got = {(r["idx"], r["rank"]): r["other"] for r in spatial.nearest(p, p, 4, 1.0).collect()}
+    assert got == {(a[0], n + 1): b for a in rows for n, (_, b) in enumerate(sorted((d2(a, b), b[0]) for b in rows)[:4])}
+    got = {r["idx"]: r["label"] for r in spatial.propagated(p, p.where("idx % 4 = 0").withColumn("label", F.col("idx") * 10), ["label"], 1.0).collect()}
+    best = {a[0]: min((d2(a, b), b[0]) for b in known) for a in rows}
+    assert got == {k: b * 10 if d <= 1 else None for k, (d, b) in best.items()}
+
+
 def test_durations_need_a_unit(bag):
     assert select.duration_ns("1.5e3ms") == 1_500_000_000 and select.duration_ns(".5s") == 500_000_000
     for bad in ("864000", "1e3", "1 h", "e3s"):
