@@ -226,18 +226,23 @@ def straightened(images: DataFrame, camera: dict) -> DataFrame:
 SIDE, ROUNDS = 9, 5
 
 
-def _rectangles(k: np.ndarray, d: Sequence[float], width: int, height: int) -> tuple[tuple[float, ...], tuple[float, ...]]:
-    """x, y, width, height of the largest rectangle inside the straightened border, and of the smallest around it, in normalised coordinates."""
-    k1, k2, p1, p2, k3, k4, k5, k6 = [*d, *[0.0] * (8 - len(d))][:8]
+def _rectangles(k: np.ndarray, d: np.ndarray, width: np.ndarray, height: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """x, y, width, height of the largest rectangle inside the straightened border, and of the smallest around it, in normalised coordinates.
+
+    Of many cameras at once: k is (n, 9), d (n, 8), width and height are (n,).
+    """
+    k1, k2, p1, p2, k3, k4, k5, k6 = (d[:, j, None, None] for j in range(8))
+    k, width, height = k[:, :, None, None], width[:, None, None], height[:, None, None]
     v, u = np.indices((SIDE, SIDE)).astype(float)
-    xd, yd = (u * (width - 1) / (SIDE - 1) - k[2]) / k[0], (v * (height - 1) / (SIDE - 1) - k[5]) / k[4]
+    xd, yd = (u * (width - 1) / (SIDE - 1) - k[:, 2]) / k[:, 0], (v * (height - 1) / (SIDE - 1) - k[:, 5]) / k[:, 4]
     x, y = xd, yd
     for _ in range(ROUNDS):
         r2 = x * x + y * y
         back = (1 + r2 * (k4 + r2 * (k5 + r2 * k6))) / (1 + r2 * (k1 + r2 * (k2 + r2 * k3)))
         x, y = (xd - 2 * p1 * x * y - p2 * (r2 + 2 * x * x)) * back, (yd - p1 * (r2 + 2 * y * y) - 2 * p2 * x * y) * back
-    left, right, top, bottom = x[:, 0].max(), x[:, -1].min(), y[0].max(), y[-1].min()
-    return (left, top, right - left, bottom - top), (x.min(), y.min(), x.max() - x.min(), y.max() - y.min())
+    left, right, top, bottom = x[:, :, 0].max(axis=1), x[:, :, -1].min(axis=1), y[:, 0].max(axis=1), y[:, -1].min(axis=1)
+    low, high = [a.min(axis=(1, 2)) for a in (x, y)], [a.max(axis=(1, 2)) for a in (x, y)]
+    return (left, top, right - left, bottom - top), (*low, high[0] - low[0], high[1] - low[1])
 
 
 def projection_of(camera: dict, alpha: float) -> tuple[list[float] | None, str | None]:
@@ -246,6 +251,31 @@ def projection_of(camera: dict, alpha: float) -> tuple[list[float] | None, str |
     alpha 0 shows only what the raw image covers, 1 all of it; between, the two are
     blended. A camera that is one of a stereo pair, or a fisheye, has none.
     """
+    return projections_of([camera], alpha)[0]
+
+
+def projections_of(cameras: Sequence[dict], alpha: float) -> list[tuple[list[float] | None, str | None]]:
+    """`projection_of` for many cameras: those with a distorted lens are worked out together."""
+    out = [_plain_projection(c, alpha) for c in cameras]
+    bent = [n for n, found in enumerate(out) if found is None]
+    for start in range(0, len(bent), 4096):
+        rows = bent[start : start + 4096]
+        k = np.array([cameras[n]["k"] for n in rows], float)
+        d = np.array([[*map(float, cameras[n]["d"]), *[0.0] * 8][:8] for n in rows])
+        width, height = (np.array([cameras[n][c] for n in rows]) for c in ("width", "height"))
+        blended = []
+        for x, y, w, h in _rectangles(k, d, width, height):
+            fx, fy = (width - 1) / w, (height - 1) / h
+            blended.append((fx, -fx * x, fy, -fy * y))
+        made = np.column_stack([(1 - alpha) * a + alpha * b for a, b in zip(*blended, strict=True)])
+        for n, (fx, cx, fy, cy) in zip(rows, made.tolist(), strict=True):
+            m = [fx, 0.0, cx, 0.0, 0.0, fy, cy, 0.0, 0.0, 0.0, 1.0, 0.0]
+            out[n] = (m, None) if np.isfinite(m).all() else (None, "the matrix is not finite")
+    return out
+
+
+def _plain_projection(camera: dict, alpha: float) -> tuple[list[float] | None, str | None] | None:
+    """What needs no lens: the plain matrix or why there is none; None for a distorted lens."""
     k, model = [float(v) for v in camera["k"]], camera["distortion_model"] or ""
     plain = [k[0], k[1], k[2], 0.0, k[3], k[4], k[5], 0.0, k[6], k[7], k[8], 0.0]
     r, d = np.array(camera["r"], float), [float(v) for v in (camera["d"] if camera["d"] is not None else [])]
@@ -271,13 +301,7 @@ def projection_of(camera: dict, alpha: float) -> tuple[list[float] | None, str |
         return plain, None
     if not np.isfinite(d).all():
         return None, "d is not finite"
-    blended = []
-    for x, y, w, h in _rectangles(np.array(k), d, camera["width"], camera["height"]):
-        fx, fy = np.float64(camera["width"] - 1) / w, np.float64(camera["height"] - 1) / h
-        blended.append((fx, -fx * x, fy, -fy * y))
-    fx, cx, fy, cy = ((1 - alpha) * a + alpha * b for a, b in zip(*blended, strict=True))
-    out = [float(v) for v in (fx, 0, cx, 0, 0, fy, cy, 0, 0, 0, 1, 0)]
-    return (out, None) if np.isfinite(out).all() else (None, "the matrix is not finite")
+    return None
 
 
 def projections(cameras: DataFrame, alpha: float) -> DataFrame:
@@ -287,7 +311,7 @@ def projections(cameras: DataFrame, alpha: float) -> DataFrame:
     def made(w: pd.Series, h: pd.Series, m: pd.Series, d: pd.Series, k: pd.Series, r: pd.Series, p: pd.Series) -> pd.DataFrame:
         names = ("width", "height", "distortion_model", "d", "k", "r", "p")
         with np.errstate(all="ignore"):
-            rows = [projection_of(dict(zip(names, row, strict=True)), alpha) for row in zip(w, h, m, d, k, r, p, strict=True)]
+            rows = projections_of([dict(zip(names, row, strict=True)) for row in zip(w, h, m, d, k, r, p, strict=True)], alpha)
         return pd.DataFrame(rows, columns=["projection", "refused"])
 
     found = cameras.withColumn("_p", made("width", "height", "distortion_model", "d", "k", "r", "p"))

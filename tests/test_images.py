@@ -132,6 +132,11 @@ def test_projections_that_are_refused(spark):
     assert got["good"]["projection"] == pytest.approx(inner) and got["good"]["refused"] is None and got["bad"]["projection"] is None
 
 
+def test_cameras_together_as_one_by_one():
+    many = [CAMERA | {"width": 300 + 7 * k, "height": 200 + 3 * k, "distortion_model": "equidistant" if k % 5 == 3 else CAMERA["distortion_model"]} for k in range(40)]
+    assert images.projections_of(many, 0.25) == [images.projection_of(c, 0.25) for c in many]
+
+
 def test_lens_inverse_and_fold_back(spark):
     rays = spark.createDataFrame([(k * 0.1, k * 0.05) for k in range(-40, 41)], "x double, y double")
     x, y = F.col("x"), F.col("y")
