@@ -69,7 +69,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 #: Primes below 2^31 and places of their fields, drawn at random once.
 FIELDS = ((2147483647, 1466739587), (2147483629, 870315311), (2147483587, 1929402263), (2147483579, 315470837))
-_PIECE = 1 << 20
+#: Bytes of a text that are hashed at once: a worker keeps powers for twice as many, eight tables of 8 bytes each.
+_PIECE = 1 << 16
 
 
 class Hasher:
@@ -100,6 +101,8 @@ class Hasher:
             start, one, other = self._piece(data[at:end])
             out.append((start + at, one, other))
             at = end
+        if len(self.power[0][0]) > 2 * _PIECE:  # a longer word's powers go with it: workers live on through other stages
+            self.power = [tuple(x[: 2 * _PIECE].copy() for x in pair) for pair in self.power]
         none = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
         return tuple(np.concatenate(c) for c in zip(*(out or none), strict=True))
 

@@ -82,3 +82,15 @@ def test_long_texts(spark, tmp_path, long, operator):
     }[operator]()
     made = [tuple(r) for r in made.collect()]
     assert len(made) == n
+
+
+def test_hasher_stays_small():
+    """A worker keeps few powers after long texts and long words, and a word's hashes are the same wherever pieces end."""
+    some = [b"one", b"two", b"x" * 200_000, b"three"]
+    hasher = substring.Hasher()
+    alone = {w: tuple(int(h[0]) for h in substring.Hasher().words(w)[1:]) for w in some}
+    for raw in (b" ".join(some * 3), b"one two " * 200_000):
+        start, one, other = hasher.words(raw)
+        assert [(int(a), int(b)) for a, b in zip(one, other, strict=True)] == [alone[w] for w in raw.split()]
+        assert all(raw[s : s + 1].strip() for s in start.tolist())
+        assert sum(x.nbytes for pair in hasher.power for x in pair) < 16_000_000
