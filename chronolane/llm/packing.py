@@ -60,8 +60,9 @@ class Encoder(dict):
     other files a text is one stretch.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memory: int = MEMORY) -> None:
         super().__init__()
+        self.memory = memory
         self.older: dict[str, bytes] = {}
         from tokenizers import Tokenizer
 
@@ -82,7 +83,7 @@ class Encoder(dict):
                 found = self.whole.encode(stretch, add_special_tokens=False).ids
             ids = struct.pack(f"<{len(found)}I", *found)
         if len(stretch) <= MEMORABLE:
-            if len(self) >= MEMORY:
+            if len(self) >= self.memory:
                 self.older = dict(self)
                 self.clear()
             self[stretch] = ids
@@ -93,16 +94,16 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memory: int = MEMORY) -> Encoder:
     """The worker process's encoder of a file: what one task remembers serves the next."""
-    return Encoder(path)
+    return Encoder(path, memory)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int = CLOSING) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int = CLOSING, memory: int = MEMORY) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of every piece of every document; memory: stretches remembered in each generation, whatever the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, np.array([closing], "<u4").tobytes()
+        encode, end = encoder(path, memory).encode, np.array([closing], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -250,9 +251,9 @@ def lower_bound(items: DataFrame, capacity: int = CAPACITY) -> int:
     return least_bins(count)
 
 
-def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, memory: int = MEMORY) -> DataFrame:
     """The pieces of the documents with their places; ids come once and are kept in the shared folder."""
-    return pack(materialise(pieces(docs, path, capacity), "pieces"), capacity)
+    return pack(materialise(pieces(docs, path, capacity, memory=memory), "pieces"), capacity)
 
 
 def default_vocabulary() -> str:

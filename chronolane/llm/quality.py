@@ -24,6 +24,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,6 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Dis
     sample = slim.where("y = 0").orderBy(order, "doc_id").limit(per_class).union(slim.where("y = 1").orderBy(order, "doc_id").limit(per_class))
     chosen = sample.collect()  # 2 * per_class pairs of numbers at most
     spark = docs.sparkSession
+    # from Arrow: rows would be read by Python workers of another kind, which stay beside those of the stages
+    chosen = pa.table({"doc_id": pa.array([r["doc_id"] for r in chosen], pa.int64()), "y": pa.array([r["y"] for r in chosen], pa.int32())})
     chosen = F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
 

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from chronolane.llm import packing, pii, quality, simhash, substring
 from chronolane.llm.common import materialise, table
 
+#: Stretches of text whose ids a worker remembers in each of two generations.
+MEMORY = 40_000
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on their labels, rejects go."""
@@ -33,8 +36,8 @@ def contextual_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in sequences of 2048: a row for each piece."""
-    return packing.packed_documents(docs, packing.default_vocabulary())
+    """The documents' tokens in sequences of 2048: a row for each piece. The workers serve other stages too, so they remember less than op9's."""
+    return packing.packed_documents(docs, packing.default_vocabulary(), memory=MEMORY)
 
 
 STAGES = [

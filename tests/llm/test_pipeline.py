@@ -1,7 +1,7 @@
 """The pipeline's stages, one by one and as a whole."""
 
 import corpus_pipeline
-from chronolane.llm import common
+from chronolane.llm import common, packing
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,3 +26,13 @@ def test_stages(spark):
     assert {r["doc_id"] for r in pieces} == set(kept)
     whole = corpus_pipeline.run(spark, DATA).collect()
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in whole) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in pieces)
+
+
+def test_ids_need_no_memory():
+    """An encoder that forgets almost at once gives the same ids, and holds no more than two generations."""
+    path = packing.default_vocabulary()
+    texts = [" ".join(f"w{k * k % 997}x{k}, Word{k % 7}" for k in range(n, n + 300)) for n in range(0, 3000, 150)]
+    small, large = packing.Encoder(path, 50), packing.Encoder(path)
+    assert [small.encode(t) for t in texts] == [large.encode(t) for t in texts]
+    assert len(small) <= 50 and len(small.older) <= 50 < len(large)
+    assert corpus_pipeline.MEMORY < packing.MEMORY
