@@ -145,8 +145,9 @@ def _tree(points: DataFrame) -> tuple[dict, DataFrame]:
     return nodes, found
 
 
-def _meet(searching: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """idx, other and d2 of the k best points in the leaf that each searching point (idx, x, y, z, bound, _at) names, within its bound."""
+def _meet(searching: DataFrame, found: DataFrame, k: int, places: bool = False) -> DataFrame:
+    """idx, other and d2 of the k best points in the leaf that each searching point (idx, x, y, z, bound, _at) names, within its bound; with places, also the other's ox, oy, oz."""
+    carried = [f"o{a}" for a in AXES] if places else []
     many = {r["_at"]: -(-r["count"] // SEARCHING) for r in searching.groupBy("_at").count().where(F.col("count") > SEARCHING).collect()}  # crowded leaves only
     parts = F.coalesce(F.element_at(F.create_map(*[F.lit(v).cast("long") for p in many.items() for v in p]), F.col("_at")), F.lit(1)) if many else F.lit(1)
     left = searching.withColumn("_part", F.pmod(F.xxhash64("idx", *AXES), parts))
@@ -169,14 +170,15 @@ def _meet(searching: DataFrame, found: DataFrame, k: int) -> DataFrame:
             by = np.lexsort((col, near, row))
             row, col, near = row[by], col[by], near[by]
             keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-            out.append(pd.DataFrame({"idx": some["idx"].to_numpy()[row[keep]], "other": other[col[keep]], "d2": near[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"idx": [], "other": [], "d2": []})
+            out.append(pd.DataFrame({"idx": some["idx"].to_numpy()[row[keep]], "other": other[col[keep]], "d2": near[keep], **{c: at[col[keep], j] for j, c in enumerate(carried)}}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("idx", "other", "d2", *carried)})
 
-    return left.groupBy("_at", "_part").cogroup(right.groupBy("_at", "_part")).applyInPandas(best, "idx long, other long, d2 double")
+    schema = ", ".join(["idx long, other long, d2 double", *[f"{c} double" for c in carried]])
+    return left.groupBy("_at", "_part").cogroup(right.groupBy("_at", "_part")).applyInPandas(best, schema)
 
 
-def _search(left: DataFrame, right: DataFrame, k: int, radius: float | None = None) -> DataFrame:
-    """idx, other, d2 and rank of the k nearest right points (all of them, if fewer) within the radius of each finite left point, by (distance, idx).
+def _search(left: DataFrame, right: DataFrame, k: int, radius: float | None = None, places: bool = False) -> DataFrame:
+    """idx, other, d2 and rank of the k nearest right points (all of them, if fewer) within the radius of each finite left point, by (distance, idx); with places, also the other's ox, oy, oz.
 
     Each left point first meets one leaf of a tree over the right points, and then
     the leaves that may hold nearer ones, so what is shuffled grows with the
@@ -191,7 +193,8 @@ def _search(left: DataFrame, right: DataFrame, k: int, radius: float | None = No
     limit = float("inf") if radius is None else radius * radius
     columns = "idx long, x double, y double, z double, bound double, _at long"
     if not nodes:
-        return l.limit(0).select("idx", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("d2"), F.lit(1).alias("rank"))
+        empty = [F.lit(None).cast("double").alias(c) for c in ("d2", *[f"o{a}" for a in AXES if places])]
+        return l.limit(0).select("idx", F.lit(None).cast("long").alias("other"), *empty, F.lit(1).alias("rank"))
 
     def starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -206,23 +209,23 @@ def _search(left: DataFrame, right: DataFrame, k: int, radius: float | None = No
                 yield pdf.iloc[rows].assign(_at=at)
 
     first = l.mapInPandas(starts, columns).checkpoint()
-    near = _meet(first, found, k).checkpoint()
+    near = _meet(first, found, k, places).checkpoint()
     kth = near.groupBy("idx").agg(F.count("*").alias("_n"), F.max("d2").alias("_kth"))
     closer = first.join(kth, "idx", "left").withColumn("bound", F.when(F.col("_n") >= k, F.least("bound", "_kth")).otherwise(F.col("bound"))).drop("_n", "_kth")
-    rest = _meet(closer.mapInPandas(onward, columns).checkpoint(), found, k)
+    rest = _meet(closer.mapInPandas(onward, columns).checkpoint(), found, k, places)
     rank = F.row_number().over(Window.partitionBy("idx").orderBy("d2", "other"))
     return near.unionByName(rest).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, radius: float | None = None) -> DataFrame:
-    """idx, other, d2 and rank of the k nearest right points of each left point, by (distance, idx); `radius` is no longer needed.
+def nearest(left: DataFrame, right: DataFrame, k: int, radius: float | None = None, places: bool = False) -> DataFrame:
+    """idx, other, d2 and rank of the k nearest right points of each left point, by (distance, idx); with places, also the other's ox, oy, oz; `radius` is no longer needed.
 
     Left points that are not finite, or fewer finite right points than min(k, all), are an error.
     """
     want = min(k, right.count())
     if want and (left.count() > _finite(left).count() or _finite(right).count() < want):
         raise ValueError("some points lack neighbours: not all are finite")
-    return _search(left, right, max(want, 1))
+    return _search(left, right, max(want, 1), places=places)
 
 
 def inliers(points: DataFrame, radius: float, least: int) -> DataFrame:
@@ -291,10 +294,9 @@ def overlay(pixels: DataFrame, value: str) -> DataFrame:
 
 def normals(points: DataFrame, k: int, radius: float) -> DataFrame:
     """idx, normal (nx, ny, nz), mean spacing from each point's k nearest others."""
-    near = nearest(points, points, k + 1, radius).where("idx <> other")
-    p = points.select(F.col("idx").alias("other"), *AXES)
+    near = nearest(points, points, k + 1, radius, places=True).where("idx <> other")  # dealt by idx already: no shuffle follows
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
-    by = near.join(p, "other").groupBy("idx").agg(F.avg(F.sqrt("d2")).alias("spacing"), F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("c"))
+    by = near.groupBy("idx").agg(F.avg(F.sqrt("d2")).alias("spacing"), F.array(*[F.covar_pop(f"o{a}", f"o{b}") for a, b in pairs]).alias("c"))
 
     @F.pandas_udf("array<double>")
     def smallest(c: pd.Series) -> pd.Series:

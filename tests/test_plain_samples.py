@@ -48,3 +48,14 @@ def test_normals_equal_plain_ones(spark):
         n = np.array([got[k][c] for c in ("nx", "ny", "nz")])
         assert abs(np.linalg.norm(n) - 1) < 1e-9 and n[np.abs(n).argmax()] > 0
         assert values[1] - values[0] < 1e-6 or abs(n @ vectors[:, 0]) > 1 - 1e-6
+
+
+def test_normals_shuffle_neighbours_once(spark):
+    """No pair is dealt out again after the search: neighbours bring their places along."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(rng.normal(size=(300, 3)))], "idx long, x double, y double, z double")
+    out = spatial.normals(df, 8, 1.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.replace("FlatMapCoGroups", "") and plan.count("Exchange hashpartitioning(idx") == 1
+    assert out.count() == 300
+    assert spatial.normals(df.limit(0), 8, 1.0).count() == 0
