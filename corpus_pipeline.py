@@ -9,24 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chronolane.llm import packing, pii, quality, simhash, substring
-from chronolane.llm.common import materialise, table
+from chronolane.llm.common import materialise, small_batches, table
 
 #: Stretches of text whose ids a worker remembers in each of two generations.
 MEMORY = 40_000
 
+#: Bytes that go to Python at once: a batch is held by the JVM, outside its heap, and by the worker, and its whole texts are many times the size of other rows.
+BATCH = 4 << 20
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on their labels, rejects go."""
+    small_batches(spark, BATCH)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
+    small_batches(spark, BATCH)
     return simhash.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 words that also start earlier are taken out of the texts."""
+    small_batches(spark, BATCH)
     return substring.without_repeats(docs)
 
 
@@ -37,6 +43,7 @@ def contextual_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of 2048: a row for each piece. The workers serve other stages too, so they remember less than op9's."""
+    small_batches(spark, BATCH)
     return packing.packed_documents(docs, packing.default_vocabulary(), memory=MEMORY)
 
 

@@ -1,5 +1,8 @@
 """The pipeline's stages, one by one and as a whole."""
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from chronolane.llm import common, packing
 
@@ -36,3 +39,26 @@ def test_ids_need_no_memory():
     assert [small.encode(t) for t in texts] == [large.encode(t) for t in texts]
     assert len(small) <= 50 and len(small.older) <= 50 < len(large)
     assert corpus_pipeline.MEMORY < packing.MEMORY
+
+
+def test_batches_are_small(spark):
+    """Every stage with Python workers hands them a few MB at once, however long the texts; batches of narrow rows stay as long as before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    docs = common.table(spark, DATA, "documents")
+    long = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("word "), 2000).alias("text"))
+    try:
+        for stage in (s for n, s in corpus_pipeline.STAGES if n != "contextual_pii"):
+            spark.conf.set(name, before)
+            stage(spark, docs, DATA)
+            got = long.mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(r["rows"] for r in got) == 3000
+            assert max(r["bytes"] for r in got) < 1.1 * corpus_pipeline.BATCH
+            assert max(r["rows"] for r in long.select("id").mapInArrow(sizes, "rows long, bytes long").collect()) == 3000
+    finally:
+        spark.conf.set(name, before)
