@@ -107,7 +107,9 @@ def lens_places(spark, sf_dir):
     p = points(spark, sf_dir).where("z > 0").withColumn("x", F.col("x") / F.col("z")).withColumn("y", F.col("y") / F.col("z"))
     x, y = F.col("x"), F.col("y")
     out = p.select("idx", geometry.on_raw_image(x, y, "plumb_bob", _D, 20.0, 20.0).alias("a"), geometry.on_raw_image(x, y, "equidistant", _W, 20.0, 20.0).alias("w"))
-    return out.select("idx", F.round("a.x", 6).alias("x"), F.round("a.y", 6).alias("y"), F.round("w.x", 6).alias("wide_x"))
+    # SQL's round keeps the sign of what comes to zero
+    six = lambda c: F.when(F.round(c, 6) == 0, F.col(c) * 0.0).otherwise(F.round(c, 6))
+    return out.select("idx", six("a.x").alias("x"), six("a.y").alias("y"), six("w.x").alias("wide_x"))
 
 
 _B = [-0.1, 0.01, 0.001, -0.001]

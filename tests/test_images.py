@@ -147,6 +147,24 @@ def test_lens_inverse_and_fold_back(spark):
     assert got[0.5] is not None and got[0.0]["x"] == 0.0 and got[3.9] is None and got[-3.9] is None
 
 
+def test_rays_next_to_the_image_plane_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from chronolane import registry
+
+    # far rays, where the tangent of the angle makes pixels of its last digits, and places whose rounding leaves a zero with a sign
+    r = random.Random(5)
+    rays = [(r.uniform(-0.4, 0.4), r.uniform(-0.4, 0.4), 10 ** r.uniform(-9, -3)) for _ in range(400)]
+    rays += [(0.07509117, 0.3643301, 2.23e-06), (-1e-9, 0.1, 0.1), (0.1, -1e-9, 0.1), (1e-9, -1e-9, 0.1), (0.0, 0.0, 0.1)]
+    spark.createDataFrame([(k, [*ray, 0.0], 0) for k, ray in enumerate(rays)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {r[0]: r for r in duck.execute(registry.oracle_sql()["lens_places"]).fetchall()}
+    got = {r["idx"]: (r["idx"], r["x"], r["y"], r["wide_x"]) for r in registry.queries()["lens_places"](spark, str(tmp_path)).collect()}
+    assert {k: repr(r) for k, r in got.items()} == {k: repr(r) for k, r in want.items()}
+    assert got[400][3] is not None and math.copysign(1, got[401][1]) == -1
+
+
 def test_discs(spark):
     shape = lambda n, most=50.0, p=(0.0, 0.0, 2.0), radius=0.5: spark.range(1).select(splats.footprint(tuple(map(F.lit, p)), tuple(map(F.lit, n)), F.lit(radius), 10.0, 10.0, most).alias("s")).first()["s"]
     assert tuple(shape((0.0, 0.0, 1.0))) == pytest.approx((6.25, 0, 6.25))  # faces the camera: radius 2.5
